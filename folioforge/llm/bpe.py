@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
+import struct
 import unicodedata
 
 import ahocorasick
@@ -16,8 +18,8 @@ from pyspark.sql import types as T
 
 from .common import sha256_hex, table
 
-#: Words whose ids a task remembers; beyond that it starts anew.
-REMEMBERED = 200_000
+#: Words whose ids, and pairs whose compatibility, a worker remembers before the older ones go.
+REMEMBERED = 400_000
 #: A last character stands for itself plus the end of its word.
 _END = 0x4000
 
@@ -29,6 +31,25 @@ def byte_characters() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+class _Words(dict):
+    """Packed ids of the pieces met, in two generations: what is in use survives when the older one goes."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        super().__init__()
+        self.vocabulary, self.older = vocabulary, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            ids = self.vocabulary.encode_word(word)
+            found = struct.pack(f"={len(ids)}i", *ids)
+        if len(self) >= REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        self[word] = found
+        return found
+
+
 class Vocabulary:
     """The merges of a word-end byte-level BPE file (`tokenizers` JSON), as tables for encoding and decoding.
 
@@ -51,7 +72,9 @@ class Vocabulary:
             ids = vocab[a], vocab[b], vocab[a + b]
             self.left[ids[2]], self.right[ids[2]] = ids[:2]
             self.pair[ids[:2]] = ids[2]
-        symbols = {self._symbols(t): i for t, i in vocab.items()}
+        symbols = self.symbols = {self._symbols(t): i for t, i in vocab.items()}
+        #: Whether two ids may stand side by side, for the pairs met so far.
+        self.compatibility: dict[tuple[int, int], bool] = {}
         self.length = [0] * size
         self.shorter = [-1] * size
         self.longest = ahocorasick.Automaton()
@@ -64,18 +87,20 @@ class Vocabulary:
                 if (found := symbols.get(s[:n])) is not None:
                     self.shorter[i] = found
                     break
-        self.bytes_to = {b: c for b, c in enumerate(byte_characters())}
+        self.bytes_to = dict(enumerate(byte_characters()))
         names = [""] * size
         for t, i in (*vocab.items(), *self.special.items()):
             names[i] = t
         parts = [f" {x}".encode() for x in names]
         self.offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
         self.flat = np.frombuffer(b"".join(parts), np.uint8)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words = _Words(self)
         marks = "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True))
         self.marks = regex.compile(f"({marks})") if marks else None
-        # The split pattern of the file; white space is dropped by not matching it.
-        self.pieces = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
+        # The split pattern of the file; white space is dropped by not matching it.  In ASCII texts it comes to simple ranges.
+        pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        self.pieces = regex.compile(pattern)
+        self.ascii_pieces = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"[\p{N}]", "[0-9]").replace(r"\p{N}", "0-9"), re.ASCII)
 
     def _symbols(self, token: str) -> str:
         if self.suffix and token.endswith(self.suffix) and token != self.suffix:
@@ -102,59 +127,60 @@ class Vocabulary:
                     if a == limit:
                         return True
 
-    def encode_word(self, word: str) -> tuple[int, ...]:
+    def encode_word(self, word: str) -> list[int]:
         """Ids of one piece.  Linear: a position that failed is marked and never tried again."""
-        to = self.bytes_to
-        s = "".join([to[b] for b in word.encode("utf-8", "surrogatepass")])
+        # Printable ASCII stands for itself in byte-level vocabularies.
+        s = word if word.isascii() and word.isprintable() else word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.bytes_to)
         if self.suffix:
             s = s[:-1] + chr(ord(s[-1]) + _END)
-        n = len(s)
-        first = [-1] * (n + 1)
-        for end, token in self.longest.iter(s[::-1]):
-            at = n - 1 - end
-            if first[at] < 0 or self.length[token] > self.length[first[at]]:
-                first[at] = token
-        if first[0] >= 0 and self.length[first[0]] == n:
-            return (first[0],)
-        open_, out, at, token = bytearray(b"\1") * (n + 1), [], 0, first[0]
+        if (whole := self.symbols.get(s)) is not None:
+            return [whole]
+        n, length, shorter, table = len(s), self.length, self.shorter, self.compatibility
+        # Read backwards, matches end where tokens start; the longest of a place comes first, so it is kept last.
+        found = list(self.longest.iter(s[::-1]))
+        found.reverse()
+        first = dict(found)
+        shut, out, at, token, last = set(), [], 0, first[n - 1], -1
         while at < n:
             while token >= 0:
-                end = at + self.length[token]
-                if open_[end] and (not out or self.compatible(out[-1], token)):
-                    break
-                token = self.shorter[token]
+                end = at + length[token]
+                if end not in shut:
+                    if last < 0:
+                        break
+                    fits = table.get((last, token))
+                    if fits is None:
+                        if len(table) >= REMEMBERED:
+                            table.clear()
+                        fits = table[last, token] = self.compatible(last, token)
+                    if fits:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at, token = end, first[end]
+                last, at, token = token, end, first.get(n - 1 - end, -1)
             else:
-                open_[at] = 0
+                shut.add(at)
                 token = out.pop()
-                at -= self.length[token]
-                token = self.shorter[token] if not open_[at + self.length[token]] else token
-        return tuple(out)
-
-    def __getitem__(self, word: str) -> tuple[int, ...]:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            found = self.words[word] = self.encode_word(word)
-        return found
+                last = out[-1] if out else -1
+                at -= length[token]
+                token = shorter[token]
+        return out
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
         """Ids of a whole text; none for null.  Special tokens in the text become their ids, as in the file's own library."""
         if not text:
-            return []
-        out: list[int] = []
+            return np.empty(0, np.int32)
+        out: list[bytes] = []
         for part in self.marks.split(text) if self.marks and any(m in text for m in self.special) else (text,):
             if part in self.special:
-                out.append(self.special[part])
+                out.append(np.int32(self.special[part]).tobytes())
                 continue
+            pieces = self.ascii_pieces
             if not part.isascii():
                 # The library lower-cases each character by itself; str.lower() has a rule of its own for a final sigma.
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            out.extend(itertools.chain.from_iterable(map(self.__getitem__, self.pieces.findall(part.lower()))))
-        return out
+                part, pieces = unicodedata.normalize("NFC", part).replace("Σ", "σ"), self.pieces
+            out.append(b"".join(map(self.words.__getitem__, pieces.findall(part.lower()))))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Texts of many rows at once: flat ids and the rows' offsets give flat bytes and their offsets.
@@ -193,7 +219,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def of(texts: pa.Array) -> pa.Array:
         vocabulary = _vocabulary(raw)
-        parts = [np.array(vocabulary.encode(x.as_py()), np.int32) for x in texts]
+        parts = [vocabulary.encode(x.as_py()) for x in texts]
         ends = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.empty(0, np.int32)])))
 
