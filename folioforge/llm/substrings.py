@@ -25,13 +25,13 @@ WINDOW = 20
 #: Words whose run decides the bucket of a window: neighbouring windows mostly share it and travel together.
 ANCHOR = 3
 #: Windows that one task handles at a time, and input bytes for each bucket.
-CHUNK, BUCKET_BYTES = 1 << 20, 16 << 20
+CHUNK, BUCKET_BYTES = 1 << 19, 4 << 20
 #: Runs that a bucket may have before they are compacted.
 FANOUT = 4
 #: Batches that a whole table is indexed in.
 BATCHES = 2
 #: Distinct words whose hashes a task remembers; beyond that it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
