@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import books, ledger
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return books.QUERIES | ledger.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return books.SQL | ledger.SQL
