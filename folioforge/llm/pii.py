@@ -92,17 +92,22 @@ def disclosing(docs: DataFrame) -> DataFrame:
     each = stored(each, "pii-near")
     entities = each.groupBy("entity").agg(F.count_distinct("doc_id").alias("n_e")).where(F.col("n_e") >= SUPPORT)
     pairs = each.select("doc_id", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
-    pairs = stored(pairs.join(entities, "entity"), "pii-pairs")
+    # A term occurs in as many documents at least as it stands next to any entity in: what this bound rules out needs no count.
+    n = docs.count()
+    beside = each.select("doc_id", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    likely = pairs.join(entities, "entity").join(beside, "term").where(_share(n) >= DISCLOSURE).drop("n_t")
+    pairs = stored(likely, "pii-pairs")
     wanted, n_terms = _counted(pairs.select("term").distinct())
-    empty = pairs.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
     if not n_terms:
-        return empty
+        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure"))
     counts = _terms(docs).join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    n = docs.count()
+    return pairs.join(counts, "term").select("entity", "term", _share(n).alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
+
+
+def _share(n: int) -> Column:
+    """The mutual information of term and entity as a share of the entity's, from n_e, n_t and n_et of n documents."""
     p = lambda c: F.col(c) / F.lit(float(n))
-    pmi = F.log(p("n_et") / (p("n_e") * p("n_t")))
-    share = F.when(F.col("n_e") < n, pmi / -F.log(p("n_e"))).otherwise(F.lit(0.0))
-    return pairs.join(counts, "term").select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
+    return F.when(F.col("n_e") < n, F.log(p("n_et") / (p("n_e") * p("n_t"))) / -F.log(p("n_e"))).otherwise(F.lit(0.0))
 
 
 def _named(kind: str) -> Column:
