@@ -12,6 +12,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from .common import sha256_hex, table
 
 #: Words whose ids, and pairs whose compatibility, a worker remembers before the older ones go.
-REMEMBERED = 400_000
+REMEMBERED, PAIRS = 400_000, 500_000
 #: A last character stands for itself plus the end of its word.
 _END = 0x4000
 
@@ -74,7 +75,7 @@ class Vocabulary:
             self.pair[ids[:2]] = ids[2]
         symbols = self.symbols = {self._symbols(t): i for t, i in vocab.items()}
         #: Whether two ids may stand side by side, for the pairs met so far.
-        self.compatibility: dict[tuple[int, int], bool] = {}
+        self.compatibility: dict[int, bool] = {}
         self.length = [0] * size
         self.shorter = [-1] * size
         self.longest = ahocorasick.Automaton()
@@ -147,11 +148,11 @@ class Vocabulary:
                 if end not in shut:
                     if last < 0:
                         break
-                    fits = table.get((last, token))
+                    fits = table.get(last << 32 | token)
                     if fits is None:
-                        if len(table) >= REMEMBERED:
+                        if len(table) >= PAIRS:
                             table.clear()
-                        fits = table[last, token] = self.compatible(last, token)
+                        fits = table[last << 32 | token] = self.compatible(last, token)
                     if fits:
                         break
                 token = shorter[token]
@@ -197,28 +198,31 @@ class Vocabulary:
         return self.flat[gather], ends[rows]
 
 
-_loaded: dict[int, Vocabulary] = {}
+_loaded: dict[str, Vocabulary] = {}
 
 
-def _vocabulary(raw) -> Vocabulary:
-    """One vocabulary a worker process and broadcast value."""
-    if id(raw) not in _loaded:
-        _loaded[id(raw)] = Vocabulary(raw.value)
-    return _loaded[id(raw)]
+class _Shared:
+    """A vocabulary for the workers.  Each keeps one, by content, with what it remembers: later queries find it warm."""
 
+    def __init__(self, spark, path: str) -> None:
+        with open(path, encoding="utf-8") as f:  # a vocabulary file of fixed size on the driver
+            raw = f.read()
+        self.key, self.raw = xxhash.xxh3_128_hexdigest(raw), spark.sparkContext.broadcast(raw)
 
-def _shared(spark, path: str):
-    with open(path, encoding="utf-8") as f:  # a vocabulary file of fixed size on the driver
-        return spark.sparkContext.broadcast(f.read())
+    def get(self) -> Vocabulary:
+        if self.key not in _loaded:
+            _loaded.clear()
+            _loaded[self.key] = Vocabulary(self.raw.value)
+        return _loaded[self.key]
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df and the token ids of each whole text (array<int>; none for null or empty)."""
-    raw = _shared(df.sparkSession, path)
+    shared = _Shared(df.sparkSession, path)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def of(texts: pa.Array) -> pa.Array:
-        vocabulary = _vocabulary(raw)
+        vocabulary = shared.get()
         parts = [vocabulary.encode(x.as_py()) for x in texts]
         ends = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.empty(0, np.int32)])))
@@ -228,11 +232,11 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df and the text of each row's ids (empty for null or none); out of range ids are an error."""
-    raw = _shared(df.sparkSession, path)
+    shared = _Shared(df.sparkSession, path)
 
     @F.arrow_udf(T.StringType())
     def of(lists: pa.Array) -> pa.Array:
-        vocabulary, texts = _vocabulary(raw), []
+        vocabulary, texts = shared.get(), []
         for at in range(0, len(lists), 256):
             part = lists.slice(at, 256)
             ends = np.concatenate(([0], np.cumsum(part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
