@@ -156,7 +156,10 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; its text is sanitised and n_chars counted anew."""
-    found = find(docs.select("*", F.col("text").alias("_text")), text="_text").drop("n_email", "n_ip", "n_card", "n_phone", "base")
-    clean = found.withColumn("_clean", F.explode(F.array(sanitised(F.col("_text"), F.col("found")))))
-    return clean.select(*(F.col("_clean").alias("text") if c == "text" else F.length("_clean").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
+    """Every document stays; its text is sanitised and n_chars counted anew.  Other columns, whatever their names, are kept."""
+    rest = [c for c in docs.columns if c != "text"]
+    d = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"), F.struct(*rest).alias("_row"))
+    found = find(d, doc_id="_id", text="_text")
+    clean = found.select("_row", F.explode(F.array(sanitised(F.col("_text"), F.col("found")))).alias("_clean"))
+    new = {"text": F.col("_clean"), "n_chars": F.length("_clean").cast("long")}
+    return clean.select(*(new.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns))
