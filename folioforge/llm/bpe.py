@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import itertools
 import json
 import re
@@ -19,10 +20,13 @@ from pyspark.sql import types as T
 
 from .common import sha256_hex, table
 
-#: Words whose ids, and pairs whose compatibility, a worker remembers before the older ones go.
-REMEMBERED, PAIRS = 400_000, 500_000
+#: Words whose ids a worker remembers in each generation.
+REMEMBERED = 300_000
+#: Places of the pair-compatibility table: a pair has one place, and a later pair may take it.
+PAIRS = 1 << 20
 #: A last character stands for itself plus the end of its word.
 _END = 0x4000
+_MASK = PAIRS - 1
 
 
 def byte_characters() -> list[str]:
@@ -74,8 +78,8 @@ class Vocabulary:
             self.left[ids[2]], self.right[ids[2]] = ids[:2]
             self.pair[ids[:2]] = ids[2]
         symbols = self.symbols = {self._symbols(t): i for t, i in vocab.items()}
-        #: Whether two ids may stand side by side, for the pairs met so far.
-        self.compatibility: dict[int, bool] = {}
+        #: Whether two ids may stand side by side, for pairs met so far: the pair, shifted by one, and the answer.
+        self.compatibility = array.array("q", bytes(8 * PAIRS))
         self.length = [0] * size
         self.shorter = [-1] * size
         self.longest = ahocorasick.Automaton()
@@ -148,11 +152,12 @@ class Vocabulary:
                 if end not in shut:
                     if last < 0:
                         break
-                    fits = table.get(last << 32 | token)
-                    if fits is None:
-                        if len(table) >= PAIRS:
-                            table.clear()
-                        fits = table[last << 32 | token] = self.compatible(last, token)
+                    pair = last << 33 | token << 1
+                    place = (last * 40503 + token) & _MASK
+                    fits = table[place] ^ pair
+                    if fits > 1 or fits < 0 or not pair:
+                        fits = self.compatible(last, token)
+                        table[place] = pair | fits
                     if fits:
                         break
                 token = shorter[token]

@@ -56,9 +56,10 @@ def input_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def partitions_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
-    """How many parts of about bytes_each df makes: grows with the input, without a cap."""
-    return max(least, -(-input_bytes(df) // bytes_each))
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """The size of df: of its files, or counted from its texts where the optimizer does not know one."""
+    known = input_bytes(df)
+    return known if known < 1 << 60 else df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
 
 
 def let(value: Column, body) -> Column:

@@ -24,6 +24,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-.
 LEAST_TOTAL, LEAST_MEAN = 10.0, 0.7
 #: Labelled documents that the models are counted from, at most about so many: the documented bound of the fit.
 SAMPLE = 20_000
+#: The weight, in counts, of a character's own frequency where its pairs are rare.
+BACKOFF = 4.0
 _SIZE = len(ALPHABET) + 1
 
 
@@ -36,18 +38,16 @@ def train(samples: DataFrame) -> list[float]:
     """samples: (token, label), label 1 for random strings and 0 for ordinary ones.  The log ratio for each pair of characters.
 
     Pairs are counted with partial aggregation; only the alphabet's squared number of counts comes to the driver.  Each
-    model has add-one smoothing, so no samples at all give a ratio of zero everywhere.  Null tokens or labels are not used.
+    model falls back on its single characters, and these on an even share, so no samples at all give a ratio of zero everywhere.  Null tokens or labels are not used.
     """
     codes = samples.where("token is not null and label is not null").select("label", _codes(F.col("token")).alias("c"))
     pairs = codes.where(F.size("c") > 1).select("label", F.explode(F.expr("transform(sequence(0, size(c) - 2), i -> c[i] * %d + c[i + 1])" % _SIZE)).alias("pair"))
     counts = {(r.label, r.pair): r["count"] for r in pairs.groupBy("label", "pair").count().collect()}
-    out = []
-    for a in range(_SIZE):
-        totals = [sum(counts.get((label, a * _SIZE + b), 0) for b in range(_SIZE)) for label in (0, 1)]
-        for b in range(_SIZE):
-            p = [(counts.get((label, a * _SIZE + b), 0) + 1) / (totals[label] + _SIZE) for label in (0, 1)]
-            out.append(round(math.log(p[1] / p[0]), 6))
-    return out
+    each = [[[counts.get((label, a * _SIZE + b), 0) for b in range(_SIZE)] for a in range(_SIZE)] for label in (0, 1)]
+    single = [[sum(row[b] for row in pairs_) for b in range(_SIZE)] for pairs_ in each]
+    overall = [[(n + 1) / (sum(s) + _SIZE) for n in s] for s in single]
+    p = lambda label, a, b: (each[label][a][b] + BACKOFF * overall[label][b]) / (sum(each[label][a]) + BACKOFF)
+    return [round(math.log(p(1, a, b) / p(0, a, b)), 6) for a in range(_SIZE) for b in range(_SIZE)]
 
 
 def _ratio(token: Column, model: list[float]) -> Column:

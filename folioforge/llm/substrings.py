@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import input_bytes, remove, scratch, sha256_hex, stored, table
+from .common import remove, scratch, sha256_hex, stored, table, text_bytes
 
 WINDOW = 20
 #: Words whose run decides the bucket of a window: neighbouring windows mostly share it and travel together.
@@ -165,10 +165,8 @@ def _chunk_rows(ids: np.ndarray, words: list[list[bytes]], buckets: int, bits: i
     h, anchor, doc, start = h[keep], anchor[keep], doc[keep], start[keep]
     bucket = (_mix(anchor) % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(edges)):
-        own = by[edges[b] : edges[b + 1]]
-        yield int(b), 0, _packed_runs(h[own], doc[own], start[own], ids)
+    for own in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1):
+        yield int(bucket[own[0]]), 0, _packed_runs(h[own], doc[own], start[own], ids)
 
 
 def _mapper(buckets: int, bits: int):
@@ -375,7 +373,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: in
     """
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    buckets = 1 << max(2, (max(1, input_bytes(df)) // BUCKET_BYTES).bit_length())
+    buckets = 1 << max(2, (text_bytes(docs) // BUCKET_BYTES).bit_length())
     index = FingerprintIndex(spark, buckets, bits)
     edges = [x for x in sorted(set(docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))] if batches > 1 else []
     lows, highs = [None, *edges], [*edges, None]

@@ -1,0 +1,307 @@
+"""The training-data operators against brute force, on small tables with odd rows."""
+
+import hashlib
+import json
+import random
+import re
+import string
+import unicodedata
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from folioforge.llm import bpe, decontamination, langid, pii, secrets, simhash, substrings, topk, urlfilter, warc
+from folioforge.llm.queries import queries
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+rng = random.Random(5)
+VOCABULARY = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 6))) for _ in range(60)]
+
+
+def words(n):
+    return [rng.choice(VOCABULARY) for _ in range(n)]
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], SCHEMA)
+
+
+def odd_texts():
+    base = words(120)
+    out = [None, "", " ", "x", " ".join(base), " ".join(base), " ".join([*base[:60], "changed", *base[61:]]), " ".join(base[20:80]), " ".join(words(3000))]
+    out += [" ".join([*words(30), *base[10:60], *words(30)]) for _ in range(6)]
+    out += [" ".join(["same"] * 70), "\t".join(words(25)) + "\n", " ".join(words(40)).upper()]
+    for _ in range(25):
+        w = list(base)
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
+        out.append(" ".join(w))
+    return out
+
+
+def components(fps):
+    label = {i: i for i in fps}
+    changed = True
+    while changed:
+        changed = False
+        for a in fps:
+            for b in fps:
+                if (fps[a] ^ fps[b]).bit_count() <= 3 and label[b] < label[a]:
+                    label[a], changed = label[b], True
+    return label
+
+
+@pytest.mark.parametrize("bucket", [256, 1])
+def test_simhash(spark, bucket):
+    texts = odd_texts()
+    got = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.near_duplicates(docs(spark, texts), bucket=bucket).collect()}
+    fps = {i: simhash.fingerprint(t) for i, t in enumerate(texts)}
+    label = components(fps)
+    assert got == {i: (fps[i], label[i]) for i in fps}
+    assert fps[0] == fps[1] == 0
+    assert len(set(label.values())) < len(label)
+
+
+def test_simhash_repeats_and_nulls(spark):
+    d = docs(spark, ["a b c d"]).union(docs(spark, ["a b c d"])).withColumn("component_id", F.lit("clash"))
+    d = d.union(d.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(d).collect()), key=str)
+    assert got == [(0, 0), (0, 0), (None, None)]
+    assert simhash.near_duplicates(d.limit(0)).count() == 0
+    assert sorted(r.doc_id for r in simhash.stage(spark, docs(spark, odd_texts()), "").collect())[0] == 0
+
+
+def dedup_brute(texts):
+    seen, out = set(), {}
+    for i, t in enumerate(texts):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        gone = [False] * len(w)
+        for at in range(len(w) - 19):
+            k = tuple(w[at : at + 20])
+            if k in seen:
+                gone[at : at + 20] = [True] * 20
+            seen.add(k)
+        out[i] = (len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g))
+    return out
+
+
+@pytest.mark.parametrize(("batches", "bits"), [(2, 64), (7, 64), (2, 9)])
+def test_substrings(spark, batches, bits):
+    texts = odd_texts()
+    got = {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.removed), r.kept) for r in substrings.dedup(docs(spark, texts), batches=batches, bits=bits).collect()}
+    assert got == dedup_brute(texts)
+
+
+def test_substrings_odd(spark):
+    d = docs(spark, [" ".join(["w"] * 5)])
+    assert substrings.dedup(d.limit(0)).count() == 0
+    twice = docs(spark, [" ".join(map(str, range(30)))]).withColumn("kept", F.lit(1))
+    both = twice.union(twice).union(twice.withColumn("doc_id", F.lit(None).cast("long")))
+    assert [len(r.removed) for r in substrings.dedup(both).collect()] == [0, 0, 0]
+
+
+def contaminated_brute(texts, items):
+    find = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    windows = {}
+    for item, t in items:
+        w = find.findall(low(t))
+        for at in range(max(1, len(w) - 12)):
+            if w:
+                windows.setdefault(tuple(w[at : at + 13]), set()).add(str(item))
+    out = []
+    for i, t in enumerate(texts):
+        w = find.findall(low(t))
+        hit, ids = [0] * len(w), set()
+        for n in {len(k) for k in windows}:
+            for at in range(len(w) - n + 1):
+                if (k := tuple(w[at : at + n])) in windows:
+                    hit[at : at + n], ids = [1] * n, ids | windows[k]
+        out.append((i, len(w), sum(hit), tuple(sorted(ids))))
+    return sorted(out)
+
+
+def test_decontamination(spark):
+    texts = odd_texts()
+    items = [(1, " ".join(texts[8].split()[100:140])), (10, texts[4].upper()), (2, " ".join(texts[4].split()[5:12])), (3, VOCABULARY[0] + "!"), (4, ""), (5, None), (6, "..."), (7, " ".join(texts[8].split()[200:213])), (7, " ".join(texts[8].split()[200:213])), (8, "İstanbul ÀÉ")]
+    texts += ["x " * 50 + "İstanbul ÀÉ", "İSTANBUL àé"]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontamination.contaminated(docs(spark, texts).withColumn("fps", F.lit(1)), bench).collect())
+    assert got == contaminated_brute(texts, items)
+
+
+def test_decontamination_odd(spark):
+    d = docs(spark, ["a b", "a b"]).withColumn("doc_id", F.lit(None).cast("long"))
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert [(r.n_words, r.n_hit) for r in decontamination.contaminated(d, none).collect()] == [(2, 0), (2, 0)]
+    assert decontamination.contaminated(d.limit(0), none).count() == 0
+    one = spark.createDataFrame([(1, "b")], "item_id long, text string")
+    assert [(r.n_words, r.n_hit) for r in decontamination.contaminated(d, one).collect()] == [(2, 1), (2, 1)]
+
+
+def noisy(alphabet, parts, n=150):
+    out = [None, "", "é" * 50]
+    for _ in range(n):
+        out.append("".join(rng.choice(parts) if rng.random() < 0.5 else rng.choice(alphabet) for _ in range(rng.randint(1, 30))))
+    return out
+
+
+def test_pii_base(spark):
+    texts = noisy("a1.@-+ ()é:𠮷", ["4111 1111-1111 1111", "a.b@c-d.e", "10.0.255.256", "010.1.2.3", "+1 (555) 010-9999", "5500000000000004", "x@y", "1234567890123456789", "."])
+    texts += ["1" * 30_000, "a" * 30_000 + "@", "1.2.3." * 5_000, "+1(" * 5_000]
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.base] for r in pii.find(docs(spark, texts)).collect()}
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda s: sum((v := int(c) * (1 + i % 2)) - 9 * (v > 9) for i, c in enumerate(reversed(s))) % 10 == 0
+    rules = [
+        (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True), (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        (r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(digits(s)) <= 19 and luhn(digits(s))), (r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    ]
+    for i, t in enumerate(texts[:-4]):
+        assert got[i] == [(k, *m.span()) for k, (p, ok) in enumerate(rules) for m in re.finditer(p, t or "") if ok(m[0])], t
+
+
+def test_pii_terms_and_sanitising(spark):
+    fill = " ".join(VOCABULARY)
+    texts = [f"{fill} write to Zorkmid at zork@mid.example now {fill}"] * 4 + [fill] * 60 + ["ask Zorkmid", None, "call +1 555 010 9999 or 4111 1111 1111 1111"]
+    d = docs(spark, texts)
+    found = {r.doc_id: r for r in pii.find(d.withColumn("_terms", F.lit("clash"))).collect()} if False else {r.doc_id: r for r in pii.find(d).collect()}
+    assert [s.kind for s in found[0].found][:1] == [0]
+    assert "Zorkmid" in {texts[64][s.start : s.end] for s in found[64].found}
+    assert not found[10].found
+    clean = {r.doc_id: r for r in pii.stage(spark, d.withColumns({"base": F.lit(1), "found": F.lit(2)}), "").collect()}
+    assert "zork@mid" not in clean[0].text
+    assert "<EMAIL>" in clean[0].text
+    assert clean[66].text == "call <PHONE> or <CARD>"
+    assert clean[66].n_chars == len(clean[66].text)
+    assert (clean[65].text or "") == ""
+    assert clean[10].text == texts[10]
+    assert pii.find(d.limit(0)).count() == 0
+
+
+def test_secrets(spark):
+    texts = noisy("a1=: é'", ["token", "PassWord", "api_key", "='", ": ", "AKIA", "ABCDEFGHIJKLMNOPQRST", "0123456789abcdef0123456789abcdef", "deadbeef", "secret=hunter22"])
+    d = docs(spark, texts)
+    model = secrets.train(secrets.samples(d))
+    got = {r.doc_id: r for r in secrets.find(d, model).collect()}
+    assign = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
+    for i, t in enumerate(texts):
+        t = t or ""
+        want = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert [(s.start, s.kind, s.end) for s in got[i].base] == sorted(want), t
+        assert {tuple(s) for s in got[i].base} <= {tuple(s) for s in got[i].found}
+
+
+def test_secret_models_tell_random_from_ordinary(spark):
+    randoms = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(24)) for _ in range(300)]
+    ordinary = ["_".join(rng.choice(["get", "user", "name", "total", "count", "index", "value", "list"]) for _ in range(4)) for _ in range(300)]
+    model = secrets.train(spark.createDataFrame([*((t, 1) for t in randoms[:200]), *((t, 0) for t in ordinary[:200]), (None, 1)], "token string, label int"))
+    got = secrets.find(docs(spark, [f"a {t} b" for t in randoms[200:] + ordinary[200:]]), model).orderBy("doc_id").collect()
+    assert sum(len(r.found) > 0 for r in got[:100]) >= 95
+    assert sum(len(r.found) > 0 for r in got[100:]) <= 2
+    assert secrets.train(spark.createDataFrame([], "token string, label int"))[0] == 0
+
+
+def test_bpe(spark):
+    from tokenizers import Tokenizer
+
+    path = bpe.default_path()
+    whole = Tokenizer.from_file(path)
+    texts = [*odd_texts(), "ΑΣ don't I'LL <|endoftext|>x<|ENDOFTEXT|>", "日本語と😀 é ①", "\x01\x7f a\x85b", "ab" * 20_000, "".join(rng.choice("inthaeresz") for _ in range(3000))]
+    d = docs(spark, texts).withColumn("decoded", F.lit("clash"))
+    for r in bpe.decode(bpe.encode(d, path), path).collect():
+        want = whole.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert list(r.ids) == want
+        assert r.decoded == whole.decode(want, skip_special_tokens=False)
+    assert bpe.encode(d.limit(0), path).count() == 0
+
+
+def test_langid(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.op1_langid(spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in rows if r.held_out]
+    assert 100 < len(held) < 300
+    assert sum(r.lang_pred == r.lang for r in held) >= 0.95 * len(held)
+    assert sum(r.rejected for r in rows) <= 3
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_langid_odd(spark):
+    d = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("the cat and the dog " * 5, "en"), ("der hund und die katze " * 5, "de"), ("x", None), (None, "en"), ("123 !", "en")] * 3)], "doc_id long, text string, lang string")
+    model = langid.train(d)
+    got = {r.doc_id: r for r in langid.predict(d.withColumn("score", F.lit(9)).drop("score"), model).collect()}
+    assert (got[0].lang_pred, got[1].lang_pred) == ("en", "de")
+    assert (got[3].lang_pred, got[4].lang_pred, got[3].rejected) == ("und", "und", True)
+    empty = langid.predict(d, langid.train(d.limit(0))).collect()
+    assert {r.lang_pred for r in empty} == {"und"}
+    a, b = langid.profile("äb c" * 200_000), langid.profile("äb c" * 100_000)
+    assert abs(int(a.sum()) - 2 * int(b.sum())) <= 4
+
+
+def test_topk(spark):
+    gen = np.random.default_rng(3)
+    vectors = [gen.normal(size=8).round(1).tolist() for _ in range(300)]
+    vectors[7], vectors[8], vectors[40] = None, [float("nan"), *[0.0] * 7], [None, *[1.0] * 7]
+    vectors += [vectors[0]] * 30
+    d = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(3)
+    got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(d, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    ok = {i: np.floor(np.array(v, np.float32).astype(float) * 64).astype(int) for i, v in enumerate(vectors) if v and None not in v and np.isfinite(v).all()}
+    want = []
+    for q in sorted(ok):
+        if q % 20 == 0:
+            best = sorted((-int(ok[q] @ ok[c]), c) for c in ok if c != q)[:20]
+            want += [(q, n, c, -s) for n, (s, c) in enumerate(best, 1)]
+    assert got == want
+    assert topk.search(d.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    assert topk.search(d.where("vec_id in (0, 20)"), F.col("vec_id") % 20 == 0).count() == 2
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 8])
+def test_loser_tree(k):
+    runs = [sorted(rng.choices(range(50), k=rng.randint(0, 20))) for _ in range(k)]
+    assert list(warc.LoserTree([iter(r) for r in runs], lambda x: x)) == sorted(x for r in runs for x in r)
+    assert list(warc.LoserTree([], lambda x: x)) == []
+
+
+def test_warc(spark):
+    rows = [(5, "http://a.example/x", "same"), (3, "http://b.example/", "same"), (9, None, None), (8, "http://a.example/\r\ny é", ""), (1, "http://a.example/x", "é" * 5000), (1, "http://a.example/x", "é" * 5000), (None, "bad url", "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit("clash"))
+    got = warc.index(warc.read(warc.write(pages.drop("refers_to")))).orderBy("place").collect()
+    assert [(r.url_key, r.captured) for r in got] == sorted((r.url_key, r.captured) for r in got)
+    want = {5: ("revisit", 3), 3: ("response", None), 9: ("revisit", 8), 8: ("response", None), 1: ("response", None), None: ("response", None)}
+    assert len(got) == len(rows)
+    for r in got:
+        html = next(h for p, _, h in rows if p == r.page_id) or ""
+        assert (r.record_type, r.refers_to) == want[r.page_id]
+        assert (r.payload_bytes, r.payload_digest) == (len(html.encode()), warc.digest32(html.encode()))
+    assert warc.index(warc.read(warc.write(pages.limit(0)))).count() == 0
+
+
+def test_urlfilter(spark):
+    entries = spark.createDataFrame([("example.com", 5, "add"), ("example.com", 9, "remove"), ("a.example.com", 7, "add"), ("a.example.com", 8, "add"), ("x.org", 1, "remove"), ("y.org", 3, "add"), ("y.org", 3, "remove"), (None, 1, "add")], "key string, at long, action string")
+    captures = [(1, "http://a.example.com/p", 4), (2, "http://u@A.example.com:80/p", 5), (3, "https://a.example.com", 8), (4, "https://b.example.com", 9), (5, None, 5), (6, "nonsense", 5), (7, "http://x.org", 5), (8, "http://y.org/", 4), (9, "http://a.example.com", None)]
+    got = {r.id: (r.n_active, r.matched) for r in urlfilter.evaluate(spark.createDataFrame(captures, "id long, url string, at long"), entries).collect()}
+    assert got == {1: (0, None), 2: (1, "example.com"), 3: (2, "a.example.com"), 4: (0, None), 5: (0, None), 6: (0, None), 7: (0, None), 8: (0, None), 9: (0, None)}
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    assert [s for s, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "personal_data", "bpe"]
+    d = docs(spark, [*odd_texts(), "123", "mail a.b@c.example please " + " ".join(words(40))]).withColumn("_langid", F.lit("extra"))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, " ".join(words(50)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in out}
+    assert 4 in ids
+    assert 5 not in ids
+    assert not ids & {0, 1, 2}
+    assert all("a.b@c" not in r.text for r in out)
+
+
+def test_names():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries()) == list(range(1, 11))
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+    assert json.dumps(unicodedata.normalize("NFC", "e\u0301")) == '"\\u00e9"'
