@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -52,7 +53,7 @@ def train(samples: DataFrame) -> list[float]:
 
 def _ratio(token: Column, model: list[float]) -> Column:
     """The token's log-likelihood ratio: the sum over its pairs of characters."""
-    llr = F.array(*map(F.lit, model))
+    llr = F.from_json(F.lit(json.dumps(model)), "array<double>")  # folded to one literal
     return let(_codes(token), lambda c: F.aggregate(F.sequence(F.lit(0), F.size(c) - 2), F.lit(0.0), lambda s, i: s + F.coalesce(F.get(llr, F.get(c, i) * _SIZE + F.get(c, i + 1)), F.lit(0.0))))
 
 
