@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from .common import let, sha256_hex
 
-#: Prefix sums double their reach so many times: up to 2**20 matches a text.
-_DOUBLINGS = 20
+#: Prefix sums widen their reach so many times, each time by so much: up to 8**7 matches a text.  Few levels keep plans small.
+_LEVELS, _WIDER = 7, 8
 
 
 def _reach(reach: int):
-    return lambda a: F.when(F.size(a) > reach, F.transform(a, lambda x, i: x + F.when(i >= reach, F.get(a, i - reach)).otherwise(F.lit(0)))).otherwise(a)
+    terms = lambda a, x, i: sum((F.coalesce(F.get(a, i - j * reach), F.lit(0)) for j in range(1, _WIDER)), x)
+    return lambda a: F.when(F.size(a) > reach, F.transform(a, lambda x, i: terms(a, x, i))).otherwise(a)
 
 
 def prefix_sums(values: Column) -> Column:
     """Inclusive running sums of an array of numbers, in n log n steps."""
-    for k in range(_DOUBLINGS):
-        values = let(values, _reach(1 << k))
+    for k in range(_LEVELS):
+        values = let(values, _reach(_WIDER**k))
     return values
 
 
