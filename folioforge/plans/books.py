@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import markers
 from ..functions import sequence as seq
 from ..functions import text as tx
 from ..operators import assemble, rules, state
@@ -145,10 +146,21 @@ def reading_normalise(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(seq.reading_key(F.col("text"))).alias("reading_md5"))
 
 
-QUERIES = {f.__name__: f for f in (page_join_text, paragraph_rows, paragraph_spans, chapter_groups, logical_keys, document_hash, interleave, text_layer_select, import_merge_new, duplicate_pairs, first_per_key, changed_paragraphs, drift_issues, markdown_escape, utf16_slice, diff_counts, reading_normalise)}
+def emit_parse_roundtrip(spark, d):
+    one = F.lit("00000000-0000-0000-0000-000000000001")
+    files = markers.rendered(_pages(spark, d), "conv_id", "turn", "text", "join", one, one)
+    read = files.select("conv_id", markers.parsed(F.col("content")).alias("f")).where("f.error is null").select("conv_id", F.inline("f.pages"))
+    return read.select("conv_id", "page_marker", F.md5("text").alias("text_md5"), "join_to_next")
+
+
+QUERIES = {f.__name__: f for f in (page_join_text, paragraph_rows, paragraph_spans, chapter_groups, logical_keys, document_hash, interleave, text_layer_select, import_merge_new, duplicate_pairs, first_per_key, changed_paragraphs, drift_issues, markdown_escape, utf16_slice, diff_counts, reading_normalise, emit_parse_roundtrip)}
 
 SQL = {
     "page_join_text": _PIECES + "SELECT conv_id, text FROM books",
+    "emit_parse_roundtrip": """
+SELECT conv_id, lpad((row_number() OVER (PARTITION BY conv_id ORDER BY turn))::VARCHAR, 4, '0') AS page_marker, md5(text) AS text_md5,
+  ['DirectJoin', 'SpaceJoin', 'ParagraphBreak', 'SceneBreak', 'Uncertain'][(turn % 5 + 1)::INTEGER] AS join_to_next FROM conversations
+""",
     "paragraph_rows": _LINES + "SELECT conv_id, ordinal, role, md5(plain_text) AS text_md5, start, length FROM paras",
     "paragraph_spans": _LINES + """,
 seg AS (SELECT conv_id, turn AS page, sum(length(piece)) OVER w AS hi, sum(length(piece)) OVER w - length(piece) AS lo FROM pieces WINDOW w AS (PARTITION BY conv_id ORDER BY turn))

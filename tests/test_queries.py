@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from folioforge.functions import markers
 from folioforge.functions import sequence as seq
 from folioforge.functions import text as tx
 from folioforge.operators import assemble, layout, rules, state
@@ -146,3 +147,25 @@ def test_effective_selection(spark):
     held, conflicts = state.effective(spark.createDataFrame(rows, "k int, s string, r string, at int"), ["k"], "s", "r", ["at"])
     assert [(r.k, r.r) for r in held.collect()] == [(1, "aa")]
     assert [(r.k, r.readings) for r in conflicts.collect()] == [(2, 2)]
+
+
+HEAD = "[[FORMAT:2]]\n[[PROJECT_ID:00000000-0000-0000-0000-000000000001]]\n[[BATCH_ID:00000000-0000-0000-0000-000000000002]]\n"
+PAGE = "[[PAGE:0001]]\n[[TEXT_BEGIN]]\n　段落\n\n末尾\n\n[[TEXT_END]]\n[[JOIN_TO_NEXT:ParagraphBreak]]\n"
+REPORT = "[[REPORT_BEGIN]]\nnote\n[[REPORT_END]]\n"
+
+
+def test_markers_accept():
+    got = markers.parse("```text\n" + HEAD + PAGE + REPORT + "```")
+    assert got["error"] is None
+    assert got["pages"] == [{"page_marker": "0001", "text": "　段落\n\n末尾\n", "join_to_next": "ParagraphBreak"}]
+    assert got["report"] == "note"
+    old = markers.parse(HEAD.replace("FORMAT:2", "FORMAT:1") + "[[PAGE:0001]]\n[[PAGE_ROLE:Body]]\n a \n[[PAGE:0001]]\nb")
+    assert [p["text"] for p in old["pages"]] == ["a", "b"]
+
+
+@pytest.mark.parametrize(
+    "content",
+    ["", "x", HEAD, HEAD + PAGE, HEAD + REPORT, HEAD + PAGE.replace("[[TEXT_END]]\n", "") + REPORT, HEAD + "stray\n" + PAGE + REPORT, HEAD + PAGE + PAGE + REPORT, HEAD + PAGE.replace("[[JOIN_TO_NEXT:ParagraphBreak]]\n", "") + REPORT, HEAD + PAGE.replace("ParagraphBreak", "Other") + REPORT, HEAD + PAGE + REPORT + PAGE, HEAD + HEAD + PAGE + REPORT, HEAD.replace("FORMAT:2", "FORMAT:3") + PAGE + REPORT, HEAD + PAGE.replace("末尾", "[[JOIN_TO_NEXT:DirectJoin]]") + REPORT],
+)
+def test_markers_reject(content):
+    assert markers.parse(content)["error"]
