@@ -165,7 +165,7 @@ def test_pii_terms_and_sanitising(spark):
     fill = " ".join(VOCABULARY)
     texts = [f"{fill} write to Zorkmid at zork@mid.example now {fill}"] * 4 + [fill] * 60 + ["ask Zorkmid", None, "call +1 555 010 9999 or 4111 1111 1111 1111"]
     d = docs(spark, texts)
-    found = {r.doc_id: r for r in pii.find(d.withColumn("_terms", F.lit("clash"))).collect()} if False else {r.doc_id: r for r in pii.find(d).collect()}
+    found = {r.doc_id: r for r in pii.find(d).collect()}
     assert [s.kind for s in found[0].found][:1] == [0]
     assert "Zorkmid" in {texts[64][s.start : s.end] for s in found[64].found}
     assert not found[10].found
