@@ -83,9 +83,54 @@ def collapse_blank_lines(c: Column) -> Column:
 
 
 def markdown_escape(c: Column) -> Column:
-    r"""Markdown's own characters with a backslash: anywhere \ ` * _ { } [ ] < > |, and - + # at the start of a line."""
-    c = F.regexp_replace(c, r"([\\`*_{}\[\]<>|])", r"\\$1")
-    return F.regexp_replace(c, r"(?m)^([-+#])", r"\\$1")
+    r"""A run of text as book markdown.
+
+    & < > become entities, \ { } | [ ] * ! _ and backquotes get a backslash.  What would open a block at the very start is
+    defused: the point of a list number, four spaces and a tab by entities, # - + * by a backslash (so * gets two).
+    """
+    c = F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    c = ruby_escape(c)
+    c = (
+        F.when(c.rlike(rf"^\p{{Nd}}+\.[{BLANKS}]"), F.regexp_replace(c, r"^(\p{Nd}+)\.", "$1&#46;"))
+        .when(F.startswith(c, F.lit("    ")), F.concat(F.lit("&#32;" * 4), F.substr(c, F.lit(5))))
+        .when(F.startswith(c, F.lit("\t")), F.concat(F.lit("&#9;"), F.substr(c, F.lit(2))))
+        .when(c.rlike(r"^[#*+-]"), F.concat(F.lit("\\"), c)).otherwise(c)
+    )
+    return F.regexp_replace(c, r"([\[\]*!_`])", r"\\$1")
+
+
+def ruby_escape(c: Column) -> Column:
+    return F.regexp_replace(c, r"([\\{}|])", r"\\$1")
+
+
+def alt_escape(c: Column) -> Column:
+    return F.regexp_replace(c, r"([\\\[\]])", r"\\$1")
+
+
+def html_escape(c: Column) -> Column:
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        c = F.replace(c, F.lit(plain), F.lit(entity))
+    return c
+
+
+def yaml_quote(c: Column) -> Column:
+    """A double-quoted YAML scalar; control characters by their four-digit code."""
+    c = F.regexp_replace(c, r'([\\"])', r"\\$1")
+    for char, name in (("\r", "r"), ("\n", "n"), ("\t", "t")):
+        c = F.replace(c, F.lit(char), F.lit(f"\\{name}"))
+    code = lambda ch: F.when(ch.rlike(r"^[\x00-\x1F\x7F-\x9F]$"), F.concat(F.lit("\\u"), F.lpad(F.hex(F.ascii(ch)), 4, "0"))).otherwise(ch)
+    controls = F.array_join(F.transform(F.split(c, ""), code), "")
+    return F.concat(F.lit('"'), F.when(c.rlike(r"[\x00-\x1F\x7F-\x9F]"), controls).otherwise(c), F.lit('"'))
+
+
+def word_key(text: Column, box: list[Column]) -> Column:
+    """A key of a word by its text and its box to three decimals."""
+    return text_hash(F.concat_ws("\u001f", text, *(F.format_string("%.3f", b.cast("double")) for b in box)))
+
+
+def non_kana(reading: Column) -> Column:
+    """Whether a normalised reading has anything but kana and their marks."""
+    return reading.rlike(r"[^\u3040-\u30ff]")
 
 
 def csv_field(c: Column) -> Column:

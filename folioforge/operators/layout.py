@@ -88,3 +88,26 @@ def reading_order(boxes: DataFrame, page: str, tolerance: float) -> DataFrame:
     placed = each.join(ranked, [page, "n"])
     place = F.row_number().over(Window.partitionBy(page, "column").orderBy("y", "ord")) - 1
     return placed.select(page, "id", "column", place.alias("place"))
+
+
+def page_texts(words: DataFrame, page: str, tolerance: float = 20.0, filtered: bool = True) -> DataFrame:
+    """(page, text): the words (page, id, text, left, top, right, bottom) of each page in reading order.
+
+    A column whose first word is lower than that of the column before it, by 8 or by 0.6 of the upper median width, begins a
+    paragraph.  filtered takes out thin boxes first; words that were reviewed come without.
+    """
+    kept = thin_boxes(words, page) if filtered else words
+    placed = reading_order(kept.select(page, "id", ((F.col("left") + F.col("right")) / 2).alias("x"), F.col("top").alias("y")), page, tolerance)
+    w = kept.select(F.col(page).alias("_p"), F.col("id").cast("long").alias("_id"), "text", "top", (F.col("right") - F.col("left")).alias("width"))
+    both = placed.join(w, (F.col(page) == F.col("_p")) & (F.col("id") == F.col("_id")))
+    columns = both.groupBy(page, "column").agg(F.array_sort(F.collect_list(F.struct("place", "text", "top", "width"))).alias("ws"))
+    rows = columns.groupBy(page).agg(F.array_sort(F.collect_list(F.struct("column", "ws"))).alias("cs"))
+    least = F.greatest(F.lit(8.0), upper_median(F.flatten(F.transform("cs", lambda c: F.transform(c["ws"], lambda x: x["width"])))) * 0.6)
+    first = lambda i: F.get(F.get(F.col("cs"), i)["ws"], F.lit(0))["top"]
+    piece = lambda c, i: F.concat(F.when((i > 0) & (first(i) - first(i - 1) >= least), "\n").otherwise(""), F.array_join(F.transform(c["ws"], lambda x: x["text"]), ""))
+    return rows.select(page, F.array_join(F.transform("cs", piece), "").alias("text"))
+
+
+def low_confidence(words: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """The words that need a review."""
+    return words.where(F.col("confidence") < threshold)

@@ -207,6 +207,5 @@ SELECT doc_id, code FROM (
   UNION ALL SELECT doc_id, 'EmptyConfirmedText' FROM v WHERE trim(edited) = ''
   UNION ALL SELECT doc_id, 'ExtremeTextLengthChange' FROM v WHERE length(text) > 0 AND abs(length(edited) - length(text)) > greatest(20, length(text) // 2))
 """,
-    "markdown_escape": r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '([\\`*_{}\[\]<>|])', '\\\1', 'g'), '(?m)^([-+#])', '\\\1', 'g')) AS escaped_md5 FROM documents""",
     "utf16_slice": "SELECT doc_id, length(text)::INTEGER AS units, CASE WHEN length(text) >= 12 THEN substr(text, 4, 9) END AS part FROM documents",
 }

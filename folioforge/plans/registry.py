@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import books, ledger
+from . import books, desk, ledger
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return books.QUERIES | ledger.QUERIES
+    return books.QUERIES | ledger.QUERIES | desk.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return books.SQL | ledger.SQL
+    return books.SQL | ledger.SQL | desk.SQL | {"markdown_escape": desk.MARKDOWN_ESCAPE}

@@ -123,7 +123,7 @@ def test_text_functions(spark):
     assert one("[[CHAPTER:x]] [[bad]]", "string", tx.bad_markers(c))
     assert not one("[[TITLE:x]] y", "string", tx.bad_markers(c))
     assert one("a\r\n\r\n\r\nb\n", "string", tx.collapse_blank_lines(c)) == "a\n\nb"
-    assert one("*a\n-b_c", "string", tx.markdown_escape(c)) == "\\*a\n\\-b\\_c"
+    assert one("*a\n-b_c", "string", tx.markdown_escape(c)) == "\\\\*a\n-b\\_c"
     assert one('a"b', "string", tx.csv_field(c)) == '"a""b"'
     keys = spark.createDataFrame([("page-10.png",), ("page-2.png",)], "c string").orderBy(tx.natural_key(c)).collect()
     assert [k.c for k in keys] == ["page-2.png", "page-10.png"]
