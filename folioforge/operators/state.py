@@ -56,16 +56,25 @@ def import_new(old: DataFrame, new: DataFrame, hash_: str, order: str) -> DataFr
     return numbered(both, ["_new", order], "position").drop("_new")
 
 
+#: Ranges into which rows are dealt to be numbered, at most, and rows that are looked at to find the end of one.
+RANGES, LOOKED_AT = 512, 20
+
+
 def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """df numbered from 0 in one global order, without drawing all rows into one task.
+    """df numbered from 0 in one global order, whose end must break ties, without drawing all rows into one task.
 
     Rows are dealt to ranges of the order, each range is numbered on its own, and the ranges' sizes, one row for each, are
-    added up before them.
+    added up before them.  The ranges' ends come from the keys of smallest hash, a bounded number, so that they are a function
+    of the rows alone: a range partitioning samples anew each time it runs, and rows counted under one sample would be
+    numbered under another.
     """
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
+    n = max(1, min(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    key = F.struct(*order)
+    picked = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(LOOKED_AT * n)
+    ends = picked.agg(F.filter(F.array_sort(F.collect_list("k")), lambda _, i: (i + 1) % LOOKED_AT == 0).alias("e")).scalar()
+    dealt = df.withColumn("_ends", ends).withColumn("_part", F.size(F.filter("_ends", lambda e: e < key))).drop("_ends")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     local = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     return local.join(F.broadcast(before), "_part").withColumn(out, F.col("_i") + F.col("_before")).drop("_part", "_i", "_before")
 
