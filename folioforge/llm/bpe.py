@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import array
+import functools
 import itertools
 import json
 import re
@@ -36,6 +37,35 @@ def byte_characters() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+@functools.lru_cache(maxsize=4)
+def unlike(raw: str) -> tuple[dict[int, str], dict[str, str]]:
+    """Where the vocabulary's own library knows another Unicode version than Python and regex do.
+
+    ({character: its lower case there}, {L, N or O: characters that are letters, numbers or neither there but not here}).  Asked
+    of the library character by character, between fixed neighbours; white space is the same in all versions.
+    """
+    from tokenizers import Regex, Tokenizer
+    from tokenizers.pre_tokenizers import Split
+
+    normal = Tokenizer.from_str(raw).normalizer
+    split = Split(Regex(next(x["pattern"]["Regex"] for x in json.loads(raw)["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")), "removed", invert=True)
+    here = [(k, regex.compile(rf"\p{{{k}}}")) for k in "LN"]
+    lower, kinds = {}, {"L": "", "N": "", "O": ""}
+    points = [chr(c) for c in range(0x80, 0x32400) if not 0xD800 <= c < 0xE000 and not chr(c).isspace()]
+    for part in itertools.batched(points, 20_000):
+        there = normal.normalize_str(" ".join(f"a{c}a" for c in part)).split(" ")
+        for c, x in zip(part, there, strict=True):
+            if x != unicodedata.normalize("NFC", f"a{c}a").replace("Σ", "σ").lower():
+                lower[ord(c)] = x[1:-1]
+        found = {span for _, span in split.pre_tokenize_str("".join(f" a{c} !{c}" for c in part))}
+        for k, c in enumerate(part):
+            at = 6 * k
+            kind = "L" if (at + 1, at + 3) in found else "O" if (at + 4, at + 6) in found else "N"
+            if kind != next((n for n, p in here if p.match(c)), "O"):
+                kinds[kind] += c
+    return lower, kinds
+
+
 class _Words(dict):
     """Packed ids of the pieces met, in two generations: what is in use survives when the older one goes."""
 
@@ -63,7 +93,7 @@ class Vocabulary:
     that starts at each position; `shorter` has the longest proper prefix of a token that is a token as well.
     """
 
-    def __init__(self, raw: str) -> None:
+    def __init__(self, raw: str, differing: tuple[dict[int, str], dict[str, str]] | None = None) -> None:
         spec = json.loads(raw)
         model = spec["model"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -106,6 +136,15 @@ class Vocabulary:
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pieces = regex.compile(pattern)
         self.ascii_pieces = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"[\p{N}]", "[0-9]").replace(r"\p{N}", "0-9"), re.ASCII)
+        # Texts with a character that the library takes otherwise are split by its classes; a coarse look comes first.
+        self.lower, kinds = unlike(raw) if differing is None else differing
+        other = "".join(kinds.values())
+        either = "".join(map(regex.escape, other)) + "\\0"
+        odd = "".join(map(re.escape, sorted({*other, *map(chr, self.lower)})))
+        self.maybe_odd = re.compile("[" + "".join(map(re.escape, sorted(c for c in {*other, *map(chr, self.lower)} if c < "\U00010000"))) + "\U00010000-\U0010ffff]")
+        self.odd = re.compile(f"[{odd}]") if odd else None
+        as_there = {k: rf"[[\p{{{k}}}--[{either}]]" + "".join(map(regex.escape, kinds[k])) + "]" for k in "LN"}
+        self.odd_pieces = regex.compile(pattern.replace(r"\p{L}", as_there["L"]).replace(r"\p{N}", as_there["N"]), regex.V1)
 
     def _symbols(self, token: str) -> str:
         if self.suffix and token.endswith(self.suffix) and token != self.suffix:
@@ -185,6 +224,8 @@ class Vocabulary:
             if not part.isascii():
                 # The library lower-cases each character by itself; str.lower() has a rule of its own for a final sigma.
                 part, pieces = unicodedata.normalize("NFC", part).replace("Σ", "σ"), self.pieces
+                if self.odd and self.maybe_odd.search(part) and self.odd.search(part):
+                    part, pieces = part.translate(self.lower), self.odd_pieces
             out.append(b"".join(map(self.words.__getitem__, pieces.findall(part.lower()))))
         return np.frombuffer(b"".join(out), np.int32)
 
@@ -212,12 +253,12 @@ class _Shared:
     def __init__(self, spark, path: str) -> None:
         with open(path, encoding="utf-8") as f:  # a vocabulary file of fixed size on the driver
             raw = f.read()
-        self.key, self.raw = xxhash.xxh3_128_hexdigest(raw), spark.sparkContext.broadcast(raw)
+        self.key, self.raw = xxhash.xxh3_128_hexdigest(raw), spark.sparkContext.broadcast((raw, unlike(raw)))
 
     def get(self) -> Vocabulary:
         if self.key not in _loaded:
             _loaded.clear()
-            _loaded[self.key] = Vocabulary(self.raw.value)
+            _loaded[self.key] = Vocabulary(*self.raw.value)
         return _loaded[self.key]
 
 

@@ -204,6 +204,19 @@ def test_secret_models_tell_random_from_ordinary(spark):
     assert secrets.train(spark.createDataFrame([], "token string, label int"))[0] == 0
 
 
+def test_bpe_every_character():
+    """Each character beside a letter, a number and a mark, as the library itself splits and lower-cases it."""
+    from tokenizers import Tokenizer
+
+    path = bpe.default_path()
+    with open(path, encoding="utf-8") as f:
+        raw = f.read()
+    vocabulary = bpe.Vocabulary(raw)
+    texts = [f"a{chr(c)}!x{chr(c)}1 {chr(c)}'s" for c in range(0x32400) if not 0xD800 <= c < 0xE000]
+    want = Tokenizer.from_str(raw).encode_batch(texts, add_special_tokens=False)
+    assert [t for t, w in zip(texts, want, strict=True) if vocabulary.encode(t).tolist() != w.ids] == []
+
+
 def test_bpe(spark):
     from tokenizers import Tokenizer
 
