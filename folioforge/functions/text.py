@@ -10,6 +10,9 @@ BLANKS = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u300
 #: A line that names the kind of a heading, and the marks of a scene break.
 HEADINGS = r"\[\[(?:CHAPTER|TITLE|SECTION_TITLE|SECTION):[^\n]*\]\]"
 SCENE_BREAKS = ("※", "***", "---")
+#: What a chapter's number looks like, and how long the title below it may be.
+CHAPTER_NUMBER = "^(第.{1,12}[章話部巻]|序章|終章|プロローグ|エピローグ)$"
+TITLE_UNITS = 40
 
 
 def is_blank(c: Column) -> Column:
@@ -137,6 +140,35 @@ def csv_field(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
 
 
+def chapter_page(c: Column) -> Column:
+    """A page that opens a chapter, with its headings marked.
+
+    The first line that is not blank is the chapter; if it is a number of the usual kind, a short line right below it is the
+    title.  Blank lines before are dropped; a blank page gives an empty text.
+    """
+    lines = F.split(c, "\r\n|\r|\n", -1)
+    at = F.array_position(F.transform(lines, lambda x: ~is_blank(x)), F.lit(True)).cast("int")
+    chapter, below = strip(F.get(lines, at - 1)), strip(F.get(lines, at))
+    titled = F.coalesce(chapter.rlike(CHAPTER_NUMBER) & (below != "") & (units(below) <= TITLE_UNITS), F.lit(False))
+    begin = at + titled.cast("int")
+    body = F.when(begin < F.size(lines), F.concat(F.lit("\n"), F.array_join(F.slice(lines, begin + 1, F.size(lines)), "\n"))).otherwise("")
+    return F.when(at == 0, "").otherwise(F.concat(F.lit("[[CHAPTER:"), chapter, F.lit("]]"), F.when(titled, F.concat(F.lit("\n[[TITLE:"), below, F.lit("]]"))).otherwise(""), body))
+
+
+def only_members(json: Column, allowed: dict[str, tuple[str, ...]], root: tuple[str, ...]) -> Column:
+    """Whether a JSON text is an object with members of root alone, and the arrays of objects named in allowed have theirs alone.
+
+    Null for null; names are compared with their case.
+    """
+    good = F.coalesce(F.size(F.array_except(F.json_object_keys(json), F.array(*map(F.lit, root)))) == 0, F.lit(False))
+    for name, members in allowed.items():
+        rows = F.from_json(F.get_json_object(json, f"$.{name}"), "array<map<string,string>>")
+        names = F.flatten(F.transform(rows, lambda r: F.map_keys(r)))
+        fits = F.size(F.array_except(names, F.array(*map(F.lit, members)))) == 0
+        good = good & F.coalesce(fits, F.get_json_object(json, f"$.{name}").isNull())
+    return F.when(json.isNotNull(), good)
+
+
 def changed_paragraphs(before: Column, after: Column) -> Column:
     """Lines that differ place by place; lines that only one side has count."""
     pairs = F.zip_with(F.split(newlines(before), "\n"), F.split(newlines(after), "\n"), lambda a, b: ~a.eqNullSafe(b))

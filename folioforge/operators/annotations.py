@@ -148,3 +148,24 @@ def issue_matches(issue: str, row: str) -> Column:
     ids = i("annotation_id").isNotNull() | r("annotation_id").isNotNull()
     same = F.lower(i("paragraph_id")).eqNullSafe(F.lower(r("paragraph_id"))) & i("start").eqNullSafe(r("start")) & i("length").eqNullSafe(r("length"))
     return F.when(ids, F.coalesce(i("annotation_id") == r("annotation_id"), F.lit(False))).otherwise(same)
+
+
+def with_status(selected: DataFrame, paragraphs: DataFrame, status: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors): the selections (batch, pos, paragraph_id, start, length, base_text, reading, status) with a new status, all of a batch or none.
+
+    A batch with any error keeps its statuses; changed tells whether a row's is another now.  errors: (batch, pos, code).
+    """
+    placed = _placed(selected, paragraphs)
+    found, t = F.col("_found").isNotNull(), F.col("_text")
+    inside = (F.col("start") >= 0) & (F.col("length") >= 1) & (F.col("_end") <= tx.units(t))
+    split = tx.splits_pair(t, F.col("start")) | tx.splits_pair(t, F.col("_end"))
+    bad = issues(
+        placed, ["batch", "pos"],
+        {
+            "EMPTY_READING": tx.is_blank(F.col("reading")), "PARAGRAPH_NOT_FOUND": ~found, "INVALID_RANGE": found & ~inside, "INVALID_UTF16_BOUNDARY": found & inside & split,
+            "BASE_TEXT_MISMATCH": found & inside & ~split & ~tx.unit_slice(t, F.col("start"), F.col("length")).eqNullSafe(F.col("base_text")),
+        },
+    )
+    held = selected.join(bad.select(F.col("batch").alias("_b")).distinct(), F.col("batch") == F.col("_b"), "left")
+    new = F.when(F.col("_b").isNull(), F.lit(status)).otherwise(F.col("status"))
+    return held.withColumn("changed", ~F.col("status").eqNullSafe(new)).withColumn("status", new).drop("_b"), bad

@@ -111,3 +111,9 @@ def page_texts(words: DataFrame, page: str, tolerance: float = 20.0, filtered: b
 def low_confidence(words: DataFrame, threshold: float = 0.75) -> DataFrame:
     """The words that need a review."""
     return words.where(F.col("confidence") < threshold)
+
+
+def reading_aids(words: DataFrame, kept: DataFrame, page: str) -> DataFrame:
+    """The distinct words that thin_boxes left out, by value: a word equal to a kept one is none."""
+    value = [page, "text", "confidence", "left", "top", "right", "bottom"]
+    return words.select(*value).distinct().join(kept.select(*value), value, "left_anti")

@@ -186,13 +186,35 @@ def proofreading_package(spark, d):
     return files.select(F.col("batch").alias("conv_id"), "path", n.cast("long").alias("n"))
 
 
+def chapter_pages(spark, d):
+    """Documents as the first pages of chapters: every third under a chapter's number, every seventh below blank lines."""
+    k = F.col("doc_id")
+    page = F.concat(F.when(k % 7 == 0, "\n \n").otherwise(""), F.when(k % 3 == 0, "第三章\n").otherwise(""), F.when(k % 9 == 0, "Above\n").otherwise(""), "text")
+    return table(spark, d, "documents").select("doc_id", F.md5(tx.chapter_page(page)).alias("page_md5"))
+
+
+def strict_members(spark, d):
+    """Events' properties, every fourth with a member too many and every fifth cut short."""
+    k = F.col("event_id")
+    j = F.when(k % 20 == 0, F.lit(None)).when(k % 5 == 0, F.substring("props", 1, 4)).when(k % 4 == 0, F.replace("props", F.lit("}"), F.lit(', "K": 1}'))).otherwise(F.col("props"))
+    return table(spark, d, "events").select("event_id", tx.only_members(j, {}, ("k",)).alias("good"))
+
+
+def status_selections(spark, d):
+    """The well-placed proposals of each batch and event type as one selection to be rejected."""
+    rows, paragraphs, _, _ = _proposals(spark, d)
+    picked = rows.where("pos % 3 <> 0 and start >= 0 and length > 0 and reading <> '' and pos % 7 = 1")
+    out, bad = annotations.with_status(picked.withColumn("batch", F.col("pos") % 101), paragraphs, "Rejected")
+    return out.select("batch", "pos", "status", "changed")
+
+
 def reading_diff(spark, d):
     """Turns against themselves without their vowels, as normalised readings: the changed characters."""
     c = table(spark, d, "conversations").select("conv_id", "turn", seq.diff_counts(F.col("text"), F.regexp_replace("text", "[aeiou]", "")).alias("c"))
     return c.select("conv_id", "turn", "c.added", "c.deleted", "c.replaced", "c.changed")
 
 
-QUERIES = {f.__name__: f for f in (page_order, page_swap, crop_boxes, page_upsert, word_overrides, after_recognition, page_range, word_page_texts, annotation_issues, bulk_confirmable, book_markdown, book_chapters, yaml_scalars, reading_dictionary, supplement_proposals, proofreading_package, reading_diff)}
+QUERIES = {f.__name__: f for f in (page_order, page_swap, crop_boxes, page_upsert, word_overrides, after_recognition, page_range, word_page_texts, annotation_issues, bulk_confirmable, book_markdown, book_chapters, yaml_scalars, reading_dictionary, supplement_proposals, proofreading_package, chapter_pages, strict_members, status_selections, reading_diff)}
 
 _ESC = r"regexp_replace({}, '([\\{{}}|])', '\\\1', 'g')"
 
@@ -248,6 +270,20 @@ SELECT batch, pos FROM r WHERE source = 'TextConfirmed' AND c >= 0.7 AND status
     "book_markdown": _MARKDOWN + "SELECT doc_id, md5(m) AS markdown_md5 FROM m",
     "book_chapters": _MARKDOWN + "SELECT doc_id // 12 AS book, 'chapter-' || lpad((doc_id % 12 // 3 + 1)::VARCHAR, 3, '0') || '.md' AS file, sum(length(m))::BIGINT AS chars FROM m GROUP BY 1, 2",
     "yaml_scalars": r"""SELECT doc_id, md5('"' || replace(replace(replace(regexp_replace(text, '([\\"])', '\\\1', 'g'), chr(13), '\r'), chr(10), '\n'), chr(9), '\t') || '"') AS yaml_md5 FROM documents""",
+    "chapter_pages": r"""
+WITH p AS (SELECT doc_id, regexp_split_to_array(CASE WHEN doc_id % 7 = 0 THEN chr(10) || ' ' || chr(10) ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '第三章' || chr(10) ELSE '' END || CASE WHEN doc_id % 9 = 0 THEN 'Above' || chr(10) ELSE '' END || text, '\r\n|\r|\n') AS l FROM documents),
+f AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: regexp_matches(x, '\S')), true) AS i FROM p),
+h AS (SELECT doc_id, l, i, regexp_replace(l[i], '^\s+|\s+$', '', 'g') AS c, regexp_replace(l[i + 1], '^\s+|\s+$', '', 'g') AS t FROM f),
+o AS (SELECT *, coalesce(c = '第三章' AND t <> '' AND length(t) <= 40, false) AS titled FROM h)
+SELECT doc_id, md5(CASE WHEN coalesce(i, 0) = 0 THEN '' ELSE '[[CHAPTER:' || c || ']]' || CASE WHEN titled THEN chr(10) || '[[TITLE:' || t || ']]' ELSE '' END
+  || CASE WHEN i + titled::INTEGER < len(l) THEN chr(10) || array_to_string(l[i + titled::INTEGER + 1:], chr(10)) ELSE '' END END) AS page_md5 FROM o
+""",
+    "strict_members": "SELECT event_id, CASE WHEN event_id % 20 <> 0 THEN event_id % 5 <> 0 AND event_id % 4 <> 0 END AS good FROM events",
+    "status_selections": _PROPOSALS + """,
+q AS (SELECT pos % 101 AS g, pos, status, found AND s + n <= length(t) AND substr(t, (s + 1)::INTEGER, n::INTEGER) = base AS ok FROM r WHERE pos % 3 <> 0 AND s >= 0 AND n > 0 AND reading <> '' AND pos % 7 = 1),
+w AS (SELECT g, pos, status AS was, CASE WHEN bool_and(ok) OVER (PARTITION BY g) THEN 'Rejected' ELSE status END AS status FROM q)
+SELECT g AS batch, pos, status, was <> status AS changed FROM w
+""",
     "reading_dictionary": """
 WITH g AS (SELECT p_size, p_brand, min(p_type) AS t FROM part GROUP BY 1, 2 HAVING count(DISTINCT p_type) = 1)
 SELECT p_size AS book, string_agg('"' || p_brand || '","' || t || '"' || chr(10), '' ORDER BY p_brand) AS content FROM g GROUP BY 1

@@ -182,6 +182,32 @@ def test_page_texts(spark):
     assert layout.page_texts(d, "page").first().text == "右下左\n字末"
 
 
+def test_chapter_page(spark):
+    cases = {"": "", " \n": "", "\n一\n二": "[[CHAPTER:一]]\n二", "第一章\r\n 夜 \r\n本文\n": "[[CHAPTER:第一章]]\n[[TITLE:夜]]\n本文\n", "序章\n\n本文": "[[CHAPTER:序章]]\n\n本文", "第一章\n" + "長" * 41: "[[CHAPTER:第一章]]\n" + "長" * 41, "終章": "[[CHAPTER:終章]]"}
+    got = spark.createDataFrame(list(enumerate(cases)), "i int, c string").select("i", tx.chapter_page(F.col("c")).alias("r")).orderBy("i").collect()
+    assert [r.r for r in got] == list(cases.values())
+
+
+def test_only_members(spark):
+    cases = {'{"a":1,"b":[{"x":1},{}]}': True, '{"a":1}': True, "{}": True, '{"a":1,"c":2}': False, '{"A":1}': False, '{"b":[{"y":1}]}': False, '{"b":3}': False, "[1]": False, "x": False, "": False}
+    rows = [(i, j) for i, j in enumerate([*cases, None])]
+    got = spark.createDataFrame(rows, "i int, c string").select("i", tx.only_members(F.col("c"), {"b": ("x",)}, ("a", "b")).alias("r")).orderBy("i").collect()
+    assert [r.r for r in got] == [*cases.values(), None]
+
+
+def test_with_status(spark):
+    p = spark.createDataFrame([("P", "a𠮷b")], "paragraph_id string, plain_text string").withColumns({"text_hash": F.lit("h"), "spans": F.array()})
+    rows = [(1, 0, "p", 0, 1, "a", "x", "Proposed"), (1, 1, "P", 3, 1, "b", "x", "Confirmed"), (2, 0, "P", 0, 1, "a", " ", "Proposed"), (2, 1, "Q", 0, 1, "a", "x", "Proposed"), (2, 2, "P", 4, 1, "b", "x", "Proposed"), (2, 3, "P", 2, 1, "b", "x", "Proposed"), (2, 4, "P", 0, 1, "b", "x", "Proposed")]
+    out, bad = annotations.with_status(spark.createDataFrame(rows, "batch int, pos int, paragraph_id string, start int, length int, base_text string, reading string, status string"), p, "Confirmed")
+    assert [r.code for r in bad.orderBy("pos").collect()] == ["EMPTY_READING", "PARAGRAPH_NOT_FOUND", "INVALID_RANGE", "INVALID_UTF16_BOUNDARY", "BASE_TEXT_MISMATCH"]
+    assert [(r.status, r.changed) for r in out.orderBy("batch", "pos").collect()] == [("Confirmed", True), ("Confirmed", False)] + [("Proposed", False)] * 5
+
+
+def test_reading_aids(spark):
+    w = spark.createDataFrame([(1, i, t, 0.9, float(x), 0.0, x + 9.0, 9.0) for i, (t, x) in enumerate([("a", 0), ("b", 20), ("b", 20), ("c", 40), ("a", 0)])], "page int, id long, text string, confidence double, left double, top double, right double, bottom double")
+    assert [r.text for r in layout.reading_aids(w, w.where("id in (0, 3)"), "page").collect()] == ["b"]
+
+
 def test_page_edits(spark):
     p = spark.createDataFrame([("a", i) for i in range(4)] + [("b", 0)], "book string, pos int").withColumn("id", F.col("pos"))
     m = spark.createDataFrame([("a", 1, 9), ("b", 5, 0)], "book string, source int, target int")
