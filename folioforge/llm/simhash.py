@@ -1,4 +1,8 @@
-"""Near duplicates by SimHash fingerprints, pigeonhole blocks and a Hamming check."""
+"""Near duplicates.
+
+op8_simhash: SimHash fingerprints of three-word shingles, pigeonhole blocks and a Hamming check.  The pipeline's stage: five-word
+shingles at a Jaccard similarity of 0.8 or more, candidates by min-hash bands, every pair compared shingle for shingle.
+"""
 
 from __future__ import annotations
 
@@ -21,6 +25,14 @@ SEED = 42
 EDGES = (0, 11, 22, 33, 44, 54, 64)
 #: A block bucket of up to so many fingerprints is joined with itself; larger ones go through hubs (below), which is exact as well.
 BUCKET = 256
+#: The stage's rule: texts are near copies if their sets of so many consecutive words have this Jaccard similarity at least, as a fraction.
+STAGE_SHINGLE, SIMILAR = 5, (4, 5)
+#: Bands, and min-hashes of a band: of pairs at 0.8 all but 1 in 1,200 meet in a band, of pairs at 0.85 all but 1 in 19,000.
+BANDS, ROWS = 18, 5
+#: Words of 64 bits in which shingles are counted modulo 2: they differ in no more bits than the sets differ in shingles.
+SKETCH = 4
+#: Rows that may be broadcast, after they have been counted.
+BROADCAST_ROWS = 200_000
 _PART = 1 << 16
 
 
@@ -119,7 +131,142 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+
+
+def shingles(text: str | None, shingle: int = STAGE_SHINGLE) -> set:
+    """The runs of so many words of a text, or all its words if it has fewer; null and wordless texts have none."""
+    words = _words(text)
+    return set(zip(*(words[k:] for k in range(shingle)), strict=False)) if len(words) >= shingle else {tuple(words)} if words else set()
+
+
+def similar(a: set, b: set) -> bool:
+    both = len(a & b)
+    return both * SIMILAR[1] >= (len(a) + len(b) - both) * SIMILAR[0]
+
+
+_gen = np.random.default_rng(SEED)
+_TIMES, _XOR = (_gen.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
+_TIMES |= np.uint64(1)
+_PLACES = _gen.integers(0, 1 << 64, STAGE_SHINGLE, np.uint64) | np.uint64(1)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def signature(text: str | None) -> tuple[bytes, int, list[int], list[int]]:
+    """A digest of the text's set of shingles, its size, the key of each band and the sketch; a wordless text has no bands."""
+    words = _words(text)
+    if not words:
+        return b"\0" * 16, 0, [], [0] * SKETCH
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = len(h) - STAGE_SHINGLE + 1
+    sums = sum(h[k : k + n] * _PLACES[k] for k in range(STAGE_SHINGLE)) if n > 0 else (h * _PLACES[: len(h)]).sum(keepdims=True) + np.uint64(len(h))
+    grams = np.unique(_mixed(_mixed(sums)))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(grams), 4096):
+        part = grams[None, at : at + 4096] ^ _XOR[:, None]
+        part *= _TIMES[:, None]
+        least = np.minimum(least, part.min(axis=1))
+    bands = [xxhash.xxh64_intdigest(row.tobytes(), t) for t, row in enumerate(least.reshape(BANDS, ROWS))]
+    odd = np.bincount((grams >> np.uint64(64 - (SKETCH * 64).bit_length() + 1)).astype(np.int64), minlength=SKETCH * 64) % 2
+    return xxhash.xxh3_128_digest(grams.tobytes()), len(grams), bands, np.packbits(odd.astype(bool)).view("<u8").tolist()
+
+
+def with_signature(df: DataFrame, text: str) -> DataFrame:
+    """df and a column _s: struct<node, size, bands, sketch>."""
+
+    @F.arrow_udf(T.StructType([T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))]))
+    def of(texts: pa.Array) -> pa.Array:
+        found = [signature(x.as_py()) for x in texts]
+        signed = lambda rows: pa.array([np.array(r, np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64()), signed(f[2] for f in found), signed(f[3] for f in found)], ["node", "size", "bands", "sketch"])
+
+    return df.withColumn("_s", of(F.col(text)))
+
+
+def _may_be_similar(a: str, b: str):
+    """False only for pairs that cannot be similar: by the sizes of their sets, and by the sketches' differing bits."""
+    low, high = F.least(f"{a}.size", f"{b}.size"), F.greatest(f"{a}.size", f"{b}.size")
+    differ = sum((F.bit_count(F.get(f"{a}.sketch", i).bitwiseXOR(F.get(f"{b}.sketch", i))) for i in range(SKETCH)), F.lit(0))
+    return (low * SIMILAR[1] >= high * SIMILAR[0]) & (differ * sum(SIMILAR) <= (low + high) * (SIMILAR[1] - SIMILAR[0]))
+
+
+def _few(df: DataFrame, label: str) -> DataFrame:
+    """df written once, and broadcast if it has few rows."""
+    kept = stored(df, label)
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes whose shingles, the words themselves, are similar; texts: (node, text)."""
+
+    @F.arrow_udf(T.BooleanType())
+    def same(a: pa.Array, b: pa.Array) -> pa.Array:
+        out, last, left = [], None, set()
+        for x, y in zip(a, b, strict=True):
+            x = x.as_py()
+            if x != last:
+                last, left = x, shingles(x)
+            out.append(similar(left, shingles(y.as_py())))
+        return pa.array(out, pa.bool_())
+
+    wanted = _few(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-wanted")
+    some = texts.join(wanted, "node", "left_semi")
+    both = pairs.join(some.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(some.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+    return stored(both.where(same("a", "b")).select("u", "v"), "near-links")
+
+
+def similar_groups(rows: DataFrame) -> DataFrame:
+    """rows: (node, text, _s), node a number of the row's own.  (digest, label): label is one number for each group of near copies.
+
+    Exact copies, by their sets of shingles, are one node.  Members of a band are first compared with one of them, drawn anew
+    for each band; then all pairs of a band that are not yet in one group are.  So a group of near copies of any size costs
+    rows in proportion to its members, and no pair that meets is left out.
+    """
+    each = rows.groupBy(F.col("_s.node").alias("digest")).agg(F.min(F.struct("node", "_s.size", "_s.bands", "_s.sketch")).alias("s"))
+    nodes = stored(each.select("digest", "s.*"), "near-nodes")
+    texts, facts = rows.select("node", "text"), nodes.select("node", "size", "sketch")
+    placed = nodes.select("node", F.explode("bands").alias("key"))
+    met = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = stored(placed.join(met, "key", "left_semi"), "near-bands")
+    hubs = shared.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("h"))
+    pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        a, b = (facts.select(F.col("node").alias(n), F.struct("size", "sketch").alias(s)) for n, s in (("u", "a"), ("v", "b")))
+        return stored(pairs.distinct().join(a, "u").join(b, "v").where(_may_be_similar("a", "b")).select("u", "v"), "near-pairs")
+
+    first = possible(shared.join(hubs, "key").where("node <> h").select(*pair("node", "h")))
+    found = _verified(first, texts)
+    labels = components(found)
+    named = labels.withColumnRenamed("node", "n1")
+    of = shared.join(named, F.col("node") == F.col("n1"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = of.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
+    of = of.join(mixed, "key", "left_semi").join(facts, "node")
+    of = stored(of.select("key", "label", F.struct("node", "size", "sketch").alias("a")), "near-mixed")
+    other = of.select("key", F.col("label").alias("label_b"), F.col("a").alias("b"))
+    rest = of.join(other, "key").where((F.col("label") < F.col("label_b")) & _may_be_similar("a", "b")).select(*pair("a.node", "b.node")).distinct()
+    rest = stored(rest.join(first, ["u", "v"], "left_anti"), "near-pairs")
+    if rest.limit(1).count():
+        labels = components(found.union(_verified(rest, texts)))
+    return nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near duplicates."""
-    others = near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """Keeps one row of each group of near copies, that with the smallest doc_id; any row counts, whatever its doc_id.
+
+    Near copies are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and what these link up;
+    op8's rule (three words, 3 bits) binds that query alone.  A null doc_id comes after all others; among equal doc_ids one row
+    stays for each group.  Texts without words are copies of each other.
+    """
+    row = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_n"))
+    rows = stored(with_signature(row, "_row.text"), "near-rows")
+    labels = similar_groups(rows.select(F.col("_n").alias("node"), F.col("_row.text").alias("text"), "_s"))
+    of = rows.select(F.col("_s.node").alias("digest"), F.struct(F.col("_row.doc_id").isNull(), "_row.doc_id", "_n").alias("k")).join(labels, "digest")
+    several = of.groupBy("label").agg(F.min("k").alias("least"), F.count("*").alias("n")).where("n > 1").select("label", "least")
+    others = _few(of.join(several, "label").where(F.col("k._n") != F.col("least._n")).select("k._n"), "near-others")
+    return rows.join(others, "_n", "left_anti").select("_row.*")

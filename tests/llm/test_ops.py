@@ -72,6 +72,38 @@ def test_simhash_repeats_and_nulls(spark):
     assert sorted(r.doc_id for r in simhash.stage(spark, docs(spark, odd_texts()), "").collect())[0] == 0
 
 
+def near_brute(texts):
+    """The first of each group of texts whose sets of five words are linked at 0.8 or more."""
+    def grams(t):
+        w = t.encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
+
+    sets, label = [grams(t or "") for t in texts], list(range(len(texts)))
+    alike = [(a, b) for b in range(len(texts)) for a in range(b) if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in alike:
+            label[a] = label[b] = min(label[a], label[b])
+    return [i for i, at in enumerate(label) if i == at]
+
+
+def test_near_duplicates_stage(spark):
+    """Planted copies at a similarity of 0.8 to 0.95, chains of them and texts somewhat alike, against all pairs."""
+    gen, texts = random.Random(11), odd_texts()
+    fresh = lambda n: [f"w{gen.randrange(10**6)}" for _ in range(n)]
+    for _ in range(12):
+        base = fresh(gen.choice([60, 150, 400]))
+        for share in (0, 0.004, 0.01, 0.02, 0.04, 0.08):
+            w = list(base)
+            for at in gen.sample(range(len(w)), int(share * len(w))):
+                w[at] = fresh(1)[0]
+            texts.append(" ".join(w))
+        texts.append(" ".join([*base[: len(base) // 2], *fresh(len(base) // 2)]))
+        texts += [" ".join(base[k : k + len(base) // 2]) for k in range(0, 12, 3)]
+    got = sorted(r.doc_id for r in simhash.stage(spark, docs(spark, texts).withColumn("node", F.lit("extra")), "").collect())
+    assert got == near_brute(texts)
+    assert simhash.stage(spark, docs(spark, texts).limit(0), "").count() == 0
+
+
 def dedup_brute(texts):
     seen, out = set(), {}
     for i, t in enumerate(texts):
