@@ -16,11 +16,13 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Terms are letters, so many at least; so many on either side of an entity are held to reveal it, looked for in so many characters.
-TERM_LEAST, NEAR, REACH = 3, 3, 64
+#: Terms are letters, so many at least.
+TERM_LEAST = 3
 #: A term discloses an entity if the mutual information of the two is this share of the entity's information, and if they
 #: meet in so many documents.
 DISCLOSURE, SUPPORT = 0.9, 3
+#: Rounding that the bounds below allow for.
+SLACK = 1e-9
 #: Rows that may be broadcast, after they have been counted.
 BROADCAST_ROWS = 100_000
 
@@ -52,18 +54,6 @@ def _base_row(text: Column) -> Column:
     return F.struct(*(found[k].alias(k) for k in KINDS[:4]))
 
 
-def _near(text: Column, span: Column) -> Column:
-    """The terms next to a span, lower-cased; a word that the reach cuts is none."""
-    low = F.greatest(span["start"] - REACH, F.lit(0))
-    before = F.substring(text, low + 1, span["start"] - low)
-    before = F.when(low > 0, F.regexp_replace(before, r"^\p{L}+", "")).otherwise(before)
-    after = F.substring(text, span["end"] + 1, F.lit(REACH))
-    after = F.when(F.length(after) == REACH, F.regexp_replace(after, r"\p{L}+$", "")).otherwise(after)
-    words = lambda s: F.regexp_extract_all(s, F.lit(rf"\p{{L}}{{{TERM_LEAST},}}"), F.lit(0))
-    some = F.concat(F.slice(F.reverse(words(before)), 1, NEAR), F.slice(words(after), 1, NEAR))
-    return F.array_distinct(F.transform(some, lambda w: F.lower(w)))
-
-
 def _counted(df: DataFrame) -> tuple[DataFrame, int]:
     """df written once, broadcast if it has few rows, and its number of rows."""
     kept = stored(df, "pii")
@@ -71,31 +61,40 @@ def _counted(df: DataFrame) -> tuple[DataFrame, int]:
     return (F.broadcast(kept) if rows <= BROADCAST_ROWS else kept), rows
 
 
+def _distinct_terms(text: Column) -> Column:
+    return F.filter(F.array_distinct(F.split(F.lower(text), r"\P{L}+")), lambda t: F.length(t) >= TERM_LEAST)
+
+
 def _terms(docs: DataFrame) -> DataFrame:
     """(doc_id, term) for every distinct term of every whole text."""
-    parts = F.array_distinct(F.split(F.lower("text"), r"\P{L}+"))
-    return docs.select("doc_id", F.explode(parts).alias("term")).where(F.length("term") >= TERM_LEAST)
+    return docs.select("doc_id", F.explode(_distinct_terms(F.col("text"))).alias("term"))
 
 
 def disclosing(docs: DataFrame) -> DataFrame:
     """(entity, term, disclosure): terms that tell of an entity more than DISCLOSURE allows.
 
     docs: (doc_id, text), no nulls in text.  Documents are counted over the whole corpus: how many hold the entity, the term,
-    and the term next to the entity.  The pointwise mutual information of the last against the first two, as a share of the
+    and both, wherever in the text.  The pointwise mutual information of the last against the first two, as a share of the
     entity's own information -log p(entity), is 1 if the term never occurs without the entity and 0 if it tells nothing.
-    Copies of a text count as documents.  A hot term costs a count for each task, not a row for each document.
+    Rows count as documents, copies of a text and null ids too.  A hot term or entity costs a count for each task, not a row
+    for each document.  Before pairs are made, only what cannot reach the share or SUPPORT is left out.
     """
     has = F.col("text").rlike(r"@|\+[0-9]|[0-9][\x20.-]?[0-9]")
-    rows = docs.where(has).select("doc_id", "text", F.explode(F.array(_base_row(F.col("text")))).alias("b"))
-    entity = F.concat(*(_named(k) for k in KINDS[:4]))
-    each = rows.select("doc_id", "text", F.explode(entity).alias("e")).select("doc_id", F.col("e.entity").alias("entity"), _near(F.col("text"), F.col("e")).alias("terms"))
-    each = stored(each, "pii-near")
-    entities = each.groupBy("entity").agg(F.count_distinct("doc_id").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    pairs = each.select("doc_id", "entity", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
-    # A term occurs in as many documents at least as it stands next to any entity in: what this bound rules out needs no count.
+    rows = docs.where(has).select("text", F.explode(F.array(_base_row(F.col("text")))).alias("b"))
+    named = F.array_distinct(F.concat(*(_named(k) for k in KINDS[:4])))
+    rows = rows.select("text", F.explode(F.array(named)).alias("entities")).where(F.size("entities") > 0)
+    each = stored(rows.select("entities", _distinct_terms(F.col("text")).alias("terms")), "pii-rows")
     n = docs.count()
-    beside = each.select("doc_id", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    likely = pairs.join(entities, "entity").join(beside, "term").where(_share(n) >= DISCLOSURE).drop("n_t")
+    # Two meet in no more documents than the entity has, so that one in fewer than SUPPORT has no pair.
+    entities, n_entities = _counted(each.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT))
+    # A term occurs in as many documents at least as it does beside entities, and meets one in n_e or n_t at most.
+    beside = each.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= SUPPORT)
+    most = entities.agg(F.max("n_e")).first()[0] if n_entities else 0
+    best = _share(n, F.least("n_e", "n_t")) >= DISCLOSURE - SLACK
+    beside, _ = _counted(beside.withColumn("n_e", F.lit(most).cast("long")).where(best | (F.col("n_t") <= F.col("n_e"))).drop("n_e"))
+    held = each.select("terms", F.explode("entities").alias("entity")).join(entities, "entity").select("entity", "n_e", F.explode("terms").alias("term"))
+    met = held.join(beside, "term").where(best).groupBy("entity", "term").agg(F.max("n_e").alias("n_e"), F.max("n_t").alias("n_t"), F.count("*").alias("n_et"))
+    likely = met.where((F.col("n_et") >= SUPPORT) & (_share(n) >= DISCLOSURE - SLACK)).drop("n_t")
     pairs = stored(likely, "pii-pairs")
     wanted, n_terms = _counted(pairs.select("term").distinct())
     if not n_terms:
@@ -104,14 +103,14 @@ def disclosing(docs: DataFrame) -> DataFrame:
     return pairs.join(counts, "term").select("entity", "term", _share(n).alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
 
 
-def _share(n: int) -> Column:
+def _share(n: int, n_et: Column | str = "n_et") -> Column:
     """The mutual information of term and entity as a share of the entity's, from n_e, n_t and n_et of n documents."""
-    p = lambda c: F.col(c) / F.lit(float(n))
-    return F.when(F.col("n_e") < n, F.log(p("n_et") / (p("n_e") * p("n_t"))) / -F.log(p("n_e"))).otherwise(F.lit(0.0))
+    p = lambda c: (F.col(c) if isinstance(c, str) else c) / F.lit(float(n))
+    return F.when(F.col("n_e") < n, F.log(p(n_et) / (p("n_e") * p("n_t"))) / -F.log(p("n_e"))).otherwise(F.lit(0.0))
 
 
 def _named(kind: str) -> Column:
-    return F.transform(f"b.{kind}", lambda s: F.struct(F.concat(F.lit(f"{kind}:"), s["value"]).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
+    return F.transform(f"b.{kind}", lambda s: F.concat(F.lit(f"{kind}:"), s["value"]))
 
 
 def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -211,6 +211,33 @@ def test_pii_terms_and_sanitising(spark):
     assert pii.find(d.limit(0)).count() == 0
 
 
+def test_pii_terms_of_the_whole_document(spark):
+    """A name far from the entity, in every document with it; one that is mostly elsewhere."""
+    fill = " ".join(VOCABULARY)
+    texts = [f"Zorkmid {fill} Often {fill} write to zork@mid.example {fill}"] * 4 + [f"{fill} Often"] * 20 + [fill] * 60
+    found = {(r.entity, r.term): r.disclosure for r in pii.disclosing(docs(spark, texts)).collect()}
+    assert found["email:zork@mid.example", "zorkmid"] == pytest.approx(1)
+    assert "often" not in {t for _, t in found}
+    clean = {r.doc_id: r.text for r in pii.stage(spark, docs(spark, texts), "").collect()}
+    assert clean[0].startswith("<TERM> ")
+    assert [clean[i] for i in range(4, 84)] == texts[4:]
+
+
+def test_pii_disclosure_is_counted_exactly(spark):
+    gen, names = random.Random(3), [f"n{k:c}x" .replace("n", "nn") for k in range(97, 117)]
+    texts = [" ".join(gen.sample(names, 3) + [f"u{k}@a.example" for k in gen.sample(range(6), gen.randrange(2))]) for _ in range(400)]
+    texts += [f"qqq u{k}@a.example" for k in (1, 1, 1, 1)] + ["rrr u9@b.example", "rrr u9@b.example sss", "rrr u9@b.example sss", "sss"]
+    sets = [(set(re.findall("[a-z]{3,}", t)), set(re.findall(r"[a-z0-9]+@[a-z.]+", t))) for t in texts]
+    want, n = {}, len(texts)
+    for e in set().union(*(s[1] for s in sets)):
+        for t in set().union(*(s[0] for s in sets)):
+            n_e, n_t, n_et = sum(e in s[1] for s in sets), sum(t in s[0] for s in sets), sum(e in s[1] and t in s[0] for s in sets)
+            if n_et >= 3 and (share := np.log(n_et * n / (n_e * n_t)) / np.log(n / n_e)) >= 0.9:
+                want[f"email:{e}", t] = pytest.approx(share)
+    assert want
+    assert {(r.entity, r.term): r.disclosure for r in pii.disclosing(docs(spark, texts)).collect()} == want
+
+
 def test_secrets(spark):
     texts = noisy("a1=: é'", ["token", "PassWord", "api_key", "='", ": ", "AKIA", "ABCDEFGHIJKLMNOPQRST", "0123456789abcdef0123456789abcdef", "deadbeef", "secret=hunter22"])
     d = docs(spark, texts)
