@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import let, sha256_hex
 
-#: Prefix sums widen their reach so many times, each time by so much: up to 8**7 matches a text.  Few levels keep plans small.
-_LEVELS, _WIDER = 7, 8
+#: Prefix sums widen their reach so many times, each time by so much: up to 8**11 elements, more than an array can have (2**31).
+#: Levels beyond an array's size leave it alone; few levels keep plans small.
+_LEVELS, _WIDER = 11, 8
 
 
 def _reach(reach: int):

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, decontamination, langid, pii, secrets, simhash, substrings, topk, urlfilter, warc
+from folioforge.llm import bpe, decontamination, langid, pii, secrets, simhash, spans, substrings, topk, urlfilter, warc
 from folioforge.llm.queries import queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -238,6 +238,13 @@ def test_pii_disclosure_is_counted_exactly(spark):
     assert {(r.entity, r.term): r.disclosure for r in pii.disclosing(docs(spark, texts)).collect()} == want
 
 
+def test_prefix_sums_of_very_many(spark):
+    n = spans._WIDER**7 + 9
+    ends = spark.range(1).select(F.expr(f"transform(sequence(1, {n}), x -> 3)").alias("a")).select(spans.prefix_sums(F.col("a")).alias("s"))
+    assert ends.select(F.slice("s", n - 11, 12)).first()[0] == [3 * k for k in range(n - 11, n + 1)]
+    assert spans._WIDER**spans._LEVELS >= 1 << 31
+
+
 def test_secrets(spark):
     texts = noisy("a1=: é'", ["token", "PassWord", "api_key", "='", ": ", "AKIA", "ABCDEFGHIJKLMNOPQRST", "0123456789abcdef0123456789abcdef", "deadbeef", "secret=hunter22"])
     d = docs(spark, texts)
