@@ -16,8 +16,11 @@ SAMPLE = 1200
 #: Centroids per language, and rounds of clustering.
 CENTROIDS = 4
 ROUNDS = 8
-#: A text is rejected where its best similarity is under this share of the lowest hundredth of the sample's texts of its length.
-REJECT = 0.25
+#: A text is rejected where its best similarity is under this share of the lowest hundredth of the sample's texts of its language,
+#: of its length or of all lengths, whichever is lower.
+REJECT = 0.5
+#: In texts under 2**(SHORT - 1) n-grams (about 42 letters) words score like gibberish: there the share falls with the square of the length.
+SHORT = 8
 #: The largest inverse document frequency.
 IDF_MOST = 4.0
 UNKNOWN = "und"
@@ -97,11 +100,18 @@ def _cluster(vectors: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
 
 
 class Model:
-    """idf, the centroids with their languages, and the least similarity for each length."""
+    """idf, the centroids with their languages, and the least similarity for each language and length."""
 
     def __init__(self, idf, langs, centroids, floors) -> None:
         self.idf, self.langs, self.centroids, self.floors = idf, langs, centroids, floors
 
+    def floor(self, lang: str, length: int) -> float:
+        """The least similarity; a length that the language's sample does not hold takes the nearest one's, the shorter of two."""
+        own = self.floors.get(lang)
+        if not own:
+            return 0.0
+        return own[min(own, key=lambda b: (abs(b - length), b))] * 4.0 ** min(0, length - SHORT)
+
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         counts = profile(text)
         if counts is None or not self.langs:
@@ -109,7 +119,7 @@ class Model:
         near = self.centroids @ _vector(counts, self.idf)
         best = int(np.argmax(near))
         score = min(1.0, max(0.0, float(near[best])))
-        return self.langs[best], score, score < self.floors.get(_length_bin(counts), 0.0)
+        return self.langs[best], score, score < self.floor(self.langs[best], _length_bin(counts))
 
 
 def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
@@ -154,21 +164,23 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
         found = _cluster(vectors, centroids)
         best = (vectors @ found.T).max(1)
         bins = np.array([_length_bin(c) for c in counts])
+        lowest = float(np.quantile(best, 0.01))
         out = [{"lang": batch["lang"].iloc[0], "kind": "centroid", "bin": 0, "value": row.tolist()} for row in found]
-        out += [{"lang": batch["lang"].iloc[0], "kind": "floor", "bin": int(b), "value": [float(np.quantile(best[bins == b], 0.01))]} for b in np.unique(bins)]
+        out += [{"lang": batch["lang"].iloc[0], "kind": "floor", "bin": int(b), "value": [REJECT * min(lowest, float(np.quantile(best[bins == b], 0.01)))]} for b in np.unique(bins)]
         return pd.DataFrame(out)
 
     got = drawn.groupBy("lang").applyInPandas(fit, "lang string, kind string, bin long, value array<float>").toPandas().sort_values(["lang", "kind", "bin"], kind="stable")
     mid = got[got["kind"] == "centroid"]
     low = got[got["kind"] == "floor"]
-    floors = {int(b): REJECT * min(float(v[0]) for v in g["value"]) for b, g in low.groupby("bin")}
+    floors = {lang: {int(b): float(v[0]) for b, v in zip(g["bin"], g["value"], strict=True)} for lang, g in low.groupby("lang")}
     return Model(idf, list(mid["lang"]), np.stack(mid["value"].to_list()).astype(np.float32) if len(mid) else np.zeros((0, BUCKETS), np.float32), floors)
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lang_pred (und without a letter), score (cosine with the nearest centroid, 0 to 1) and rejected.
 
-    rejected is true for texts without a letter and for those too far from every centroid for their length.
+    rejected is true for texts without a letter and for those too far from every centroid for their length and the language
+    predicted.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 

@@ -319,6 +319,21 @@ def test_langid_odd(spark):
     assert abs(int(a.sum()) - 2 * int(b.sum())) <= 4
 
 
+def test_langid_rejects_what_is_none_of_the_languages(spark):
+    gen = random.Random(9)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.train(d.where("doc_id % 2 = 0"))
+    finnish = "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto "
+    turkish = "bütün insanlar hür haysiyet ve haklar bakımından eşit doğarlar akıl ve vicdana sahiptirler ve birbirlerine karşı "
+    strange = [finnish, finnish * 8, turkish, turkish * 8, *("".join(gen.choice(string.ascii_lowercase + " ") for _ in range(n)) for n in (150, 700, 3000))]
+    assert [t[:30] for t in strange if not model.predict(t)[2]] == []
+    lettered = [r.text for r in d.where("lang is not null").collect() if langid.profile(r.text) is not None]
+    assert sum(model.predict(t)[2] for t in lettered) <= 1
+    single = [w for t in lettered[:100] for w in t.split()[:3] if w.isalpha()]
+    assert sum(model.predict(w)[2] for w in single) <= 0.01 * len(single)
+    assert model.floor("en", 40) == model.floor("en", max(model.floors["en"])) > 0
+
+
 def test_topk(spark):
     gen = np.random.default_rng(3)
     vectors = [gen.normal(size=8).round(1).tolist() for _ in range(300)]
