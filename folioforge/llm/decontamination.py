@@ -55,6 +55,11 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     Null and empty texts have no words and no hits; items without words are ignored; repeated rows, of either side, give the
     same results for each; other columns are ignored.  A passage that very many documents hold costs each one row.
     """
+    return _contaminated(docs, items, doc_id, text, item_id, item_text).drop("th")
+
+
+def _contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """contaminated() with th, the text's hash, which with doc_id names a row."""
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     windows = _windows(items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text")))
     lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # 1 to WINDOW at most
@@ -76,7 +81,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
     else:
         out = base.withColumns({"n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return out.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), each.alias("_c")).drop("_c")
+    return out.select("doc_id", "th", F.col("n_words").cast("long").alias("n_words"), F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), each.alias("_c")).drop("_c")
 
 
 def _windows(items: DataFrame) -> DataFrame:
@@ -128,6 +133,7 @@ def op7_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
-    bad = contaminated(docs, table(spark, sf_dir, "benchmark")).where(is_contaminated()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Drops contaminated rows: a null doc_id is an id like any other, and of several texts of one doc_id only contaminated ones go."""
+    bad = _contaminated(docs, table(spark, sf_dir, "benchmark")).where(is_contaminated()).select(F.col("doc_id").alias("_bad_id"), F.col("th").alias("_bad_th")).distinct()
+    bad = stored(bad, "decontamination-bad")
+    return docs.join(_small(bad, bad.count()), F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_th")), "left_anti").select(*docs.columns)

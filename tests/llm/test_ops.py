@@ -172,6 +172,19 @@ def test_decontamination_odd(spark):
     assert [(r.n_words, r.n_hit) for r in decontamination.contaminated(d, one).collect()] == [(2, 1), (2, 1)]
 
 
+def test_stages_with_null_and_repeated_ids(spark, tmp_path):
+    clean, passage = " ".join(f"c{k}" for k in range(40)), " ".join(f"p{k}" for k in range(40))
+    rows = [(None, passage), (None, clean), (1, passage), (1, clean), (2, None), (None, None)]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = [(r.doc_id, r.text) for r in decontamination.stage(spark, d, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(None, clean), (1, clean), (2, None), (None, None)], key=str)
+    copies = [(7, clean), (7, clean), (7, passage), (None, clean), (None, passage + " end"), (None, "x y"), (None, "x y")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in copies], SCHEMA)
+    got = [(r.doc_id, r.text) for r in simhash.stage(spark, d, "").collect()]
+    assert sorted(got, key=str) == sorted([(7, clean), (7, passage), (None, "x y")], key=str)
+
+
 def noisy(alphabet, parts, n=150):
     out = [None, "", "é" * 50]
     for _ in range(n):
