@@ -38,14 +38,14 @@ def block_top(weights: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarr
     lists = np.sort(x, axis=0)
     plus, minus = np.maximum(weights, 0), np.minimum(weights, 0)
     same = own[:, None] == ids[None, :]
-    alive, depth = ~same, max(1, m // 8)
+    alive, depth, lowest = ~same, max(1, m // 8), _lowest(x.dtype)
     while True:
         high, low = lists[m - depth], lists[depth - 1]
         upper = plus @ np.maximum(x, high).T + minus @ np.minimum(x, low).T
         least = floor
-        if m > k and not np.isfinite(floor).all():
+        if m > k and (floor == lowest).any():
             lower = plus @ np.where(x >= high, x, lists[0]).T + minus @ np.where(x <= low, x, lists[-1]).T
-            lower[same] = -np.inf
+            lower[same] = lowest
             least = np.maximum(floor, np.partition(lower, m - k, axis=1)[:, m - k])
         alive &= upper >= least[:, None]
         if depth == m or alive.sum() <= 4 * k * len(weights):
@@ -73,6 +73,11 @@ def _exact_type(a: int, b: int, width: int):
     return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
 
 
+def _lowest(kind):
+    """What is less than any score, in the matrices' own type."""
+    return np.iinfo(kind).min if np.issubdtype(kind, np.integer) else -np.inf
+
+
 def whole_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
     """(vec_id, v): floor(SCALE * component) of the vectors that take part."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
@@ -120,7 +125,7 @@ def _local(shared, width: int, k: int, kind):
     def run(batches):
         qids, q = shared.value
         rows, scores, ids = (np.empty(0, np.int64) for _ in range(3))
-        floor = np.full(len(qids), -np.inf)
+        floor = np.full(len(qids), _lowest(kind), kind)
 
         def take(cids, x):
             nonlocal rows, scores, ids

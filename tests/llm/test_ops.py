@@ -365,6 +365,17 @@ def test_topk(spark):
     assert topk.search(d.where("vec_id in (0, 20)"), F.col("vec_id") % 20 == 0).count() == 2
 
 
+def test_topk_of_large_components(spark):
+    gen = np.random.default_rng(4)
+    vectors = [gen.normal(size=8).round(1).tolist() for _ in range(100)]
+    vectors[33] = [1e6, -1e6, *[2e6] * 6]
+    d = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").repartition(2)
+    got = [(r.query_id, r.vec_id, r.score) for r in topk.search(d, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
+    ok = [[int(np.floor(float(np.float32(x)) * 64)) for x in v] for v in vectors]
+    dot = lambda a, b: sum(x * y for x, y in zip(ok[a], ok[b], strict=True))
+    assert got == [(q, c, -s) for q in range(0, 100, 20) for s, c in sorted((-dot(q, c), c) for c in range(100) if c != q)[:20]]
+
+
 @pytest.mark.parametrize("k", [1, 2, 3, 5, 8])
 def test_loser_tree(k):
     runs = [sorted(rng.choices(range(50), k=rng.randint(0, 20))) for _ in range(k)]
