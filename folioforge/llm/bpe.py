@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import sha256_hex, table
+from .common import free, sha256_hex, table
 
-#: Words whose ids a worker remembers in each generation.
-REMEMBERED = 200_000
+#: Words whose ids a worker remembers in each generation, and their characters at most: with both, what it remembers is bounded in bytes.
+REMEMBERED, LONGEST = 200_000, 64
 #: Places of the pair-compatibility table: a pair has one place, and a later pair may take it.
 PAIRS = 1 << 20
 #: A last character stands for itself plus the end of its word.
@@ -78,6 +78,8 @@ class _Words(dict):
         if found is None:
             ids = self.vocabulary.encode_word(word)
             found = struct.pack(f"={len(ids)}i", *ids)
+            if len(word) > LONGEST:
+                return found
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
@@ -263,7 +265,7 @@ class _Shared:
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """df and the token ids of each whole text (array<int>; none for null or empty)."""
+    """df and the token ids of each whole text (array<int>; none for null or empty), as out or, where df has a column so named, out with a _ after it."""
     shared = _Shared(df.sparkSession, path)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
@@ -273,11 +275,11 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
         ends = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.empty(0, np.int32)])))
 
-    return df.withColumn(out, of(F.col(text)))
+    return df.withColumn(free(df, out), of(F.col(text)))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """df and the text of each row's ids (empty for null or none); out of range ids are an error."""
+    """df and the text of each row's ids (empty for null or none); out of range ids are an error.  Named as in encode()."""
     shared = _Shared(df.sparkSession, path)
 
     @F.arrow_udf(T.StringType())
@@ -295,7 +297,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
                 texts += [whole[a:b].decode("utf-8") for a, b in itertools.pairwise(cuts.tolist())]
         return pa.array(texts, pa.string())
 
-    return df.withColumn(out, of(F.col(ids)))
+    return df.withColumn(free(df, out), of(F.col(ids)))
 
 
 def default_path() -> str:
@@ -313,6 +315,6 @@ def op5_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
-    """The kept documents with their token ids and the decoded text, extra columns kept."""
+    """The kept documents with their token ids and the decoded text, as ids and decoded; where docs has such columns, with a _ after the name."""
     path = path or default_path()
-    return decode(encode(docs, path), path)
+    return decode(encode(docs, path), path, ids=free(docs, "ids"))

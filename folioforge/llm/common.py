@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder all executors share: spark.checkpoint.dir; where it is unset, one of our own if there is only this machine, else an error."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioforge-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(found)
@@ -31,12 +36,6 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes the rows once as Parquet in the shared folder and reads them back: survives lost executors."""
     path = scratch(df.sparkSession, label)
@@ -44,6 +43,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: int = 8 << 20, rows: int = 2000) -> Iterator[None]:
+    """Bounds what one Arrow batch holds, so that long texts do not add up; for what runs inside the block."""
+    bounds = {"spark.sql.execution.arrow.maxBytesPerBatch": str(size), "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows)}
+    before = {k: spark.conf.get(k, None) for k in bounds}
+    for k, v in bounds.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder through the file system Spark itself uses."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -62,6 +75,26 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return known if known < 1 << 60 else df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
 
 
+def packed(df: DataFrame, **more: Column) -> DataFrame:
+    """The rows of df as one struct _row beside some columns of our own, so that no name of df's can clash with those."""
+    return df.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias("_row"), *(c.alias(n) for n, c in more.items()))
+
+
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores after it where df has a column so named: what df brings is kept as it is."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def unpacked(rows: DataFrame, df: DataFrame, **more: Column) -> DataFrame:
+    """The rows of packed(df) as they were, and more columns under names that are free in df."""
+    mine = free(df, "_more")
+    both = rows.select("_row", F.struct(*(c.alias(n) for n, c in more.items())).alias(mine))
+    return both.select("_row.*", *(F.col(f"{mine}.{n}").alias(free(df, n)) for n in more))
+
+
 def let(value: Column, body) -> Column:
     """Evaluates value once and hands it to body: a column expression inlined into a lambda would run again for each element."""
     return F.transform(F.array(value), body)[0]

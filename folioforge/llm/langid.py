@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import packed, table, unpacked
 
 #: Buckets that n-grams of one to three characters are hashed to.
 BUCKETS = 8192
@@ -180,7 +180,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """df with lang_pred (und without a letter), score (cosine with the nearest centroid, 0 to 1) and rejected.
 
     rejected is true for texts without a letter and for those too far from every centroid for their length and the language
-    predicted.
+    predicted.  Columns of df that have one of these names are kept; the new one then gets a _ after its name.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -188,7 +188,8 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    return df.withColumn("_langid", of(F.col(text))).select(*df.columns, "_langid.lang_pred", "_langid.score", "_langid.rejected")
+    found = packed(df, _found=of(F.col(text)))
+    return unpacked(found, df, **{c: F.col(f"_found.{c}") for c in ("lang_pred", "score", "rejected")})
 
 
 def held_out(doc_id):
@@ -205,8 +206,6 @@ def op1_langid(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that language identification rejects."""
+    """Drops the documents that language identification rejects: those without a letter, null texts too, and those like no language."""
     model = train(docs.select("doc_id", "text", "lang"))
-    names = {c: f"_in_{c}" for c in docs.columns if c in ("lang_pred", "score", "rejected")}
-    found = predict(docs.withColumnsRenamed(names), model).where(~F.col("rejected")).drop("lang_pred", "score", "rejected")
-    return found.withColumnsRenamed({v: k for k, v in names.items()})
+    return predict(packed(docs, text=F.col("text")), model).where("not rejected").select("_row.*")
