@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stored, table
+from .common import let, packed, stored, table, unpacked
 from .spans import digest, kind_spans, matches, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -19,8 +19,9 @@ PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Terms are letters, so many at least.
 TERM_LEAST = 3
 #: A term discloses an entity if the mutual information of the two is this share of the entity's information, and if they
-#: meet in so many documents.
-DISCLOSURE, SUPPORT = 0.9, 3
+#: meet in so many documents.  One meeting tells nothing: every word that only one document has would disclose each entity in it.
+#: Two of a term and an entity this rare are no chance: of n documents two given ones hold both in one of n * (n - 1) / 2 ways.
+DISCLOSURE, SUPPORT = 0.9, 2
 #: Rounding that the bounds below allow for.
 SLACK = 1e-9
 #: Rows that may be broadcast, after they have been counted.
@@ -117,23 +118,25 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     """df with n_email, n_ip, n_card, n_phone, base and found (arrays of start, kind, end; by kind, then start).
 
     found holds the base spans and, as kind term, every occurrence of a term that discloses an entity (see disclosing), unless
-    it lies in a base span.  Null and empty texts have none; repeated rows have the same spans; names that clash are kept.
+    it lies in a base span.  Null and empty texts have none; repeated rows have the same spans; an empty df gives no rows.
+    Columns of df that have one of these names are kept; the new one then gets a _ after its name.
     """
-    c = F.coalesce(F.col(text), F.lit(""))
-    docs = df.select(F.col(doc_id).alias("doc_id"), c.alias("text"))
+    mine, c = packed(df, _id=F.col(doc_id), _text=F.coalesce(F.col(text), F.lit(""))), F.col("_text")
+    docs = mine.select(F.col("_id").alias("doc_id"), c.alias("text"))
     flagged, n_flagged = _counted(disclosing(docs).select("term").distinct())
     if n_flagged:
         at, _ = _counted(_terms(docs).join(flagged, "term").groupBy("doc_id").agg(F.collect_set("term").alias("_terms")).withColumnRenamed("doc_id", "_pii_id"))
-        rows = df.join(at, F.col(doc_id).eqNullSafe(F.col("_pii_id")), "left")
+        rows = mine.join(at, F.col("_id").eqNullSafe(F.col("_pii_id")), "left")
     else:
-        rows = df.withColumn("_terms", F.lit(None).cast("array<string>"))
+        rows = mine.withColumn("_terms", F.lit(None).cast("array<string>"))
     one = rows.withColumn("_b", F.explode(F.array(_base_row(c))))
     word = matches(c, rf"(?<!\p{{L}})\p{{L}}{{{TERM_LEAST},}}+")
     inside = lambda s: F.exists(F.concat(*(F.col(f"_b.{k}") for k in KINDS[:4])), lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
     extra = F.when(F.col("_terms").isNotNull(), F.filter(word, lambda s: F.array_contains("_terms", F.lower(s["value"])) & ~inside(s))).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
     spans = [kind_spans(F.col(f"_b.{k}"), i) for i, k in enumerate(KINDS[:4])]
     two = one.withColumn("_base", F.concat(*spans))
-    return two.select(*df.columns, *(F.size(f"_b.{k}").cast("long").alias(f"n_{k}") for k in KINDS[:4]), F.col("_base").alias("base"), F.concat("_base", kind_spans(extra, 4)).alias("found"))
+    counts = {f"n_{k}": F.size(f"_b.{k}").cast("long") for k in KINDS[:4]}
+    return unpacked(two, df, **counts, base=F.col("_base"), found=F.concat("_base", kind_spans(extra, 4)))
 
 
 def sanitised(text: Column, found: Column) -> Column:
@@ -150,6 +153,7 @@ def sanitised(text: Column, found: Column) -> Column:
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:
+    """Spans of every whole text; a null text is empty, rows that repeat or lack a doc_id are rows like any other."""
     found = find(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", *(f"n_{k}" for k in KINDS[:4]), digest(written(F.col("base"), KINDS)).alias("base_sha256"), written(F.col("found"), KINDS).alias("spans"))
 
