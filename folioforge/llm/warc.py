@@ -13,13 +13,13 @@ from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch, stored, table
 
 #: Payload bytes of an archive file, captures of an index range, and bytes read at a time.
-SEGMENT, RANGE_ROWS, READ = 64 << 20, 200_000, 1 << 20
+SEGMENT, RANGE_ROWS, READ = 64 << 20, 50_000, 1 << 20
 #: Payloads of at least so many bytes are recorded once; equal later ones revisit them.
 LEAST = 0
 #: Revisits that may be broadcast, after they have been counted.
@@ -246,25 +246,33 @@ def index(runs: DataFrame) -> DataFrame:
     """The capture histories: all captures ordered by URL key and time, with their place in the whole order.
 
     Ranges of keys, cut at sampled quantiles of (key, time), are merged separately; so one URL with very many captures is
-    spread over many ranges.
+    spread over many ranges.  place counts from 0 over the whole index: a range's captures start where those before it end.
     """
     ranges = max(1, -(-runs.count() // RANGE_ROWS))
     merged = runs.repartitionByRange(ranges, "url_key", "captured", F.coalesce("page_id", F.lit(-1))).mapInArrow(_merger, _ENTRY_SQL)
-    return merged.withColumn("place", F.monotonically_increasing_id())
+    # A task's rows are numbered from its partition, shifted by 33 bits, upwards.
+    merged = stored(merged.withColumn("at", F.monotonically_increasing_id()), "warc-index")
+    part, within = F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    starts = merged.groupBy(part).agg(F.count("*").alias("n")).withColumn("start", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    return merged.join(F.broadcast(starts), F.shiftright("at", 33) == F.col("part")).select(*_ENTRY.names, (F.col("start") + within).alias("place"))
 
 
 def op9_warc(spark, sf_dir: str) -> DataFrame:
+    """Captures with their URL key and time, and with the place that the merge gave them among all, from 0."""
     histories = index(read(write(table(spark, sf_dir, "pages"))))
-    return histories.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return histories.select("page_id", "url_key", "captured", "place", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+SQL = r"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS h, strftime(TIMESTAMP '2020-01-01' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS captured,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#@]*@)?([^/:?#]*)(:[0-9]*)?([^?#]*)(\?[^#]+)?', ['login', 'host', 'port', 'path', 'query']) AS u FROM pages),
+k AS (SELECT page_id, coalesce(array_to_string(list_reverse(string_split(lower(u.host), '.')), ',') || ')' || coalesce(nullif(lower(u.path || u.query), ''), '/'), '') AS url_key FROM p),
 f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h),
 v AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(h, i * 5 + 1, 5))::BIGINT) AS g FROM p)
-SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes,
+SELECT page_id, url_key, captured, row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS place, octet_length(payload)::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((g[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), '') AS payload_digest,
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to
-FROM v JOIN f USING (h)
+FROM v JOIN f USING (h) JOIN k USING (page_id)
 """
