@@ -55,10 +55,9 @@ def nearest_links(aids: DataFrame, bodies: DataFrame, page: str) -> DataFrame:
     Two smallest scores are kept per aid while aggregating, so that no group of pairs is ever collected.
     """
     r, b = aids.alias("r"), bodies.alias("b")
-    pairs = r.join(b, (F.col(f"r.{page}") == F.col(f"b.{page}")) & (F.length("b.text") > 0)).select(F.col(f"r.{page}").alias(page), F.col("r.id").alias("id"), F.col("b.id").alias("body"), link_score("r", "b").alias("score"))
-    scored = pairs.where("score is not null")
-    best = scored.groupBy(page, "id").agg(F.min(F.struct("score", "body")).alias("best"))
-    second = scored.join(best, [page, "id"]).where(F.col("body") != F.col("best.body")).groupBy(page, "id").agg(F.min("score").alias("second"))
+    pairs = r.join(b, (F.col(f"r.{page}") == F.col(f"b.{page}")) & (F.length("b.text") > 0) & link_score("r", "b").isNotNull()).select(F.col(f"r.{page}").alias(page), F.col("r.id").alias("id"), F.col("b.id").alias("body"), link_score("r", "b").alias("score"))
+    best = pairs.groupBy(page, "id").agg(F.min(F.struct("score", "body")).alias("best"))
+    second = pairs.join(best, [page, "id"]).where(F.col("body") != F.col("best.body")).groupBy(page, "id").agg(F.min("score").alias("second"))
     out = best.join(second, [page, "id"], "left").where("second is null or abs(second - best.score) >= 0.1")
     return out.select(page, "id", F.col("best.body").alias("body"), (1 / (1 + F.col("best.score"))).alias("confidence"))
 
@@ -69,18 +68,13 @@ def reading_order(boxes: DataFrame, page: str, tolerance: float) -> DataFrame:
     Boxes are taken from the right; one within tolerance of its column's first box joins it, else it opens a column.  Columns
     go by their mean x, members by y.  boxes: (page, id, x, y).
     """
-    rows = F.array_sort(F.collect_list(F.struct((-F.col("x")).alias("nx"), F.col("ord"), F.col("id"), F.col("x"), F.col("y"))))
-    zero = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("n"), F.array().cast("array<struct<n:int,x:double,y:double,ord:bigint,id:bigint>>").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        opens = a["anchor"].isNull() | (F.abs(a["anchor"] - r["x"]) > tolerance)
-        n = a["n"] + F.when(opens, 1).otherwise(0)
-        row = F.struct(n.alias("n"), r["x"].alias("x"), r["y"].alias("y"), r["ord"].alias("ord"), r["id"].alias("id"))
-        return F.struct(F.when(opens, r["x"]).otherwise(a["anchor"]).alias("anchor"), n.alias("n"), F.concat(a["out"], F.array(row)).alias("out"))
-
+    far = lambda a, nx: (F.size(a) == 0) | (F.abs(F.element_at(a, -1) - nx) > tolerance)
     typed = boxes.select(page, F.col("id").cast("long").alias("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("id").cast("long").alias("ord"))
-    grouped = typed.groupBy(page).agg(F.aggregate(rows, zero, step)["out"].alias("rows"))
-    each = grouped.select(page, F.inline("rows"))
+    # Only the columns' first boxes are kept while going through a page; a box's column is the last one begun at or right of it.
+    anchors = F.aggregate(F.array_sort(F.collect_set(-F.col("x"))), F.array().cast("array<double>"), lambda a, nx: F.when(F.size(a) == 0, F.array(nx)).when(far(a, nx), F.concat(a, F.array(nx))).otherwise(a))
+    grouped = typed.groupBy(page).agg(anchors.alias("anchors"), F.collect_list(F.struct("x", "y", "ord", "id")).alias("rows"))
+    column = lambda r: (F.size(F.filter("anchors", lambda a: a <= -r["x"])) - 1).alias("n")
+    each = grouped.select(page, F.inline(F.transform("rows", lambda r: F.struct(column(r), r["x"].alias("x"), r["y"].alias("y"), r["ord"].alias("ord"), r["id"].alias("id")))))
     means = each.groupBy(page, "n").agg(F.avg("x").alias("mean"))
     from pyspark.sql import Window
 
