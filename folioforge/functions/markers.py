@@ -1,6 +1,6 @@
 """The marker format of page texts: rendering as expressions, parsing as a small state machine in Arrow batches.
 
-A file has headers [[FORMAT:n]], [[PROJECT_ID:uuid]] and [[BATCH_ID:uuid]].  Format 2 has, for each page, [[PAGE:0001]], its text
+A file has headers [[FORMAT:n]], whose name may have a prefix of capitals and an underscore, [[PROJECT_ID:uuid]] and [[BATCH_ID:uuid]].  Format 2 has, for each page, [[PAGE:0001]], its text
 between [[TEXT_BEGIN]] and [[TEXT_END]], then [[JOIN_TO_NEXT:rule]]; and one report between [[REPORT_BEGIN]] and [[REPORT_END]].
 Format 1 has a page's lines up to the next page.
 """
@@ -19,7 +19,7 @@ from .text import marker
 
 JOINS = ("DirectJoin", "SpaceJoin", "ParagraphBreak", "SceneBreak", "Uncertain")
 _KINDS = {
-    "page": re.compile(r"\[\[PAGE:(\d{4})\]\]"), "join": re.compile(r"\[\[JOIN_TO_NEXT:([A-Za-z]+)\]\]"), "header": re.compile(r"\[\[(?:FORMAT|PROJECT_ID|BATCH_ID):(.*)"),
+    "page": re.compile(r"\[\[PAGE:(\d{4})\]\]"), "join": re.compile(r"\[\[JOIN_TO_NEXT:([A-Za-z]+)\]\]"), "header": re.compile(r"\[\[(?:(?:[A-Z]+_)?FORMAT|PROJECT_ID|BATCH_ID):(.*)"),
     "mark": re.compile(r"\[\[((?:TEXT|REPORT)_(?:BEGIN|END))\]\]"), "note": re.compile(r"\[\[(?:SOURCE_FILE|PAGE_ROLE|DISPLAY_PROFILE):(.*)"),
 }
 
@@ -38,7 +38,9 @@ def _line(line: str) -> tuple[str, str]:
 
 
 def _header(lines: list[str], name: str) -> str | None:
-    values = [x.strip()[len(name) + 3 : -2] for x in lines if x.strip().startswith(f"[[{name}:") and x.strip().endswith("]]")]
+    """The value of the one header whose name the pattern fits."""
+    pattern = re.compile(rf"\[\[(?:{name}):(.*)\]\]")
+    values = [found[1] for x in lines if (found := pattern.fullmatch(x.strip()))]
     if len(values) > 1:
         raise FormatError(f"more than one {name}")
     return values[0] if values else None
@@ -107,7 +109,7 @@ def parse(content: str) -> dict:
     out = dict.fromkeys(("error", "version", "project_id", "batch_id", "pages", "report"))
     try:
         lines = _lines(content)
-        version, project, batch = (_header(lines, n) for n in ("FORMAT", "PROJECT_ID", "BATCH_ID"))
+        version, project, batch = (_header(lines, n) for n in ("(?:[A-Z]+_)?FORMAT", "PROJECT_ID", "BATCH_ID"))
         if version not in ("1", "2"):
             raise FormatError("no known format")
         ids = [str(uuid.UUID(x or "")) for x in (project, batch)]
@@ -135,9 +137,9 @@ def parsed(content: Column) -> Column:
     return _parsed(content)
 
 
-def rendered(pages: DataFrame, book: str, order: str, text: str, join: str, project: Column, batch: Column) -> DataFrame:
-    """(book, content): the pages of each book in format 2, numbered from 0001 in order."""
+def rendered(pages: DataFrame, book: str, order: str, text: str, join: str, project: Column, batch: Column, format_name: str = "FORMAT") -> DataFrame:
+    """(book, content): the pages of each book in format 2, numbered from 0001 in order; format_name is the first header's name, with a prefix where readers want one."""
     rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.col(join).alias("j"))))
     block = lambda r, i: F.concat(F.lit("[[PAGE:"), marker(i + 1), F.lit("]]\n[[TEXT_BEGIN]]\n"), r["t"], F.lit("\n[[TEXT_END]]\n[[JOIN_TO_NEXT:"), r["j"], F.lit("]]\n"))
-    head = F.concat(F.lit("[[FORMAT:2]]\n[[PROJECT_ID:"), project, F.lit("]]\n[[BATCH_ID:"), batch, F.lit("]]\n"))
+    head = F.concat(F.lit(f"[[{format_name}:2]]\n[[PROJECT_ID:"), project, F.lit("]]\n[[BATCH_ID:"), batch, F.lit("]]\n"))
     return pages.groupBy(book).agg(F.concat(head, F.array_join(F.transform(rows, block), ""), F.lit("[[REPORT_BEGIN]]\n[[REPORT_END]]\n")).alias("content"))

@@ -81,8 +81,9 @@ def bad_markers(c: Column) -> Column:
 
 
 def collapse_blank_lines(c: Column) -> Column:
-    """Runs of blank lines become one paragraph break; the ends are stripped."""
-    return strip(F.regexp_replace(newlines(c), r"\n[\x20\t]*(?:\n[\x20\t]*)+", "\n\n"))
+    """Paragraphs as lines: the lines of each, stripped, are put together, and blank lines, however many, part one from the next."""
+    lines = F.transform(F.split(c, "\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), lambda x: F.when(is_blank(x), "\n").otherwise(strip(x)))
+    return F.regexp_replace(F.regexp_replace(F.array_join(lines, ""), "\n+", "\n"), "^\n|\n$", "")
 
 
 def markdown_escape(c: Column) -> Column:

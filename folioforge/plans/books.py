@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import markers
 from ..functions import sequence as seq
 from ..functions import text as tx
-from ..operators import assemble, rules, state
+from ..operators import assemble, gate, layout, pages, rules, state
 from ..sources.tables import table
+from .ledger import _BOXES, _boxes
 
 JOINS = ("DirectJoin", "SpaceJoin", "ParagraphBreak", "SceneBreak", "Uncertain")
 
@@ -209,3 +210,56 @@ SELECT doc_id, code FROM (
 """,
     "utf16_slice": "SELECT doc_id, length(text)::INTEGER AS units, CASE WHEN length(text) >= 12 THEN substr(text, 4, 9) END AS part FROM documents",
 }
+
+
+def text_rules(spark, d):
+    """Documents with line ends, blank lines, fences and marks put in by their number: what the text functions make of them."""
+    k = F.col("doc_id")
+    t = F.when(k % 3 == 0, F.replace("text", F.lit(". "), F.lit(".\r\n"))).when(k % 3 == 1, F.replace("text", F.lit(". "), F.lit("\n \n\r"))).otherwise(F.concat(F.lit("　\n"), "text", F.lit(" \t")))
+    t = F.concat(F.when(k % 4 == 0, "[[CHAPTER:1]] ").when(k % 4 == 1, "[[PAGE:1]] ").otherwise(""), F.coalesce(t, F.lit("")))
+    v = table(spark, d, "documents").select("doc_id", F.when(k % 50 == 7, " 　").otherwise(t).alias("t"))
+    c = F.col("t")
+    return v.select("doc_id", F.md5(tx.newlines(c)).alias("newlines_md5"), F.md5(tx.collapse_blank_lines(c)).alias("paragraphs_md5"), tx.bad_markers(c).alias("bad"), tx.is_blank(c).alias("blank"), F.md5(tx.strip(c)).alias("stripped_md5"), gate.unreadable(F.concat(c, F.when(k % 9 == 0, gate.UNREADABLE).otherwise(""))).alias("unreadable"))
+
+
+def body_pages(spark, d):
+    """Orders as pages by priority: those that have a place in the text, and those that give the document text."""
+    roles = F.when(F.col("o_orderpriority") == "3-MEDIUM", "Illustration").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "Blank").otherwise("Body")
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("page"), roles.alias("role"), (F.col("o_orderstatus") != "P").alias("included"), F.when(F.col("o_orderkey") % 3 != 0, F.when(F.col("o_orderkey") % 5 == 0, "　").otherwise("x")).alias("text"))
+    return pages.body(o).select("page", pages.in_document(F.col("role"), F.col("text")).alias("in_document"))
+
+
+def words_in_doubt(spark, d):
+    """Lines as words: those of low confidence, and, by value, those that thin boxes are."""
+    w = _boxes(spark, d).withColumn("confidence", F.col("left") / 97)
+    low = layout.low_confidence(w).select("page", F.lit("low").alias("kind"), "text", "left", "top")
+    return low.union(layout.reading_aids(w, layout.thin_boxes(w, "page"), "page").select("page", F.lit("aid"), "text", "left", "top"))
+
+
+def replaced_pages(spark, d):
+    """The lines of every seventh order are replaced by one each."""
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    some = table(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    return pages.replaced(l, some.select("l_orderkey", F.lit(0).alias("l_linenumber"), F.lit(-1).cast("long").alias("l_partkey")), "l_orderkey", some)
+
+
+QUERIES |= {f.__name__: f for f in (text_rules, body_pages, words_in_doubt, replaced_pages)}
+
+SQL |= {
+    "text_rules": r"""
+WITH v AS (SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN ' 　' ELSE CASE doc_id % 4 WHEN 0 THEN '[[CHAPTER:1]] ' WHEN 1 THEN '[[PAGE:1]] ' ELSE '' END || coalesce(CASE doc_id % 3 WHEN 0 THEN replace(text, '. ', '.' || chr(13) || chr(10)) WHEN 1 THEN replace(text, '. ', chr(10) || ' ' || chr(10) || chr(13)) ELSE '　' || chr(10) || text || ' ' || chr(9) END, '') END AS t FROM documents),
+l AS (SELECT *, list_transform(regexp_split_to_array(t, '\r\n|[\n\r]'), lambda x: regexp_replace(x, '^[\s　]+|[\s　]+$', '', 'g')) AS ls FROM v),
+p AS (SELECT *, regexp_replace(regexp_replace(array_to_string(list_transform(ls, lambda x: CASE WHEN x = '' THEN chr(10) ELSE x END), ''), '\n+', chr(10), 'g'), '^\n|\n$', '', 'g') AS para FROM l)
+SELECT doc_id, md5(regexp_replace(t, '\r\n?', chr(10), 'g')) AS newlines_md5, md5(para) AS paragraphs_md5, doc_id % 4 = 1 AND doc_id % 50 <> 7 AS bad, regexp_matches(t, '^[\s　]*$') AS blank, md5(regexp_replace(t, '^[\s　]+|[\s　]+$', '', 'g')) AS stripped_md5, doc_id % 9 = 0 AS unreadable FROM p
+""",
+    "body_pages": "SELECT o_orderkey AS page, o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS in_document FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority NOT IN ('3-MEDIUM', '4-NOT SPECIFIED')",
+    "words_in_doubt": _BOXES + """,
+m AS (SELECT page, list_sort(list("right" - "left")) AS w FROM x GROUP BY page),
+a AS (SELECT x.*, w[len(w) // 2 + 1] AS median FROM x JOIN m USING (page)),
+t AS (SELECT a.*, text <> '、' AND "right" - "left" < median * 0.85 AND EXISTS (
+  SELECT 1 FROM x b WHERE b.page = a.page AND b."right" - b."left" > a."right" - a."left" AND a.bottom > b.top AND a.top < b.bottom AND greatest(0, b."left" - a."right", a."left" - b."right") <= a.median) AS thin FROM a)
+SELECT page, 'low' AS kind, text, "left", top FROM x WHERE "left" / 97 < 0.75
+UNION ALL (SELECT DISTINCT page, 'aid', text, "left", top FROM (SELECT page, text, "left", top, "right", bottom FROM t WHERE thin EXCEPT SELECT page, text, "left", top, "right", bottom FROM t WHERE NOT thin))
+""",
+    "replaced_pages": "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 7 = 0) UNION ALL SELECT o_orderkey, 0, -1 FROM orders WHERE o_orderkey % 7 = 0",
+}

@@ -135,10 +135,10 @@ def bulk_confirmable(spark, d):
 
 
 def _rendered(spark, d):
-    """Documents as paragraphs with the confirmed readings of their second to fourth and eighth to ninth characters."""
-    docs = table(spark, d, "documents").where("length(text) >= 12 and doc_id % 6 <> 5").select("doc_id", F.col("text").alias("plain_text"), F.get(F.array(*map(F.lit, ("ChapterTitle", "SectionTitle", "BodyParagraph", "SceneBreak", "Other"))), (F.col("doc_id") % 5).cast("int")).alias("role"))
+    """Documents as paragraphs; every second one of twelve characters or more has confirmed readings of its second to fourth and eighth to ninth."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("plain_text"), F.get(F.array(*map(F.lit, ("ChapterTitle", "SectionTitle", "BodyParagraph", "SceneBreak", "Other"))), (F.col("doc_id") % 5).cast("int")).alias("role"))
     given = F.array(*(F.struct(F.lit(s).alias("start"), F.lit(n).alias("length"), F.lit(r).alias("reading"), F.lit(st).alias("status")) for s, n, r, st in ((7, 2, "a|b", "Confirmed"), (1, 3, "よみ", "Confirmed"), (2, 4, "x", "Proposed"))))
-    notes = docs.where("doc_id % 2 = 0").select("doc_id", "plain_text", F.inline(given)).withColumn("base_text", tx.unit_slice(F.col("plain_text"), F.col("start"), F.col("length")))
+    notes = docs.where("doc_id % 2 = 0 and length(plain_text) >= 12").select("doc_id", "plain_text", F.inline(given)).withColumn("base_text", tx.unit_slice(F.col("plain_text"), F.col("start"), F.col("length")))
     return render.compose(docs, notes, ["doc_id"])
 
 
@@ -201,10 +201,9 @@ def strict_members(spark, d):
 
 
 def status_selections(spark, d):
-    """The well-placed proposals of each batch and event type as one selection to be rejected."""
+    """All proposals in small selections to be rejected: one that is badly placed keeps its selection as it was."""
     rows, paragraphs, _, _ = _proposals(spark, d)
-    picked = rows.where("pos % 3 <> 0 and start >= 0 and length > 0 and reading <> '' and pos % 7 = 1")
-    out, bad = annotations.with_status(picked.withColumn("batch", F.col("pos") % 101), paragraphs, "Rejected")
+    out, bad = annotations.with_status(rows.withColumn("batch", F.col("pos") % 5003), paragraphs, "Rejected")
     return out.select("batch", "pos", "status", "changed")
 
 
@@ -228,8 +227,8 @@ def _md(x: str) -> str:
 
 MARKDOWN_ESCAPE = f"SELECT doc_id, md5({_md('text')}) AS escaped_md5 FROM documents"
 _MARKDOWN = f"""
-WITH p AS (SELECT doc_id, text, ['# ', '## ', '', '***', ''][doc_id % 5 + 1] AS prefix FROM documents WHERE length(text) >= 12 AND doc_id % 6 <> 5),
-m AS (SELECT doc_id, CASE WHEN prefix = '***' THEN prefix WHEN doc_id % 2 = 0 THEN prefix || {_md("substr(text, 1, 1)")} || '{{' || {_ESC.format("substr(text, 2, 3)")} || '|よみ}}' || {_md("substr(text, 5, 3)")}
+WITH p AS (SELECT doc_id, coalesce(text, '') AS text, ['# ', '## ', '', '***', ''][doc_id % 5 + 1] AS prefix FROM documents),
+m AS (SELECT doc_id, CASE WHEN prefix = '***' THEN prefix WHEN doc_id % 2 = 0 AND length(text) >= 12 THEN prefix || {_md("substr(text, 1, 1)")} || '{{' || {_ESC.format("substr(text, 2, 3)")} || '|よみ}}' || {_md("substr(text, 5, 3)")}
   || '{{' || {_ESC.format("substr(text, 8, 2)")} || '|a\\|b}}' || {_md("substr(text, 10)")} ELSE prefix || {_md("text")} END || chr(10) || chr(10) AS m FROM p)
 """
 
@@ -280,7 +279,7 @@ SELECT doc_id, md5(CASE WHEN coalesce(i, 0) = 0 THEN '' ELSE '[[CHAPTER:' || c |
 """,
     "strict_members": "SELECT event_id, CASE WHEN event_id % 20 <> 0 THEN event_id % 5 <> 0 AND event_id % 4 <> 0 END AS good FROM events",
     "status_selections": _PROPOSALS + """,
-q AS (SELECT pos % 101 AS g, pos, status, found AND s + n <= length(t) AND substr(t, (s + 1)::INTEGER, n::INTEGER) = base AS ok FROM r WHERE pos % 3 <> 0 AND s >= 0 AND n > 0 AND reading <> '' AND pos % 7 = 1),
+q AS (SELECT pos % 5003 AS g, pos, status, reading <> '' AND found AND s >= 0 AND n >= 1 AND s + n <= length(t) AND substr(t, (s + 1)::INTEGER, n::INTEGER) = base AS ok FROM r),
 w AS (SELECT g, pos, status AS was, CASE WHEN bool_and(ok) OVER (PARTITION BY g) THEN 'Rejected' ELSE status END AS status FROM q)
 SELECT g AS batch, pos, status, was <> status AS changed FROM w
 """,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import loads, writers
+from ..sources import worker
 from ..sources.tables import table
 from .books import _LINES, _PIECES, _pages
 from .desk import _PROPOSALS, _proposals
@@ -223,3 +224,57 @@ SELECT event_id, CASE WHEN event_id % 3 = 0 THEN lpad(event_id::VARCHAR, 8, '0')
 """,
     "project_ids": "SELECT s_name AS book, CASE WHEN s_suppkey % 4 = 0 THEN 'known-' || s_suppkey ELSE substr(sha256('project' || chr(31) || s_name), 1, 32) END AS project FROM supplier",
 }
+
+
+def _worker(spark, d):
+    """Events as lines of a worker's output and as requests: some lines are noise, some answers of another version, some come twice, some requests get none."""
+    e, k = table(spark, d, "events"), F.col("event_id")
+    words = F.array(F.struct(F.col("event_type").alias("text"), (F.col("user_id") / 100).alias("confidence"), *(F.lit(x).alias(c) for c, x in (("left", 1.0), ("top", 2.0), ("right", 3.0), ("bottom", 4.0)))))
+    good = F.to_json(F.struct(F.when(k % 13 == 0, 2).otherwise(1).alias("protocolVersion"), F.concat(F.lit("r"), F.floor(k / 2)).alias("requestId"), F.lit("ok").alias("status"), F.when(k % 3 == 0, "paddle").alias("engine"), F.when(k % 4 == 0, "m").alias("modelVersion"), F.when(k % 5 != 0, words).alias("words")))
+    bad = F.to_json(F.struct(F.lit(1).alias("protocolVersion"), F.concat(F.lit("r"), F.floor(k / 2)).alias("requestId"), F.lit("error").alias("status"), F.when(k % 3 == 0, "no image").alias("error"), F.when(k % 4 == 0, False).alias("retryable"), F.lit("Merge").alias("stage"), F.when(k % 9 == 0, "ValueError").alias("exceptionType")))
+    lines = e.select(k.alias("place"), F.when(k % 11 == 0, "loading model").when(k % 7 == 0, bad).otherwise(good).alias("value"))
+    return lines, e.select(F.concat(F.lit("r"), "event_id").alias("request_id"), F.lit("mock").alias("engine"))
+
+
+def worker_lines(spark, d):
+    out = worker.responses(*_worker(spark, d))
+    return out.withColumn("words", F.concat_ws(" ", F.transform("words", lambda w: F.concat_ws(":", w["text"], w["left"].cast("int")))))
+
+
+def worker_requests(spark, d):
+    e = table(spark, d, "events")
+    return worker.requests(e.select("event_id"), F.concat(F.lit("r"), "event_id"), F.when(F.col("event_id") % 2 == 0, "paddle").otherwise("tesseract"), F.concat(F.lit("p/"), "event_id")).select("event_id", "line")
+
+
+def worker_dispatch(spark, d):
+    """Events as requests to engines, with what these gave: arrays of boxes, or a turn's text."""
+    e, k = table(spark, d, "events"), F.col("event_id")
+    asked = e.select(k.alias("request_id"), F.when(k % 17 != 0, 1).alias("version"), F.get(F.array(*(F.lit(x) for x in ("mock", "paddle", "tesseract", "other", "paddle"))), (k % 5).cast("int")).alias("engine"))
+    box = F.array(*(F.lit(x) for x in (1, 2, 3, 4)))
+    given = e.where("event_id % 19 <> 0").select(k.alias("request_id"), F.array(box, box).alias("boxes"), F.when(k % 3 == 0, F.array("event_type")).otherwise(F.array("event_type", "event_type")).alias("texts"), F.array(F.lit(0.5), F.lit(0.25), F.lit(1.0)).alias("scores"), F.when(k % 4 == 0, " \n \n").otherwise(F.concat("event_type", F.lit("\r\n\r\n \n"), "event_type")).alias("text"), F.when(k % 6 == 0, "broken").alias("failure"), F.lit(None).cast("string").alias("exception"))
+    out = worker.answers(asked, given)
+    r = F.from_json("answer", worker.RESPONSE)
+    line = F.concat_ws(" ", F.transform(r["words"], lambda w: F.concat_ws(":", w["text"], (w["confidence"] * 100).cast("int"), w["left"].cast("int"), w["bottom"].cast("int"))))
+    return out.select("request_id", r["status"].alias("status"), r["engine"].alias("engine"), r["modelVersion"].alias("model"), r["error"].alias("error"), r["stage"].alias("stage"), line.alias("words"))
+
+
+QUERIES |= {f.__name__: f for f in (worker_lines, worker_requests, worker_dispatch)}
+
+SQL |= {
+    "worker_lines": """
+WITH l AS (SELECT event_id AS k, 'r' || event_id // 2 AS id, event_id % 7 <> 0 AS ok, event_type, CASE WHEN event_id % 3 = 0 THEN 'paddle' END AS engine FROM events WHERE event_id % 11 <> 0 AND NOT (event_id % 13 = 0 AND event_id % 7 <> 0)),
+f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) = 1)
+SELECT 'r' || e.event_id AS request_id, coalesce(ok, false) AS ok, CASE WHEN ok THEN coalesce(f.engine, 'mock') ELSE 'mock' END AS engine, CASE WHEN ok THEN CASE WHEN k % 4 = 0 THEN 'm' ELSE 'unknown' END END AS model_version,
+  CASE WHEN ok AND k % 5 <> 0 THEN f.event_type || ':1' ELSE '' END AS words, CASE WHEN id IS NULL THEN 'OCR worker returned no matching response.' WHEN NOT ok THEN CASE WHEN k % 3 = 0 THEN 'no image' ELSE 'OCR worker failed.' END END AS error,
+  CASE WHEN id IS NULL THEN true WHEN NOT ok THEN k % 4 <> 0 END AS retryable, CASE WHEN id IS NULL THEN 'mock' WHEN NOT ok THEN 'Merge' END AS stage, CASE WHEN NOT ok AND k % 9 = 0 THEN 'ValueError' END AS exception
+FROM events e LEFT JOIN f ON f.id = 'r' || e.event_id
+""",
+    "worker_requests": """SELECT event_id, '{"protocolVersion":1,"requestId":"r' || event_id || '","engine":"' || CASE WHEN event_id % 2 = 0 THEN 'paddle' ELSE 'tesseract' END || '","imagePath":"p/' || event_id || '"}' AS line FROM events""",
+    "worker_dispatch": """
+WITH r AS (SELECT event_id AS k, ['mock', 'paddle', 'tesseract', 'other', 'paddle'][event_id % 5 + 1] AS en, event_type AS t FROM events),
+s AS (SELECT *, CASE WHEN k % 17 = 0 THEN 1 WHEN en = 'mock' THEN 2 WHEN en = 'other' OR k % 19 = 0 THEN 3 WHEN k % 6 = 0 THEN 4 WHEN en = 'paddle' THEN 5 ELSE 6 END AS c FROM r)
+SELECT k AS request_id, CASE WHEN c IN (2, 5, 6) THEN 'ok' ELSE 'error' END AS status, CASE WHEN c IN (2, 5, 6) THEN en END AS engine, CASE c WHEN 2 THEN 'none' WHEN 5 THEN 'PP-OCRv6-medium' WHEN 6 THEN 'jpn_vert' END AS model,
+  CASE c WHEN 1 THEN 'Unsupported protocol version' WHEN 3 THEN 'OCR engine is not configured with a local model' WHEN 4 THEN 'broken' END AS error, CASE WHEN c = 4 THEN CASE WHEN en = 'paddle' THEN 'PaddleOCR' ELSE 'Tesseract' END END AS stage,
+  CASE WHEN c = 5 THEN t || ':50:1:4' || CASE WHEN k % 3 <> 0 THEN ' ' || t || ':25:1:4' ELSE '' END WHEN c = 6 THEN CASE WHEN k % 4 <> 0 THEN t || chr(10) || t ELSE '' END || ':80:0:1' ELSE '' END AS words FROM s
+""",
+}
