@@ -19,10 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free, sha256_hex, table
+from .common import free, packed, release, sha256_hex, table
 
 #: Words whose ids a worker remembers in each generation, and their characters at most: with both, what it remembers is bounded in bytes.
 REMEMBERED, LONGEST = 200_000, 64
+#: Rows that are handled, and handed on, together.
+TOGETHER = 256
+#: Places for the marks of words that came once; cleared when half as many words have been marked.
+MARKS = 1 << 20
 #: Places of the pair-compatibility table: a pair has one place, and a later pair may take it.
 PAIRS = 1 << 20
 #: A last character stands for itself plus the end of its word.
@@ -67,18 +71,30 @@ def unlike(raw: str) -> tuple[dict[int, str], dict[str, str]]:
 
 
 class _Words(dict):
-    """Packed ids of the pieces met, in two generations: what is in use survives when the older one goes."""
+    """Packed ids of the pieces met, in two generations: what is in use survives when the older one goes.
+
+    Most words come once only, so a word is remembered from its second coming on; before, it leaves a mark by its hash.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         super().__init__()
-        self.vocabulary, self.older = vocabulary, {}
+        self.vocabulary, self.older, self.marks, self.marked = vocabulary, {}, bytearray(MARKS), 0
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
 
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
             ids = self.vocabulary.encode_word(word)
             found = struct.pack(f"={len(ids)}i", *ids)
-            if len(word) > LONGEST:
+            place = hash(word) & (MARKS - 1)
+            if len(word) > LONGEST or not self.marks[place]:
+                self.marks[place] = 1
+                self.marked += 1
+                if self.marked > MARKS >> 1:
+                    self.marks, self.marked = bytearray(MARKS), 0
                 return found
         if len(self) >= REMEMBERED:
             self.older = dict(self)
@@ -271,9 +287,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     @F.arrow_udf(T.ArrayType(T.IntegerType(), False))
     def of(texts: pa.Array) -> pa.Array:
         vocabulary = shared.get()
-        parts = [vocabulary.encode(x.as_py()) for x in texts]
-        ends = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.empty(0, np.int32)])))
+        return _encoded(vocabulary, texts)
 
     return df.withColumn(free(df, out), of(F.col(text)))
 
@@ -284,22 +298,50 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     @F.arrow_udf(T.StringType())
     def of(lists: pa.Array) -> pa.Array:
-        vocabulary, texts = shared.get(), []
-        for at in range(0, len(lists), 256):
-            part = lists.slice(at, 256)
-            ends = np.concatenate(([0], np.cumsum(part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
-            flat, cuts = vocabulary.decode(part.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends)
-            data = flat.tobytes().decode("utf-8")
-            if len(data) == len(flat):
-                texts += [data[a:b] for a, b in itertools.pairwise(cuts.tolist())]
-            else:
-                whole = flat.tobytes()
-                texts += [whole[a:b].decode("utf-8") for a, b in itertools.pairwise(cuts.tolist())]
-        return pa.array(texts, pa.string())
+        vocabulary = shared.get()
+        return pa.concat_arrays([pa.array([], pa.string()), *(_decoded(vocabulary, lists.slice(at, TOGETHER)) for at in range(0, len(lists), TOGETHER))])
 
     return df.withColumn(free(df, out), of(F.col(ids)))
 
 
+def _encoded(vocabulary: Vocabulary, texts: pa.Array) -> pa.Array:
+    parts = [vocabulary.encode(x.as_py()) for x in texts]
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts], dtype=np.int64))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*parts, np.empty(0, np.int32)])))
+
+
+def _decoded(vocabulary: Vocabulary, lists: pa.Array) -> pa.Array:
+    ends = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+    flat, cuts = vocabulary.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends)
+    return pa.Array.from_buffers(pa.large_string(), len(lists), [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.string())
+
+
+def coded(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep: bool = True) -> DataFrame:
+    """encode() and decode() in one pass, TOGETHER rows at a time, so that a worker holds few texts besides those it was handed.
+
+    The text itself goes on if keep says so.  What a worker remembers of the words goes at the end of each task.
+    """
+    shared = _Shared(df.sparkSession, path)
+    names = free(df, ids), free(df, decoded)
+    mine = packed(df) if keep else packed(df, text, _text=F.col(text))
+
+    def run(batches):
+        vocabulary = shared.get()
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, TOGETHER):
+                    part = batch.slice(at, TOGETHER)
+                    made = _encoded(vocabulary, part["_row"].field(text) if keep else part["_text"])
+                    yield pa.RecordBatch.from_arrays([part["_row"], made, _decoded(vocabulary, made)], ["_row", "_ids", "_decoded"])
+        finally:
+            vocabulary.words.forget()
+            release()
+
+    row = mine.schema["_row"]
+    out = mine.mapInArrow(run, T.StructType([row, T.StructField("_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("_decoded", T.StringType())]))
+    return out.select("_row.*", F.col("_ids").alias(names[0]), F.col("_decoded").alias(names[1]))
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -309,7 +351,7 @@ def default_path() -> str:
 def op5_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
     """Null texts count as empty: no tokens, and the hash of nothing twice."""
     path = path or default_path()
-    done = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    done = coded(table(spark, sf_dir, "documents").select("doc_id", "text"), path, keep=False)
     joined = F.coalesce(F.concat_ws(" ", F.col("ids").cast("array<string>")), F.lit(""))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha256_hex(joined).alias("ids_sha256"), sha256_hex(F.col("decoded")).alias("decoded_sha256"))
 
@@ -317,4 +359,4 @@ def op5_bpe(spark, sf_dir: str, path: str | None = None) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
     """The kept documents with their token ids and the decoded text, as ids and decoded; where docs has such columns, with a _ after the name."""
     path = path or default_path()
-    return decode(encode(docs, path), path, ids=free(docs, "ids"))
+    return coded(docs, path)

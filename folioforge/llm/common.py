@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -57,6 +59,16 @@ def arrow_batches(spark: SparkSession, size: int = 8 << 20, rows: int = 2000) ->
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def release() -> None:
+    """Gives memory that a worker no longer needs back to the machine, where its C library can."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder through the file system Spark itself uses."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -75,9 +87,9 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return known if known < 1 << 60 else df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
 
 
-def packed(df: DataFrame, **more: Column) -> DataFrame:
-    """The rows of df as one struct _row beside some columns of our own, so that no name of df's can clash with those."""
-    return df.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns)).alias("_row"), *(c.alias(n) for n, c in more.items()))
+def packed(df: DataFrame, *without: str, **more: Column) -> DataFrame:
+    """The rows of df, less some columns, as one struct _row beside some columns of our own, so that no name of df's can clash with those."""
+    return df.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without)).alias("_row"), *(c.alias(n) for n, c in more.items()))
 
 
 def free(df: DataFrame, name: str) -> str:
@@ -95,6 +107,14 @@ def unpacked(rows: DataFrame, df: DataFrame, **more: Column) -> DataFrame:
     return both.select("_row.*", *(F.col(f"{mine}.{n}").alias(free(df, n)) for n in more))
 
 
+def without_rows(docs: DataFrame, rows: DataFrame, most: int) -> DataFrame:
+    """docs without the rows that rows (doc_id, th) name, th being the text's hash; null ids are ids like any other.  rows is broadcast if it has at most so many."""
+    i, t = free(docs, "_id"), free(docs, "_th")
+    gone = rows.toDF(i, t)
+    gone = F.broadcast(gone) if rows.count() <= most else gone
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(t)), "left_anti").select(*docs.columns)
+
+
 def let(value: Column, body) -> Column:
     """Evaluates value once and hands it to body: a column expression inlined into a lambda would run again for each element."""
     return F.transform(F.array(value), body)[0]

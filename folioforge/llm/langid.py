@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, table, unpacked
+from .common import arrow_batches, packed, stored, table, unpacked, without_rows
 
 #: Buckets that n-grams of one to three characters are hashed to.
 BUCKETS = 8192
@@ -24,6 +24,8 @@ SHORT = 8
 #: The largest inverse document frequency.
 IDF_MOST = 4.0
 UNKNOWN = "und"
+#: Rejected documents that may be broadcast, after they have been counted.
+BROADCAST_ROWS = 200_000
 _PART = 1 << 18
 _MIX = np.uint32(2654435761)
 
@@ -134,7 +136,8 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
                     df[BUCKETS] += 1
         yield pd.DataFrame({"bucket": np.arange(BUCKETS + 1), "n": df})
 
-    found = texts.select("text").mapInPandas(part, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    with arrow_batches(texts.sparkSession):
+        found = texts.select("text").mapInPandas(part, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
     df = np.zeros(BUCKETS + 1, np.int64)
     df[found["bucket"].to_numpy()] = found["n"].to_numpy()
     return df[:BUCKETS], int(df[BUCKETS])
@@ -208,4 +211,6 @@ def op1_langid(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that language identification rejects: those without a letter, null texts too, and those like no language."""
     model = train(docs.select("doc_id", "text", "lang"))
-    return predict(packed(docs, text=F.col("text")), model).where("not rejected").select("_row.*")
+    with arrow_batches(spark):
+        out = stored(predict(docs.select("doc_id", "text"), model).where("rejected").select("doc_id", F.xxhash64("text").alias("th")).distinct(), "langid-rejected")
+    return without_rows(docs, out, BROADCAST_ROWS)
