@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, sha256_hex, stored, table
+from .common import ascii_lower, let, sha256_hex, stored, table, without_rows
 
 #: Words of a window, words of a k-gram, and so many k-grams compete for one fingerprint: any shared span of WINDOW words has one.
 WINDOW, KGRAM = 13, 7
@@ -65,16 +65,16 @@ def _contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     lengths = sorted(r.length for r in windows.select("length").distinct().collect())  # 1 to WINDOW at most
     keys = stored(windows.select("fp").distinct(), "decontamination-fps")
     key_rows = keys.count()
-    # A null fingerprint stands for the row itself and brings its number of words along.
+    # A null fingerprint stands for the row itself and brings its number of words along; in the join each has a place of its own.
     ids = F.xxhash64("text").alias("th")
     of = let(words(F.col("text")), lambda ws: F.struct(F.size(ws).alias("n_words"), let(_hashes(ws), lambda h: F.array_distinct(F.concat(F.array(F.lit(None).cast("long")), *(fingerprints(h, n) for n in lengths)))).alias("fps")))
     seen = d.select("doc_id", ids, F.explode(F.array(of)).alias("r")).select("doc_id", "th", F.col("r.n_words").alias("n_words"), F.explode("r.fps").alias("fp"))
-    every = keys.union(keys.sparkSession.createDataFrame([(None,)], "fp long"))
-    met = seen.join(_small(every.withColumnRenamed("fp", "key"), key_rows), F.col("fp").eqNullSafe(F.col("key")), "left_semi")
+    marked = seen.withColumn("at", F.coalesce("fp", F.xxhash64("doc_id", "th"))).join(_small(keys.select(F.col("fp").alias("key"), F.lit(True).alias("known")), key_rows), F.col("at") == F.col("key"), "left")
+    met = marked.where(F.col("fp").isNull() | F.col("known"))
     base = stored(met.groupBy("doc_id", "th").agg(F.max("n_words").alias("n_words"), F.collect_set("fp").alias("fps"), F.count_if(F.col("fp").isNull()).alias("copies")), "decontamination-met")
     hit = base.where(F.size("fps") > 0).select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), "fps")
     n_hit = hit.count()
-    found = _extended(d, ids, _small(hit, n_hit), windows, lengths, key_rows) if n_hit else None
+    found = _extended(d, ids, _small(hit, n_hit), windows, lengths) if n_hit else None
     out = base
     if found is not None:
         out = base.join(found, base.doc_id.eqNullSafe(found.f_id) & (base.th == found.f_th), "left")
@@ -110,14 +110,17 @@ def _fingerprints_of(n: int):
     return lambda h: fingerprints(h, n)
 
 
-def _extended(d: DataFrame, ids: Column, hit: DataFrame, windows: DataFrame, lengths: list[int], rows: int) -> DataFrame:
-    """(f_id, f_th, n_hit, items): the windows at fingerprints that met, compared word for word, and the words they cover."""
-    cand = d.select("doc_id", ids, "text").distinct().join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")))
+def _extended(d: DataFrame, ids: Column, hit: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(f_id, f_th, n_hit, items): the windows at fingerprints that met, compared word for word, and the words they cover.
+
+    Only texts with such a fingerprint are read on; rows that repeat give their spans again, which count once.
+    """
+    cand = d.select("doc_id", ids, "text").join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")))
     cand = cand.select("hit_id", "hit_th", "fps", F.explode(F.array(words(F.col("text")))).alias("ws"))
     at = cand.select(F.col("hit_id").alias("f_id"), F.col("hit_th").alias("f_th"), F.inline(F.concat(*(_window_rows(F.col("ws"), n, F.col("fps")) for n in lengths)))).drop("fp")
     named = windows.groupBy("window").agg(F.collect_set("item_id").alias("ids"))
-    same = at.join(_small(named, rows), "window")
-    spans = same.groupBy("f_id", "f_th").agg(F.array_sort(F.collect_list(F.struct("start", "len"))).alias("spans"), F.collect_set("ids").alias("ids"))
+    same = at.join(_small(named, windows.count()), "window")
+    spans = same.groupBy("f_id", "f_th").agg(F.array_sort(F.collect_set(F.struct("start", "len"))).alias("spans"), F.collect_set("ids").alias("ids"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate("spans", zero, lambda a, s: F.struct(F.greatest(a["end"], s["start"] + s["len"]).alias("end"), (a["n"] + F.greatest(F.lit(0), s["start"] + s["len"] - F.greatest(a["end"], s["start"]))).alias("n")))
     return spans.select("f_id", "f_th", covered["n"].alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("ids"))).alias("items"))
@@ -128,12 +131,12 @@ def is_contaminated() -> Column:
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
+    """contaminated() of documents and benchmark: a row for each document, null texts and ids included."""
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256_hex(F.concat_ws(",", "items")).alias("items_sha256"), is_contaminated().alias("contaminated"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated rows: a null doc_id is an id like any other, and of several texts of one doc_id only contaminated ones go."""
-    bad = _contaminated(docs, table(spark, sf_dir, "benchmark")).where(is_contaminated()).select(F.col("doc_id").alias("_bad_id"), F.col("th").alias("_bad_th")).distinct()
-    bad = stored(bad, "decontamination-bad")
-    return docs.join(_small(bad, bad.count()), F.col("doc_id").eqNullSafe(F.col("_bad_id")) & (F.xxhash64("text") == F.col("_bad_th")), "left_anti").select(*docs.columns)
+    bad = _contaminated(docs, table(spark, sf_dir, "benchmark")).where(is_contaminated()).select("doc_id", "th").distinct()
+    return without_rows(docs, stored(bad, "decontamination-bad"), BROADCAST_ROWS)
