@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import arrow_batches, stored, table
 from .components import components
 
 SHINGLE = 3
@@ -127,6 +127,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", b
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
+    """near_duplicates() of documents; a null or wordless text has fingerprint zero, a null doc_id a null component_id."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -195,10 +196,14 @@ def _may_be_similar(a: str, b: str):
     return (low * SIMILAR[1] >= high * SIMILAR[0]) & (differ * sum(SIMILAR) <= (low + high) * (SIMILAR[1] - SIMILAR[0]))
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def _few(df: DataFrame, label: str) -> DataFrame:
     """df written once, and broadcast if it has few rows."""
     kept = stored(df, label)
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    return _small(kept, kept.count())
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -217,7 +222,8 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     wanted = _few(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-wanted")
     some = texts.join(wanted, "node", "left_semi")
     both = pairs.join(some.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(some.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    return stored(both.where(same("a", "b")).select("u", "v"), "near-links")
+    with arrow_batches(pairs.sparkSession):
+        return stored(both.where(same("a", "b")).select("u", "v"), "near-links")
 
 
 def similar_groups(rows: DataFrame) -> DataFrame:
@@ -225,35 +231,41 @@ def similar_groups(rows: DataFrame) -> DataFrame:
 
     Exact copies, by their sets of shingles, are one node.  Members of a band are first compared with one of them, drawn anew
     for each band; then all pairs of a band that are not yet in one group are.  So a group of near copies of any size costs
-    rows in proportion to its members, and no pair that meets is left out.
+    rows in proportion to its members, and no pair that meets is left out.  What has few rows, once they are counted, is joined
+    by broadcast.
     """
     each = rows.groupBy(F.col("_s.node").alias("digest")).agg(F.min(F.struct("node", "_s.size", "_s.bands", "_s.sketch")).alias("s"))
     nodes = stored(each.select("digest", "s.*"), "near-nodes")
     texts, facts = rows.select("node", "text"), nodes.select("node", "size", "sketch")
     placed = nodes.select("node", F.explode("bands").alias("key"))
-    met = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met = _few(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-keys")
     shared = stored(placed.join(met, "key", "left_semi"), "near-bands")
+    n_shared = shared.count()
     hubs = shared.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("h"))
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
 
-    def possible(pairs: DataFrame) -> DataFrame:
+    def possible(pairs: DataFrame, most: int) -> DataFrame:
+        """most: what the number of pairs cannot pass."""
         a, b = (facts.select(F.col("node").alias(n), F.struct("size", "sketch").alias(s)) for n, s in (("u", "a"), ("v", "b")))
-        return stored(pairs.distinct().join(a, "u").join(b, "v").where(_may_be_similar("a", "b")).select("u", "v"), "near-pairs")
+        kept = _small(a.join(_small(pairs.distinct(), most), "u"), most).join(b, "v")
+        return stored(kept.where(_may_be_similar("a", "b")).select("u", "v"), "near-pairs")
 
-    first = possible(shared.join(hubs, "key").where("node <> h").select(*pair("node", "h")))
+    first = possible(shared.join(_small(hubs, n_shared), "key").where("node <> h").select(*pair("node", "h")), n_shared)
     found = _verified(first, texts)
+    n_found = found.count()
     labels = components(found)
     named = labels.withColumnRenamed("node", "n1")
-    of = shared.join(named, F.col("node") == F.col("n1"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = of.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key")
-    of = of.join(mixed, "key", "left_semi").join(facts, "node")
+    of = shared.join(_small(named, 2 * n_found), F.col("node") == F.col("n1"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+    mixed = _few(of.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key"), "near-keys")
+    of = _small(of.join(mixed, "key", "left_semi"), n_shared).join(facts, "node")
     of = stored(of.select("key", "label", F.struct("node", "size", "sketch").alias("a")), "near-mixed")
     other = of.select("key", F.col("label").alias("label_b"), F.col("a").alias("b"))
     rest = of.join(other, "key").where((F.col("label") < F.col("label_b")) & _may_be_similar("a", "b")).select(*pair("a.node", "b.node")).distinct()
     rest = stored(rest.join(first, ["u", "v"], "left_anti"), "near-pairs")
-    if rest.limit(1).count():
-        labels = components(found.union(_verified(rest, texts)))
-    return nodes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
+    if n_rest := rest.count():
+        links_ = found.union(_verified(rest, texts))
+        labels, n_found = components(links_), n_found + n_rest
+    return nodes.select("digest", "node").join(_small(labels, 2 * n_found), "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -264,9 +276,16 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     stays for each group.  Texts without words are copies of each other.
     """
     row = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_n"))
-    rows = stored(with_signature(row, "_row.text"), "near-rows")
+    with arrow_batches(spark):
+        rows = stored(with_signature(row, "_row.text"), "near-rows")
     labels = similar_groups(rows.select(F.col("_n").alias("node"), F.col("_row.text").alias("text"), "_s"))
-    of = rows.select(F.col("_s.node").alias("digest"), F.struct(F.col("_row.doc_id").isNull(), "_row.doc_id", "_n").alias("k")).join(labels, "digest")
-    several = of.groupBy("label").agg(F.min("k").alias("least"), F.count("*").alias("n")).where("n > 1").select("label", "least")
-    others = _few(of.join(several, "label").where(F.col("k._n") != F.col("least._n")).select("k._n"), "near-others")
+    of = rows.select("_n", F.col("_s.node").alias("digest"), F.struct(F.col("_row.doc_id").isNull(), "_row.doc_id", "_n").alias("k")).join(labels, "digest")
+    of = stored(of.select("_n", "label", "k"), "near-labels")
+    several = stored(of.groupBy("label").agg(F.min("k").alias("least"), F.count("*").alias("n")).where("n > 1").select("label", F.col("least._n").alias("least")), "near-groups")
+    if several.count() <= BROADCAST_ROWS:
+        others = of.join(F.broadcast(several), "label").where("_n <> least").select("_n")
+    else:  # a label may be that of a third of all rows: nothing is shuffled by it but partial sums
+        firsts = of.groupBy("label").agg(F.min("k").alias("k")).select("k._n")
+        others = of.select("_n").join(firsts, "_n", "left_anti")
+    others = _few(others, "near-others")
     return rows.join(others, "_n", "left_anti").select("_row.*")

@@ -303,10 +303,11 @@ def test_bpe(spark):
     whole = Tokenizer.from_file(path)
     texts = [*odd_texts(), "ΑΣ don't I'LL <|endoftext|>x<|ENDOFTEXT|>", "日本語と😀 é ①", "\x01\x7f a\x85b", "ab" * 20_000, "".join(rng.choice("inthaeresz") for _ in range(3000))]
     d = docs(spark, texts).withColumn("decoded", F.lit("clash"))
+    assert [(r.doc_id, list(r.ids), r.decoded_) for r in bpe.coded(d, path).orderBy("doc_id").collect()] == [(r.doc_id, list(r.ids), r.decoded_) for r in bpe.decode(bpe.encode(d, path), path).orderBy("doc_id").collect()]
     for r in bpe.decode(bpe.encode(d, path), path).collect():
         want = whole.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
         assert list(r.ids) == want
-        assert r.decoded == whole.decode(want, skip_special_tokens=False)
+        assert (r.decoded, r.decoded_) == ("clash", whole.decode(want, skip_special_tokens=False))
     assert bpe.encode(d.limit(0), path).count() == 0
 
 
@@ -425,7 +426,7 @@ def test_names():
     assert json.dumps(unicodedata.normalize("NFC", "e\u0301")) == '"\\u00e9"'
 
 
-CLASHES = ("_row", "_s", "_b", "_text", "_terms", "_found", "_langid", "ids", "decoded", "n_assign", "n_email", "base", "found", "lang_pred", "score", "rejected", "node", "key")
+CLASHES = ("_row", "_s", "_b", "_text", "_terms", "_found", "_langid", "ids", "decoded", "n_assign", "n_email", "base", "found", "lang_pred", "score", "rejected", "node", "key", "_id", "_th")
 
 
 def clashing(spark, texts):
