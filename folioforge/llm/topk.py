@@ -31,27 +31,32 @@ def block_top(weights: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarr
     Each dimension is a list of the block's values in order, read from its high end for positive weights and from its low end
     for negative ones.  After t entries of every list, what was read counts in full; an unread value is no better than the
     last one read (upper bound) and no worse than the list's other end (lower bound).  Candidates whose upper bound is under
-    the k-th lower bound, or under floor, a bound from earlier blocks, are out; reading stops when few are left, and these
-    are summed up.  Matrix products do this for all queries of a block at once.
+    the k-th lower bound, or under floor, a bound from earlier blocks, are out for that query, and those that are out for
+    all are read no further.  Each time half of what is left of the lists is read, until few are left; these are summed up.
+    Nothing is ruled out before about half of the lists, since a bound adds up the best unread value of every dimension.
+    Matrix products do this for all queries of a block at once.
     """
     m = len(x)
     lists = np.sort(x, axis=0)
     plus, minus = np.maximum(weights, 0), np.minimum(weights, 0)
-    same = own[:, None] == ids[None, :]
-    alive, depth, lowest = ~same, max(1, m // 8), _lowest(x.dtype)
+    cols, depth, lowest = np.arange(m), max(1, m // 2), _lowest(x.dtype)
+    alive = own[:, None] != ids[None, :]
     while True:
-        high, low = lists[m - depth], lists[depth - 1]
-        upper = plus @ np.maximum(x, high).T + minus @ np.minimum(x, low).T
+        high, low, rest = lists[m - depth], lists[depth - 1], x[cols]
+        upper = plus @ np.maximum(rest, high).T + minus @ np.minimum(rest, low).T
         least = floor
-        if m > k and (floor == lowest).any():
-            lower = plus @ np.where(x >= high, x, lists[0]).T + minus @ np.where(x <= low, x, lists[-1]).T
-            lower[same] = lowest
-            least = np.maximum(floor, np.partition(lower, m - k, axis=1)[:, m - k])
+        if len(cols) > k and (floor == lowest).any():
+            lower = plus @ np.where(rest >= high, rest, lists[0]).T + minus @ np.where(rest <= low, rest, lists[-1]).T
+            lower[~alive] = lowest
+            least = np.maximum(floor, np.partition(lower, len(cols) - k, axis=1)[:, len(cols) - k])
         alive &= upper >= least[:, None]
+        some = alive.any(axis=0)
+        cols, alive = cols[some], alive[:, some]
         if depth == m or alive.sum() <= 4 * k * len(weights):
             break
-        depth = min(m, depth * 2)
-    rows, cols = np.nonzero(alive)
+        depth = min(m, depth + max(1, (m - depth) // 2))
+    rows, at = np.nonzero(alive)
+    cols = cols[at]
     scores = np.einsum("ij,ij->i", weights[rows], x[cols])
     return _best(rows, scores, ids[cols], k)
 
