@@ -8,6 +8,7 @@ are compacted to one.  Hits are verified on the words before anything is removed
 from __future__ import annotations
 
 import io
+import json
 import uuid
 
 import numpy as np
@@ -263,30 +264,55 @@ def _reducer(folder: str, keep_run: bool):
 
 
 class FingerprintIndex:
-    """The index: files of runs in the shared folder, and a manifest of those that count.
+    """The index: files of runs in a shared folder, manifests of those that count, and a small file that names the newest manifest.
 
     add() takes batches of ascending doc_id, (doc_id, text), and returns their hits: (doc_id, start, len, ref_doc, ref_start),
-    len windows from start on whose hashes came earlier, there from ref_start on.
+    len windows from start on whose hashes came earlier, there from ref_start on.  What a batch adds counts once its manifest
+    is named, which is done last: an add that fails leaves the index as it was.  open() goes on with an index in another
+    session.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int, bits: int = 64) -> None:
-        self.spark, self.buckets, self.bits = spark, buckets, bits
-        self.folder = scratch(spark, "fingerprints")
-        self.manifest: DataFrame | None = None
+    def __init__(self, spark: SparkSession, buckets: int, bits: int = 64, folder: str | None = None) -> None:
+        self.spark, self.buckets, self.bits, self.version = spark, buckets, bits, 0
+        self.folder = folder or scratch(spark, "fingerprints")
         fs, path = _open(self.folder)
         fs.create_dir(path)
+        self._name()
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
+        fs, path = _open(folder)
+        with fs.open_input_stream(f"{path}/index.json") as f:
+            found = json.loads(f.read())
+        self = cls.__new__(cls)
+        self.spark, self.folder = spark, folder
+        self.buckets, self.bits, self.version = found["buckets"], found["bits"], found["version"]
+        return self
+
+    def _name(self) -> None:
+        fs, path = _open(self.folder)
+        with fs.open_output_stream(f"{path}/index.json") as f:
+            f.write(json.dumps({"buckets": self.buckets, "bits": self.bits, "version": self.version}).encode())
+
+    @property
+    def manifest(self) -> DataFrame | None:
+        """(bucket, path, compacted) of the runs that count; none before the first batch."""
+        return self.spark.read.schema("bucket int, path string, compacted boolean").parquet(f"{self.folder}/manifest-{self.version}") if self.version else None
 
     def add(self, batch: DataFrame, keep_run: bool = True) -> DataFrame:
+        """keep_run=False only looks: the batch's own windows are not kept."""
         rows = batch.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), "text").mapInArrow(_mapper(self.buckets, self.bits), "bucket int, kind int, data binary")
-        if self.manifest is not None:
-            rows = rows.union(self.manifest.select("bucket", F.lit(2), F.col("path").cast("binary")))
+        old = self.manifest
+        if old is not None:
+            rows = rows.union(old.select("bucket", F.lit(2), F.col("path").cast("binary")))
         out = stored(rows.groupBy("bucket").applyInPandas(_reducer(self.folder, keep_run), _OUT), "fingerprint-hits")
-        new = out.where("kind = 1").select("bucket", "path", "compacted")
-        if self.manifest is None:
-            self.manifest = new
-        else:
-            gone = new.where("compacted").select("bucket")
-            self.manifest = stored(self.manifest.join(gone, "bucket", "left_anti").select("bucket", "path", "compacted").union(new), "fingerprint-manifest")
+        if keep_run:
+            new = out.where("kind = 1").select("bucket", "path", "compacted")
+            if old is not None:
+                new = old.join(new.where("compacted").select("bucket"), "bucket", "left_anti").select("bucket", "path", "compacted").union(new)
+            new.write.mode("overwrite").parquet(f"{self.folder}/manifest-{self.version + 1}")
+            self.version += 1
+            self._name()
         return out.where("kind = 0").select("doc_id", "start", "len", "ref_doc", "ref_start")
 
     def drop(self) -> None:
@@ -371,10 +397,8 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: in
     rows with a null doc_id take no part and keep their words; rows that repeat a doc_id are one document; a passage that
     a third of all documents hold costs one entry for each chunk of documents.
     """
-    spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    buckets = 1 << max(2, (text_bytes(docs) // BUCKET_BYTES).bit_length())
-    index = FingerprintIndex(spark, buckets, bits)
+    index = FingerprintIndex(df.sparkSession, buckets_of(docs), bits)
     edges = [x for x in sorted(set(docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)))] if batches > 1 else []
     lows, highs = [None, *edges], [*edges, None]
     hits = None
@@ -387,8 +411,29 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: in
         found = index.add(part, keep_run=high is not None)
         hits = found if hits is None else hits.union(found)
     index.drop()
+    return _resolved(docs, docs, hits)
+
+
+def buckets_of(docs: DataFrame) -> int:
+    """How many buckets an index of so much text should have."""
+    return 1 << max(2, (text_bytes(docs) // BUCKET_BYTES).bit_length())
+
+
+def dedup_batch(index: FingerprintIndex, batch: DataFrame, known: DataFrame) -> DataFrame:
+    """dedup() of one more batch (doc_id, text) against all that came before it, which the index then holds as well.
+
+    Its doc_ids must be larger than those before.  known: (doc_id, text) of all documents, the batch included: the words at the
+    places that the index names are compared there.  Only the batch's windows are hashed, and only buckets with new windows or
+    with runs are read.
+    """
+    d, k = (x.select(F.col("doc_id").cast("long").alias("doc_id"), "text") for x in (batch, known))
+    return _resolved(d, k, index.add(d))
+
+
+def _resolved(docs: DataFrame, known: DataFrame, hits: DataFrame) -> DataFrame:
+    """The rows of docs without what hits prove to be repeated, by the words of known."""
     wanted = hits.select("ref_doc", "ref_start", "len").distinct().groupBy("ref_doc").agg(F.collect_list(F.struct("ref_start", "len")).alias("wanted"))
-    asked = docs.join(wanted, docs.doc_id == wanted.ref_doc)
+    asked = known.join(wanted, known.doc_id == wanted.ref_doc)
     refs = asked.select("ref_doc", F.inline(_digests("text", "wanted")))
     proven = hits.join(refs, ["ref_doc", "ref_start", "len"]).groupBy("doc_id").agg(F.collect_list(F.struct("start", "len", "digest")).alias("hits"))
     done = stored(_cleaned(docs, proven), "substring-dedup")
@@ -396,7 +441,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", batches: in
     if failed.limit(1).count():
         text_of = docs.join(failed.select(F.col("doc_id").alias("f_id"), "failed").distinct(), F.col("doc_id") == F.col("f_id")).select("doc_id", "text", "failed")
         fine = done.select("doc_id", "failed").join(proven.select("doc_id", F.explode("hits").alias("h")), "doc_id").where(~F.exists("failed", lambda f: (f["start"] == F.col("h.start")) & (f["len"] == F.col("h.len")))).select("doc_id", "h.start", "h.len", F.lit(None).cast("binary").alias("digest"))
-        proven = fine.union(_settled(docs, text_of)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "len", "digest")).alias("hits"))
+        proven = fine.union(_settled(known, text_of)).groupBy("doc_id").agg(F.collect_list(F.struct("start", "len", "digest")).alias("hits"))
         done = stored(_cleaned(docs, proven), "substring-dedup")
     return done.select("doc_id", "n_words", "removed", "kept")
 
@@ -408,6 +453,7 @@ def _cleaned(docs: DataFrame, proven: DataFrame) -> DataFrame:
 
 
 def op6_substrings(spark, sf_dir: str) -> DataFrame:
+    """dedup() of documents: null texts have no words, a null doc_id takes no part and keeps its words."""
     found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "n_words", n_removed.alias("n_removed"), sha256_hex(F.col("kept")).alias("kept_sha256"))

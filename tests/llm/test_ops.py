@@ -588,3 +588,41 @@ def test_op9_query_is_in_order(spark, tmp_path):
     got = sorted(query_rows(spark, tmp_path, "op9_warc", pages=spark.createDataFrame(rows, "page_id long, url string, html string")), key=lambda r: r.place)
     assert [r.place for r in got] == list(range(41))
     assert [(r.url_key, r.captured, r.page_id) for r in got] == sorted((r.url_key, r.captured, r.page_id) for r in got)
+
+
+@pytest.mark.parametrize("bits", [64, 9])
+def test_an_index_goes_on_in_another_session(spark, tmp_path, bits):
+    """Batches added one by one, each by an index opened anew, give what one go gives; runs are compacted on the way; an add that only looks changes nothing."""
+    texts = odd_texts()
+    every = docs(spark, texts).select("doc_id", "text")
+    folder = f"file://{tmp_path}/index"
+    substrings.FingerprintIndex(spark, 4, bits, folder)
+    got, cuts = {}, [0, 5, 12, 20, 26, 33, 100]
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        index = substrings.FingerprintIndex.open(spark, folder)
+        batch, known = every.where(F.col("doc_id").between(low, high - 1)), every.where(F.col("doc_id") < high)
+        before = index.version
+        index.add(batch, keep_run=False)
+        assert index.version == before
+        rows = substrings.dedup_batch(index, batch, known).collect()
+        got |= {r.doc_id: (r.n_words, sum(s.end - s.start for s in r.removed), r.kept) for r in rows}
+    assert got == dedup_brute(texts)
+    last = substrings.FingerprintIndex.open(spark, folder)
+    assert last.version == 6
+    assert last.manifest.groupBy("bucket").count().agg(F.max("count")).first()[0] <= substrings.FANOUT + 1
+    assert last.manifest.where("compacted").count() > 0
+
+
+def test_bounds_leave_out_only_what_cannot_be_best():
+    gen = np.random.default_rng(8)
+    x = np.floor(gen.normal(size=(900, 6)) * 64).astype(np.float64)
+    x[5], x[6] = x[7], x[7]
+    ids, weights = np.arange(900), x[:40]
+    floor = np.full(40, -np.inf)
+    rows, scores, found = topk.block_top(weights, ids[:40], ids, x, floor, 20)
+    for q in range(40):
+        best = sorted((-s, c) for c, s in enumerate(weights[q] @ x.T) if c != q)[:20]
+        assert list(zip(-scores[rows == q], found[rows == q], strict=True)) == best
+    high = np.array([sorted(weights[q] @ np.delete(x, q, 0).T)[-3] for q in range(40)])
+    rows, scores, _ = topk.block_top(weights, ids[:40], ids, x, high, 20)
+    assert all((scores[rows == q] >= high[q]).sum() == 3 for q in range(40))
