@@ -626,3 +626,87 @@ def test_bounds_leave_out_only_what_cannot_be_best():
     high = np.array([sorted(weights[q] @ np.delete(x, q, 0).T)[-3] for q in range(40)])
     rows, scores, _ = topk.block_top(weights, ids[:40], ids, x, high, 20)
     assert all((scores[rows == q] >= high[q]).sum() == 3 for q in range(40))
+
+
+def profile_brute(text):
+    """Hashed n-grams of one to three characters, one by one."""
+    mask = (1 << 32) - 1
+    codes, seen = [32], False
+    for c in (text or "").lower():
+        seen |= c.isalpha()
+        code = ord(c) if c.isalpha() else 32
+        if code != 32 or codes[-1] != 32:
+            codes.append(code)
+    counts = [0] * langid.BUCKETS
+    for i in range(1, len(codes)):
+        one = codes[i] * 2654435761 & mask
+        grams = [one]
+        for n in (2, 3):
+            if i - n + 1 >= 0:
+                h = codes[i - n + 1] * 2654435761 & mask
+                h = (h ^ (codes[i - n + 2] * 40503 + 97 & mask)) * 2246822519 & mask
+                if n == 3:
+                    h = (h ^ (codes[i] * 50021 + 193 & mask)) * 3266489917 & mask
+                grams.append(h)
+        for g in grams:
+            counts[g >> 19] += 1
+    return counts if seen else None
+
+
+def test_langid_against_brute_force(spark):
+    """Profiles, TF-IDF vectors, cosines and the nearest centroid, recomputed with plain loops from the fitted model."""
+    texts = ["The cat, the DOG & 12 more", "x", "", None, "42 !", "Äpfel und Öl " * 40, "日本語 text", "a" * 70]
+    for t in texts:
+        want, got = profile_brute(t), langid.profile(t)
+        assert (got is None) == (want is None), t
+        assert got is None or got.tolist() == want, t
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = langid.train(d)
+    rows = langid.predict(d, model).collect()
+    for r in rows[:60]:
+        counts = profile_brute(r.text)
+        if counts is None:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0, True)
+            continue
+        v = [np.log1p(c) * w for c, w in zip(counts, model.idf, strict=True)]
+        norm = sum(x * x for x in v) ** 0.5
+        near = [sum(float(a) * b for a, b in zip(c, v, strict=True)) / norm for c in model.centroids]
+        best = max(range(len(near)), key=near.__getitem__)
+        assert r.lang_pred == model.langs[best]
+        assert r.score == pytest.approx(near[best], abs=1e-4)
+        lengths = model.floors[r.lang_pred]
+        size = sum(counts).bit_length()
+        floor = lengths[min(lengths, key=lambda b: (abs(b - size), b))] * (0.25 ** max(0, langid.SHORT - size))
+        assert r.rejected == (r.score < floor)
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage's rule, applied one after the other in plain Python, gives the pipeline's rows."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    gen = random.Random(21)
+    fresh = lambda n: " ".join(gen.choice(VOCABULARY) + gen.choice(VOCABULARY) for _ in range(n))
+    passage = fresh(60)
+    texts = [None, "", "123 !"] + [fresh(80) for _ in range(12)]
+    texts += [texts[3], texts[4] + " end", texts[5].upper(), f"{fresh(40)} {passage} {fresh(40)}", passage, f"{fresh(30)} a.b@c.example, 10.0.0.1 and 4111 1111 1111 1111; +1 (555) 010-9999 {fresh(30)}"]
+    items = [(1, passage), (2, "")]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+
+    model = langid.train(docs(spark, texts))
+    kept = [i for i, t in enumerate(texts) if not model.predict(t)[2]]
+    kept = [kept[k] for k in near_brute([texts[i] for i in kept])]
+    hit = {kept[r[0]]: r for r in contaminated_brute([texts[i] for i in kept], items)}
+    kept = [i for i in kept if not (hit[i][2] and 20 * hit[i][2] >= hit[i][1])]
+    rules = [(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "<EMAIL>"), (r"\+[0-9][\x20().0-9-]+[0-9]", "<PHONE>"), (r"\b[0-9]+(\.[0-9]+){3}\b", "<IP>"), (r"(?:[0-9]{4} ){3}[0-9]{4}", "<CARD>")]
+    whole = Tokenizer.from_file(bpe.default_path())
+    assert set(got) == set(kept)
+    assert 0 < len(kept) < len(texts) - 6
+    for i in kept:
+        clean = texts[i]
+        for pattern, tag in rules:
+            clean = re.sub(pattern, tag, clean)
+        ids = whole.encode(clean, add_special_tokens=False).ids
+        assert (got[i].text, got[i].n_chars, list(got[i].ids), got[i].decoded) == (clean, len(clean), ids, whole.decode(ids, skip_special_tokens=False))
