@@ -140,3 +140,16 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops contaminated rows: a null doc_id is an id like any other, and of several texts of one doc_id only contaminated ones go."""
     bad = _contaminated(docs, table(spark, sf_dir, "benchmark")).where(is_contaminated()).select("doc_id", "th").distinct()
     return without_rows(docs, stored(bad, "decontamination-bad"), BROADCAST_ROWS)
+
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+i AS (SELECT DISTINCT item_id, least(len(ws), {WINDOW}) AS n, array_to_string(ws[s:s + least(len(ws), {WINDOW}) - 1], ' ') AS k FROM b, unnest(range(1, greatest(len(ws) - {WINDOW - 1}, 1) + 1)) AS t(s) WHERE len(ws) > 0),
+m AS (SELECT doc_id, s, l.n, array_to_string(ws[s:s + l.n - 1], ' ') AS k FROM d, (SELECT DISTINCT n FROM i) AS l, unnest(range(1, len(ws) - l.n + 2)) AS t(s)),
+h AS (SELECT doc_id, s, m.n, item_id FROM m JOIN i ON i.n = m.n AND i.k = m.k),
+c AS (SELECT doc_id, count(DISTINCT s + j) AS n_hit FROM h, unnest(range(0, n)) AS t(j) GROUP BY 1),
+x AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM h GROUP BY 1)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {SHARE} * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id
+"""

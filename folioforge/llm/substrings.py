@@ -457,3 +457,14 @@ def op6_substrings(spark, sf_dir: str) -> DataFrame:
     found = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "n_words", n_removed.alias("n_removed"), sha256_hex(F.col("kept")).alias("kept_sha256"))
+
+
+SQL = rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+n AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS k FROM w, unnest(range(1, len(ws) - {WINDOW - 2})) AS t(i)),
+h AS (SELECT doc_id, i FROM n QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+c AS (SELECT DISTINCT doc_id, i + j AS p FROM h, unnest(range(0, {WINDOW})) AS t(j)),
+e AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+k AS (SELECT e.doc_id, string_agg(x, ' ' ORDER BY p) AS kept, count(*) AS n FROM e ANTI JOIN c ON c.doc_id = e.doc_id AND c.p = e.p GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, len(ws) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
