@@ -149,9 +149,22 @@ cols AS (SELECT page, n, row_number() OVER (PARTITION BY page ORDER BY avg(x) DE
 placed AS (SELECT page, id, col, row_number() OVER (PARTITION BY page, col ORDER BY y, id) - 1 AS place FROM rec JOIN cols USING (page, n))
 """
 READING_COLUMNS = _BOXES.replace("WITH g", "WITH RECURSIVE g") + ", pts AS (SELECT page, id, (\"left\" + \"right\") / 2 AS x, top AS y FROM x)," + _COLUMNS + 'SELECT page, id, col::INTEGER AS "column", place::INTEGER AS place FROM placed'
+_UNTHIN = """
+md AS (SELECT page, list_sort(list("right" - "left")) AS w FROM x GROUP BY page),
+th AS (SELECT x.*, w[len(w) // 2 + 1] AS median FROM x JOIN md USING (page)),
+kp AS (SELECT a.* FROM th a WHERE text = '、' OR NOT ("right" - "left" < median * 0.85 AND EXISTS (
+  SELECT 1 FROM x b WHERE b.page = a.page AND b."right" - b."left" > a."right" - a."left" AND a.bottom > b.top AND a.top < b.bottom AND greatest(0, b."left" - a."right", a."left" - b."right") <= a.median))),
+pts AS (SELECT page, id, ("left" + "right") / 2 AS x, top AS y FROM kp),"""
+WORD_PAGE_TEXTS = _BOXES.replace("WITH g", "WITH RECURSIVE g") + "," + _UNTHIN + _COLUMNS + """,
+cw AS (SELECT p.page, col, string_agg(text, '' ORDER BY place) AS t, arg_min(top, place) AS first FROM placed p JOIN kp ON kp.page = p.page AND kp.id = p.id GROUP BY 1, 2),
+wd AS (SELECT page, list_sort(list("right" - "left")) AS w FROM kp GROUP BY page),
+br AS (SELECT cw.page, col, t, col > 0 AND first - lag(first) OVER (PARTITION BY cw.page ORDER BY col) >= greatest(8, w[len(w) // 2 + 1] * 0.6) AS brk FROM cw JOIN wd USING (page))
+SELECT page, string_agg(CASE WHEN brk THEN chr(10) ELSE '' END || t, '' ORDER BY col) AS text FROM br GROUP BY page
+"""
 
 SQL = {
     "reading_columns": READING_COLUMNS,
+    "word_page_texts": WORD_PAGE_TEXTS,
     "structured_load": _READINGS + """,
 p AS (SELECT doc_id % 2 AS snapshot, doc_id AS paragraph, coalesce(text, '') AS t FROM documents),
 m AS (SELECT p.*, h.s, reading FROM p JOIN h ON h.snapshot = p.snapshot AND h.paragraph = p.paragraph AND rank = 1 WHERE length(t) >= 14),
