@@ -166,3 +166,39 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = found.select("_row", F.explode(F.array(sanitised(F.col("_text"), F.col("found")))).alias("_clean"))
     new = {"text": F.col("_clean"), "n_chars": F.length("_clean").cast("long")}
     return clean.select(*(new.get(c, F.col(f"_row.{c}")).alias(c) for c in docs.columns))
+
+
+def _matches_sql(name: str, pattern: str, good: str) -> str:
+    """A table of doc_id, start, end and value of a pattern's matches that are good; the texts between them give the places."""
+    return rf"""
+{name}_m AS (SELECT doc_id, n, t, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS g FROM d WHERE regexp_matches(t, '{pattern}')),
+{name}_s AS (SELECT n, i, m[i] AS v, sum(length(g[i])) OVER w + sum(length(m[i])) OVER w - length(m[i]) AS s FROM {name}_m, unnest(range(1, len(m) + 1)) AS u(i) WINDOW w AS (PARTITION BY n ORDER BY i)),
+{name} AS (SELECT n, s::BIGINT AS s, s::BIGINT + length(v) AS e, v, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM {name}_s WHERE {good})"""
+
+
+SQL = (
+    r"WITH d AS (SELECT doc_id, row_number() OVER () AS n, coalesce(text, '') AS t FROM documents),"
+    + _matches_sql("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true") + ","
+    + _matches_sql("ip", r"[0-9]+(?:\.[0-9]+){3}", "len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0") + ","
+    + _matches_sql("card", r"[0-9](?:[\x20-]?[0-9])+", "length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 13 AND 19") + ","
+    + _matches_sql("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 9 AND 15")
+    + rf""",
+luhn AS (SELECT n, s, e, v FROM card WHERE list_sum(list_transform(range(1, length(digits) + 1), lambda i: CASE WHEN i % 2 = 1 THEN substr(reverse(digits), i, 1)::INTEGER
+    ELSE (2 * substr(reverse(digits), i, 1)::INTEGER) // 10 + (2 * substr(reverse(digits), i, 1)::INTEGER) % 10 END)) % 10 = 0),
+b AS (SELECT n, 0 AS k, 'email' AS kind, s, e, v FROM email UNION ALL SELECT n, 1, 'ip', s, e, v FROM ip UNION ALL SELECT n, 2, 'card', s, e, v FROM luhn UNION ALL SELECT n, 3, 'phone', s, e, v FROM phone),
+t AS (SELECT n, unnest(list_distinct(regexp_split_to_array(lower(t), '[^\p{{L}}]+'))) AS term FROM d),
+t3 AS (SELECT n, term FROM t WHERE length(term) >= {TERM_LEAST}),
+en AS (SELECT DISTINCT n, kind || ':' || v AS entity FROM b),
+ne AS (SELECT entity, count(*) AS n_e FROM en GROUP BY 1 HAVING count(*) >= {SUPPORT}),
+et AS (SELECT entity, term, count(*) AS n_et FROM en JOIN ne USING (entity) JOIN t3 USING (n) GROUP BY 1, 2 HAVING count(*) >= {SUPPORT}),
+nt AS (SELECT term, count(*) AS n_t FROM t3 WHERE term IN (SELECT term FROM et) GROUP BY 1),
+fl AS (SELECT DISTINCT term FROM et JOIN ne USING (entity) JOIN nt USING (term), (SELECT count(*)::DOUBLE AS all_ FROM d) WHERE n_e < all_ AND ln((n_et / all_) / ((n_e / all_) * (n_t / all_))) / -ln(n_e / all_) >= {DISCLOSURE}),
+wd AS (SELECT n, regexp_extract_all(t, '\p{{L}}+') AS m, regexp_split_to_array(t, '\p{{L}}+') AS g FROM d WHERE n IN (SELECT n FROM t3 WHERE term IN (SELECT term FROM fl))),
+ws AS (SELECT n, m[i] AS v, sum(length(g[i])) OVER w + sum(length(m[i])) OVER w - length(m[i]) AS s FROM wd, unnest(range(1, len(m) + 1)) AS u(i) WINDOW w AS (PARTITION BY n ORDER BY i)),
+x AS (SELECT n, s::BIGINT AS s, s::BIGINT + length(v) AS e FROM ws WHERE length(v) >= {TERM_LEAST} AND lower(v) IN (SELECT term FROM fl) AND NOT EXISTS (SELECT 1 FROM b WHERE b.n = ws.n AND b.s < ws.s + length(ws.v) AND b.e > ws.s)),
+a AS (SELECT n, k, kind, s, e FROM b UNION ALL SELECT n, 4, 'term', s, e FROM x),
+r AS (SELECT n, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans FROM a GROUP BY n)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN r ON r.n = d.n
+"""
+)

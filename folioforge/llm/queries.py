@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_urlfilter": urlfilter.SQL, "op4_topk": topk.SQL, "op6_substrings": substrings.SQL, "op7_decontamination": decontamination.SQL, "op9_warc": warc.SQL}
+    return {"op2_urlfilter": urlfilter.SQL, "op4_topk": topk.SQL, "op6_substrings": substrings.SQL, "op7_decontamination": decontamination.SQL, "op9_warc": warc.SQL, "op10_pii": pii.SQL}
