@@ -80,10 +80,7 @@ def disclosing(docs: DataFrame) -> DataFrame:
     Rows count as documents, copies of a text and null ids too.  A hot term or entity costs a count for each task, not a row
     for each document.  Before pairs are made, only what cannot reach the share or SUPPORT is left out.
     """
-    has = F.col("text").rlike(r"@|\+[0-9]|[0-9][\x20.-]?[0-9]")
-    rows = docs.where(has).select("text", F.explode(F.array(_base_row(F.col("text")))).alias("b"))
-    named = F.array_distinct(F.concat(*(_named(k) for k in KINDS[:4])))
-    rows = rows.select("text", F.explode(F.array(named)).alias("entities")).where(F.size("entities") > 0)
+    rows = _with_entities(docs)
     each = stored(rows.select("entities", _distinct_terms(F.col("text")).alias("terms")), "pii-rows")
     n = docs.count()
     # Two meet in no more documents than the entity has, so that one in fewer than SUPPORT has no pair.
@@ -104,6 +101,14 @@ def disclosing(docs: DataFrame) -> DataFrame:
     return pairs.join(counts, "term").select("entity", "term", _share(n).alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE)
 
 
+def _with_entities(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) that have any entity, with the distinct ones as entities."""
+    has = F.col("text").rlike(r"@|\+[0-9]|[0-9][\x20.-]?[0-9]")
+    rows = docs.where(has).select("doc_id", "text", F.explode(F.array(_base_row(F.col("text")))).alias("b"))
+    named = F.array_distinct(F.concat(*(_named(k) for k in KINDS[:4])))
+    return rows.select("doc_id", "text", F.explode(F.array(named)).alias("entities")).where(F.size("entities") > 0)
+
+
 def _share(n: int, n_et: Column | str = "n_et") -> Column:
     """The mutual information of term and entity as a share of the entity's, from n_e, n_t and n_et of n documents."""
     p = lambda c: (F.col(c) if isinstance(c, str) else c) / F.lit(float(n))
@@ -117,16 +122,17 @@ def _named(kind: str) -> Column:
 def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with n_email, n_ip, n_card, n_phone, base and found (arrays of start, kind, end; by kind, then start).
 
-    found holds the base spans and, as kind term, every occurrence of a term that discloses an entity (see disclosing), unless
-    it lies in a base span.  Null and empty texts have none; repeated rows have the same spans; an empty df gives no rows.
+    found holds the base spans and, as kind term, every occurrence of a term that discloses an entity of the same text (see
+    disclosing), unless it lies in a base span.  So a text without an entity is left alone, whatever its words.  Null and empty texts have none; repeated rows have the same spans; an empty df gives no rows.
     Columns of df that have one of these names are kept; the new one then gets a _ after its name.
     """
     mine, c = packed(df, _id=F.col(doc_id), _text=F.coalesce(F.col(text), F.lit(""))), F.col("_text")
     docs = mine.select(F.col("_id").alias("doc_id"), c.alias("text"))
-    flagged, n_flagged = _counted(disclosing(docs).select("term").distinct())
+    flagged, n_flagged = _counted(disclosing(docs).select("entity", "term"))
     if n_flagged:
-        at, _ = _counted(_terms(docs).join(flagged, "term").groupBy("doc_id").agg(F.collect_set("term").alias("_terms")).withColumnRenamed("doc_id", "_pii_id"))
-        rows = mine.join(at, F.col("_id").eqNullSafe(F.col("_pii_id")), "left")
+        held = _with_entities(docs).select(F.col("doc_id").alias("_pii_id"), F.xxhash64("text").alias("_th"), F.explode("entities").alias("entity"))
+        at, _ = _counted(held.join(flagged, "entity").groupBy("_pii_id", "_th").agg(F.collect_set("term").alias("_terms")))
+        rows = mine.join(at, F.col("_id").eqNullSafe(F.col("_pii_id")) & (F.xxhash64("_text") == F.col("_th")), "left")
     else:
         rows = mine.withColumn("_terms", F.lit(None).cast("array<string>"))
     one = rows.withColumn("_b", F.explode(F.array(_base_row(c))))
@@ -192,10 +198,11 @@ en AS (SELECT DISTINCT n, kind || ':' || v AS entity FROM b),
 ne AS (SELECT entity, count(*) AS n_e FROM en GROUP BY 1 HAVING count(*) >= {SUPPORT}),
 et AS (SELECT entity, term, count(*) AS n_et FROM en JOIN ne USING (entity) JOIN t3 USING (n) GROUP BY 1, 2 HAVING count(*) >= {SUPPORT}),
 nt AS (SELECT term, count(*) AS n_t FROM t3 WHERE term IN (SELECT term FROM et) GROUP BY 1),
-fl AS (SELECT DISTINCT term FROM et JOIN ne USING (entity) JOIN nt USING (term), (SELECT count(*)::DOUBLE AS all_ FROM d) WHERE n_e < all_ AND ln((n_et / all_) / ((n_e / all_) * (n_t / all_))) / -ln(n_e / all_) >= {DISCLOSURE}),
-wd AS (SELECT n, regexp_extract_all(t, '\p{{L}}+') AS m, regexp_split_to_array(t, '\p{{L}}+') AS g FROM d WHERE n IN (SELECT n FROM t3 WHERE term IN (SELECT term FROM fl))),
+fl AS (SELECT entity, term FROM et JOIN ne USING (entity) JOIN nt USING (term), (SELECT count(*)::DOUBLE AS all_ FROM d) WHERE n_e < all_ AND ln((n_et / all_) / ((n_e / all_) * (n_t / all_))) / -ln(n_e / all_) >= {DISCLOSURE}),
+ft AS (SELECT DISTINCT n, term FROM en JOIN fl USING (entity)),
+wd AS (SELECT n, regexp_extract_all(t, '\p{{L}}+') AS m, regexp_split_to_array(t, '\p{{L}}+') AS g FROM d WHERE n IN (SELECT n FROM ft)),
 ws AS (SELECT n, m[i] AS v, sum(length(g[i])) OVER w + sum(length(m[i])) OVER w - length(m[i]) AS s FROM wd, unnest(range(1, len(m) + 1)) AS u(i) WINDOW w AS (PARTITION BY n ORDER BY i)),
-x AS (SELECT n, s::BIGINT AS s, s::BIGINT + length(v) AS e FROM ws WHERE length(v) >= {TERM_LEAST} AND lower(v) IN (SELECT term FROM fl) AND NOT EXISTS (SELECT 1 FROM b WHERE b.n = ws.n AND b.s < ws.s + length(ws.v) AND b.e > ws.s)),
+x AS (SELECT n, s::BIGINT AS s, s::BIGINT + length(v) AS e FROM ws WHERE length(v) >= {TERM_LEAST} AND (n, lower(v)) IN (SELECT (n, term) FROM ft) AND NOT EXISTS (SELECT 1 FROM b WHERE b.n = ws.n AND b.s < ws.s + length(ws.v) AND b.e > ws.s)),
 a AS (SELECT n, k, kind, s, e FROM b UNION ALL SELECT n, 4, 'term', s, e FROM x),
 r AS (SELECT n, count(*) FILTER (k = 0) AS n_email, count(*) FILTER (k = 1) AS n_ip, count(*) FILTER (k = 2) AS n_card, count(*) FILTER (k = 3) AS n_phone,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) FILTER (k < 4) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY k, s) AS spans FROM a GROUP BY n)
