@@ -149,3 +149,26 @@ def write_files(files: DataFrame, folder: str) -> int:
         fs.delete_dir(local)
         raise
     return n
+
+
+def replace_file(uri: str, content: bytes, problems) -> None:
+    """Puts a file in place of the one at uri, or where there is none, once problems(content) finds nothing wrong with it.
+
+    It is written under another name beside it first, and moved when it is whole: who reads uri sees the old file or the new one.
+    """
+    from pyarrow import fs as pafs
+
+    wrong = problems(content)
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    fs, path = pafs.FileSystem.from_uri(uri)
+    folder, _, name = path.rpartition("/")
+    other = f"{folder}/.{name}.{uuid.uuid4().hex}.tmp"
+    fs.create_dir(folder)
+    try:
+        with fs.open_output_stream(other) as out:
+            out.write(content)
+        fs.move(other, path)
+    finally:
+        if fs.get_file_info(other).type == pafs.FileType.File:
+            fs.delete_file(other)

@@ -88,3 +88,14 @@ def range_of(pages: DataFrame, book: str, position: str, included: Column, start
     """n of each book's included pages from the start-th, counted from 1."""
     w = Window.partitionBy(book).orderBy(position)
     return pages.where(included).withColumn("_i", F.row_number().over(w)).where(F.col("_i").between(start, start + n - 1)).drop("_i")
+
+
+def image_key(source_hash: Column, crop: Column, rotation: Column) -> Column:
+    """The name under which a page's prepared picture is kept: a hash of its source, crop and rotation; null for a rotation that is no quarter."""
+    parts = F.concat_ws("|", source_hash, *(_shortest(crop[c]) for c in ("left", "top", "right", "bottom")), rotation.cast("string"))
+    return F.when(rotation.isin(0, 90, 180, 270), tx.text_hash(parts))
+
+
+def _shortest(number: Column) -> Column:
+    """A number in as few digits as tell it, whole ones without a fraction."""
+    return F.regexp_replace(number.cast("double").cast("string"), r"\.0$", "")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import loads, writers
-from ..sources import worker
+from ..functions import word
+from ..operators import loads, pages, writers
+from ..sources import migrations, worker
 from ..sources.tables import table
 from .books import _LINES, _PIECES, _pages
-from .desk import _PROPOSALS, _proposals
+from .desk import _PROPOSALS, _proposals, _rendered
 from .flows import ANNOTATIONS, _rows, annotations, mapped
 from .ledger import _BOXES, _boxes
 
@@ -291,3 +292,69 @@ SELECT k AS request_id, CASE WHEN c IN (2, 5, 6) THEN 'ok' ELSE 'error' END AS s
   CASE WHEN c = 5 THEN t || ':50:1:4' || CASE WHEN k % 3 <> 0 THEN ' ' || t || ':25:1:4' ELSE '' END WHEN c = 6 THEN CASE WHEN k % 4 <> 0 THEN t || chr(10) || t ELSE '' END || ':80:0:1' ELSE '' END AS words FROM s
 """,
 }
+
+
+def word_documents(spark, d):
+    """Documents as paragraphs of books of twelve: the length and hash of each book's main part, and what is wrong with its archive."""
+    options = word.WordOptions("Font & \"Co\"", True, 2)
+    files = word.parts(_rendered(spark, d).withColumn("book", F.floor(F.col("doc_id") / 12)), "book", "doc_id", options)
+    return files.where("path = 'word/document.xml'").select(F.col("batch").alias("book"), F.md5("content").alias("content_md5"))
+
+
+def image_keys(spark, d):
+    k = F.col("p_partkey")
+    crop = F.struct((k % 10 / 20).alias("left"), F.lit(0.0).alias("top"), F.lit(1.0).alias("right"), (1 - k % 4 / 8).alias("bottom"))
+    p = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("hash"), crop.alias("crop"), (k % 5 * 90).cast("int").alias("rotation"))
+    return p.select("p_partkey", pages.image_key(F.col("hash"), F.col("crop"), F.col("rotation")).alias("key"))
+
+
+def table_migration(spark, d):
+    """Orders as the pages of an old version, some with a count of review items, lines as the words of its runs."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 3).cast("int").alias("review_item_count"), F.col("o_orderpriority").alias("page_role"))
+    reviews = o.where("id % 2 = 0").select(F.col("id").alias("page_id"), F.lit("x").alias("code"), F.lit("OCR").alias("source"), F.lit("t").alias("text"))
+    words = _boxes(spark, d).withColumn("confidence", F.lit(0.5)).withColumnsRenamed({"page": "run_id", "id": "ordinal"})
+    out = migrations.migrated({"pages": o, "review_items": reviews, "ocr_run_words": words}, 0)
+    out = migrations.migrated(out, migrations.VERSION)
+    page = F.concat_ws(" ", "page_role", "review_item_count", "crop_right", "proofreading_status", "ocr_status", "boundary_join_type")
+    roles = out["ocr_run_words"].groupBy("run_id", "automatic_role", "manual_override").agg(F.count("*").alias("n"))
+    return _rows(pages=(out["pages"], "id", page), reviews=(out["review_items"], "page_id", F.concat_ws(" ", "code", "source", "text")), words=(roles, "run_id", F.concat_ws(" ", "automatic_role", F.col("manual_override").cast("string"), "n")))
+
+
+QUERIES |= {f.__name__: f for f in (word_documents, image_keys, table_migration)}
+
+_X = "replace(replace(replace(regexp_replace({}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_T = "'<w:t xml:space=\"preserve\">' || " + _X + " || '</w:t>'"
+_P = "'<w:rPr><w:rFonts w:ascii=\"' || f || '\" w:hAnsi=\"' || f || '\" w:eastAsia=\"' || f || '\"/><w:sz w:val=\"' || {0} || '\"/><w:szCs w:val=\"' || {0} || '\"/></w:rPr>'"
+_RUN = "'<w:r>' || " + _T + " || '</w:r>'"
+
+
+def _read(base: str, reading: str) -> str:
+    return (
+        "'<w:r><w:ruby><w:rubyPr><w:rubyAlign w:val=\"center\"/><w:hps w:val=\"10\"/><w:hpsRaise w:val=\"14\"/><w:hpsBaseText w:val=\"' || size || '\"/><w:lid w:val=\"ja-JP\"/></w:rubyPr><w:rt><w:r>' || " + _P.format("10") + " || " + _T.format(reading)
+        + " || '</w:r></w:rt><w:rubyBase><w:r>' || " + _P.format("size") + " || " + _T.format(base) + " || '</w:r></w:rubyBase></w:ruby></w:r>'"
+    )
+
+
+SQL |= {
+    "word_documents": f"""
+WITH p AS (SELECT doc_id, coalesce(text, '') AS text, ['Heading1', 'Heading2', 'Normal', 'SceneBreak', 'Normal'][doc_id % 5 + 1] AS style, [32, 28, 21, 21, 21][doc_id % 5 + 1] AS size, 'Font &amp; &quot;Co&quot;' AS f FROM documents),
+q AS (SELECT doc_id, '<w:p><w:pPr><w:pStyle w:val="' || style || '"/>' || CASE WHEN doc_id % 5 = 0 THEN '<w:pageBreakBefore/>' ELSE '' END || '</w:pPr>' || CASE WHEN doc_id % 2 = 0 AND length(text) >= 12
+    THEN {_RUN.format("substr(text, 1, 1)")} || {_read("substr(text, 2, 3)", "'よみ'")} || {_RUN.format("substr(text, 5, 3)")} || {_read("substr(text, 8, 2)", "'a|b'")} || {_RUN.format("substr(text, 10)")}
+    WHEN text = '' THEN '' ELSE {_RUN.format("text")} END || '</w:p>' AS x FROM p)
+SELECT doc_id // 12 AS book, md5('<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>' || string_agg(x, '' ORDER BY doc_id)
+  || '<w:sectPr><w:pgSz w:w="11906" w:h="16838"/><w:pgMar w:top="1134" w:right="1134" w:bottom="1134" w:left="1134" w:header="708" w:footer="708" w:gutter="0"/></w:sectPr></w:body></w:document>') AS content_md5 FROM q GROUP BY 1
+""",
+    "image_keys": r"""
+SELECT p_partkey, CASE WHEN p_partkey % 5 < 4 THEN upper(sha256(p_name || '|' || regexp_replace((p_partkey % 10 / 20)::VARCHAR, '\.0$', '') || '|0|1|' || regexp_replace((1 - p_partkey % 4 / 8)::VARCHAR, '\.0$', '') || '|' || p_partkey % 5 * 90)) END AS key FROM part
+""",
+    "table_migration": _BOXES + """,
+m AS (SELECT page, list_sort(list("right" - "left")) AS w FROM x GROUP BY page),
+a AS (SELECT x.*, w[len(w) // 2 + 1] AS median FROM x JOIN m USING (page)),
+t AS (SELECT a.*, text <> '、' AND "right" - "left" < median * 0.85 AND EXISTS (
+  SELECT 1 FROM x b WHERE b.page = a.page AND b."right" - b."left" > a."right" - a."left" AND a.bottom > b.top AND a.top < b.bottom AND greatest(0, b."left" - a."right", a."left" - b."right") <= a.median) AS thin FROM a),
+u AS (SELECT t.page, thin AND NOT EXISTS (SELECT 1 FROM t k WHERE NOT k.thin AND k.page = t.page AND k.text = t.text AND k."left" = t."left" AND k.top = t.top AND k."right" = t."right" AND k.bottom = t.bottom) AS aid FROM t)
+SELECT 'pages' AS part, o_orderkey::VARCHAR AS id, o_orderpriority || ' ' || o_orderkey % 3 || ' 1.0 NotOcrProcessed NotProcessed DirectJoin' AS value FROM orders
+UNION ALL SELECT 'reviews', o_orderkey::VARCHAR, CASE WHEN o_orderkey % 2 = 0 THEN 'x OCR t' ELSE 'LegacyReviewCount Migration' END FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 > 0
+UNION ALL SELECT 'words', page::VARCHAR, CASE WHEN aid THEN 'RubyCandidate' ELSE 'Body' END || ' false ' || count(*) FROM u GROUP BY page, aid
+""",
+}

@@ -128,3 +128,40 @@ def test_raise(spark, half, offset, want):
 
 def test_document_path():
     assert loads.document_path("/books/", "one") == "/books/one/one.docx"
+
+
+def test_a_word_document_is_whole_before_it_takes_its_place(spark, tmp_path):
+    from folioforge.functions import word
+    from folioforge.operators import packages
+
+    rows = [(1, 0, "ChapterTitle", [("第一章", None)]), (1, 1, "BodyParagraph", [("a<b & ", None), ("漢字", "かんじ"), ("\x02。", None)]), (1, 2, "SceneBreak", [("※", None)])]
+    d = spark.createDataFrame(rows, "book int, ord int, role string, inlines array<struct<text:string,reading:string>>")
+    archive = bytes(packages.zipped(word.parts(d, "book", "ord", word.WordOptions(break_before_chapters=True))).first().content)
+    assert word.problems(archive) == []
+    assert word.problems(b"x") == ["no archive"]
+    bare = bytes(packages.zipped(word.parts(d, "book", "ord").where("path <> 'word/styles.xml'")).first().content)
+    assert word.problems(bare) == ["word/styles.xml is missing"]
+    target = f"file://{tmp_path}/new/one.docx"
+    packages.replace_file(target, archive, word.problems)
+    with pytest.raises(ValueError, match=r"styles\.xml"):
+        packages.replace_file(target, bare, word.problems)
+    packages.replace_file(target, archive + b"", word.problems)
+    assert [p.name for p in (tmp_path / "new").iterdir()] == ["one.docx"]
+    assert (tmp_path / "new" / "one.docx").read_bytes() == archive
+    assert [word.offset_of(x) for x in ("3", " 20 ", "21", "-1", "x", None)] == [3, 20, None, None, None, None]
+    with pytest.raises(ValueError, match="offset"):
+        word.WordOptions(offset_points=21)
+
+
+def test_migrating_twice_changes_nothing(spark):
+    from folioforge.sources import migrations
+
+    pages = spark.createDataFrame([(1, 2, 0.5), (2, 0, 0.1)], "id int, review_item_count int, crop_left double")
+    none = spark.createDataFrame([], "page_id int, code string, source string, text string")
+    out = migrations.migrated({"pages": pages, "review_items": none}, 0)
+    again = migrations.migrated(out, 0)
+    assert out["pages"].collect() == again["pages"].collect()
+    assert [r.crop_left for r in out["pages"].orderBy("id").collect()] == [0.5, 0.1]
+    assert [(r.page_id, r.code) for r in again["review_items"].collect()] == [(1, "LegacyReviewCount")]
+    with pytest.raises(ValueError, match="newer"):
+        migrations.migrated({}, migrations.VERSION + 1)
