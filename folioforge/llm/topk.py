@@ -167,6 +167,7 @@ def _local(shared, width: int, k: int, kind):
 
 
 def op4_topk(spark, sf_dir: str) -> DataFrame:
+    """search() of embeddings for the rows whose vec_id is divisible by 20; rows that repeat a vec_id are candidates of their own."""
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 

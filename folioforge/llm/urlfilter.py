@@ -12,14 +12,15 @@ BROADCAST_ROWS = 100_000
 
 
 def host_of(url: Column) -> Column:
-    """The lower-case host of a URL, without port and user; empty where there is none."""
-    return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    """The lower-case host of a URL, without port, user and dots at its end; empty where there is none.  IPv6 hosts keep their brackets."""
+    found = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1)
+    return F.lower(F.regexp_replace(found, r"\.+$", ""))
 
 
 def keys_of(host: Column) -> Column:
-    """The host and its parent domains of two labels or more."""
+    """The host and its parent domains of two labels or more; an address has no parents."""
     labels = F.split(host, r"\.")
-    last = F.greatest(F.size(labels) - 1, F.lit(1))
+    last = F.when(host.rlike(r"^(\[.*|[0-9.]+)$"), 1).otherwise(F.greatest(F.size(labels) - 1, F.lit(1)))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
 
@@ -38,7 +39,8 @@ def intervals(entries: DataFrame) -> DataFrame:
 def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", at: str = "at") -> DataFrame:
     """captures (id, url, at) with host, n_active, blocked and matched (the smallest active key, or null).
 
-    One row a capture, none lost: a null or odd URL, or a null time, matches nothing.  The as-of condition is an equality on
+    One row a capture, none lost: a null or odd URL, or a null time, matches nothing; captures that share an id are judged each
+    by its own host and time, and equal rows alike.  The as-of condition is an equality on
     the key and a residual range, so a hot host is split by the adaptive skew join or needs no shuffle at all where the
     intervals are few.
     """
@@ -46,10 +48,11 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", at: str
     if spans.count() <= BROADCAST_ROWS:
         spans = F.broadcast(spans)
     c = captures.select("id", host_of(F.coalesce(F.col(url), F.lit(""))).alias("host"), F.col(at).alias("at"))
-    each = c.select("id", "at", F.explode(keys_of(F.col("host"))).alias("key"))
+    each = c.distinct().select("id", "host", "at", F.explode(keys_of(F.col("host"))).alias("key"))
     active = each.join(spans, "key").where((F.col("since") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
-    found = active.groupBy(F.col("id").alias("f_id")).agg(F.count_distinct("key").alias("n_active"), F.min("key").alias("matched"))
-    return c.join(found, F.col("id").eqNullSafe(F.col("f_id")), "left").select("id", "host", "at", F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), F.col("n_active").isNotNull().alias("blocked"), "matched")
+    found = active.groupBy(F.col("id").alias("f_id"), F.col("host").alias("f_host"), F.col("at").alias("f_at")).agg(F.count_distinct("key").alias("n_active"), F.min("key").alias("matched"))
+    same = F.col("id").eqNullSafe(F.col("f_id")) & (F.col("host") == F.col("f_host")) & (F.col("at") == F.col("f_at"))
+    return c.join(found, same, "left").select("id", "host", "at", F.coalesce("n_active", F.lit(0)).cast("long").alias("n_active"), F.col("n_active").isNotNull().alias("blocked"), "matched")
 
 
 def dated_entries(pages: DataFrame) -> DataFrame:
@@ -63,7 +66,7 @@ def dated_entries(pages: DataFrame) -> DataFrame:
 
 
 def op2_urlfilter(spark, sf_dir: str) -> DataFrame:
-    """The fetch day, which pages lacks, is page_id modulo 365."""
+    """Every capture with its host, its day, and what was listed then; the fetch day, which pages lacks, is page_id modulo 365."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     found = evaluate(pages.select(F.col("page_id").alias("id"), "url", (F.col("page_id") % 365).alias("at")), dated_entries(pages))
     return found.withColumnsRenamed({"id": "page_id", "at": "fetched"})
@@ -71,9 +74,9 @@ def op2_urlfilter(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH c AS (
-  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host, page_id % 365 AS fetched FROM pages),
+  SELECT page_id, lower(regexp_replace(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)', 1), '\.+$', '')) AS host, page_id % 365 AS fetched FROM pages),
 l AS (SELECT *, string_split(host, '.') AS labels FROM c WHERE host <> ''),
-k AS (SELECT page_id, fetched, unnest(list_transform(range(1, greatest(len(labels) - 1, 1) + 1), lambda i: array_to_string(labels[i:], '.'))) AS key FROM l),
+k AS (SELECT page_id, fetched, unnest(list_transform(range(1, CASE WHEN regexp_matches(host, '^(\[.*|[0-9.]+)$') THEN 1 ELSE greatest(len(labels) - 1, 1) END + 1), lambda i: array_to_string(labels[i:], '.'))) AS key FROM l),
 h AS (SELECT DISTINCT key, ('0x' || substr(md5(key), 1, 6))::BIGINT AS c FROM k),
 e AS (
   SELECT key, c % 300 AS at, 'add' AS action FROM h WHERE c % 3 = 0

@@ -406,6 +406,14 @@ def test_urlfilter(spark):
     assert got == {1: (0, None), 2: (1, "example.com"), 3: (2, "a.example.com"), 4: (0, None), 5: (0, None), 6: (0, None), 7: (0, None), 8: (0, None), 9: (0, None)}
 
 
+def test_urlfilter_of_odd_hosts_and_shared_ids(spark):
+    entries = spark.createDataFrame([("example.com", 0, "add"), ("[::1]", 0, "add"), ("0.0.1", 0, "add"), ("10.0.0.1", 0, "add")], "key string, at long, action string")
+    captures = [(1, "http://www.example.com./x", 4), (1, "http://other.org", 4), (1, "http://www.example.com./x", 4), (2, "http://u@[::1]:8080/", 1), (3, "http://10.0.0.1/", 1), (4, "http://10.0.0.1/", None), (None, "http://example.com", 3)]
+    got = sorted(((r.id, r.host, r.n_active, r.matched) for r in urlfilter.evaluate(spark.createDataFrame(captures, "id long, url string, at long"), entries).collect()), key=str)
+    want = [(1, "www.example.com", 1, "example.com")] * 2 + [(1, "other.org", 0, None), (2, "[::1]", 1, "[::1]"), (3, "10.0.0.1", 1, "10.0.0.1"), (4, "10.0.0.1", 0, None), (None, "example.com", 1, "example.com")]
+    assert got == sorted(want, key=str)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
