@@ -24,8 +24,8 @@ TERM_LEAST = 3
 DISCLOSURE, SUPPORT = 0.9, 2
 #: Rounding that the bounds below allow for.
 SLACK = 1e-9
-#: Rows that may be broadcast, after they have been counted.
-BROADCAST_ROWS = 100_000
+#: Rows, and terms in all of a row's list, that may be broadcast, after they have been counted.
+BROADCAST_ROWS, BROADCAST_TERMS = 100_000, 500_000
 
 
 def _digits(value: Column) -> Column:
@@ -131,7 +131,9 @@ def find(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     flagged, n_flagged = _counted(disclosing(docs).select("entity", "term"))
     if n_flagged:
         held = _with_entities(docs).select(F.col("doc_id").alias("_pii_id"), F.xxhash64("text").alias("_th"), F.explode("entities").alias("entity"))
-        at, _ = _counted(held.join(flagged, "entity").groupBy("_pii_id", "_th").agg(F.collect_set("term").alias("_terms")))
+        at = stored(held.join(flagged, "entity").groupBy("_pii_id", "_th").agg(F.collect_set("term").alias("_terms")), "pii-terms")
+        size = at.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("_terms")), F.lit(0)).alias("terms")).first()
+        at = F.broadcast(at) if size.rows <= BROADCAST_ROWS and size.terms <= BROADCAST_TERMS else at
         rows = mine.join(at, F.col("_id").eqNullSafe(F.col("_pii_id")) & (F.xxhash64("_text") == F.col("_th")), "left")
     else:
         rows = mine.withColumn("_terms", F.lit(None).cast("array<string>"))
