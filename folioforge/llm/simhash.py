@@ -31,6 +31,10 @@ STAGE_SHINGLE, SIMILAR = 5, (4, 5)
 BANDS, ROWS = 18, 5
 #: Words of 64 bits in which shingles are counted modulo 2: they differ in no more bits than the sets differ in shingles.
 SKETCH = 4
+#: Members of different groups up to which a band is compared pair by pair; larger bands go by their rarest shingles.
+CROWD = 256
+#: Places in which shingles are counted to tell rare ones from frequent ones.
+PLACES = 1 << 20
 #: Rows that may be broadcast, after they have been counted.
 BROADCAST_ROWS = 200_000
 _PART = 1 << 16
@@ -158,15 +162,22 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def signature(text: str | None) -> tuple[bytes, int, list[int], list[int]]:
-    """A digest of the text's set of shingles, its size, the key of each band and the sketch; a wordless text has no bands."""
+def _grams(text: str | None) -> np.ndarray:
+    """Hashes of the text's set of shingles, in order; none for a wordless text."""
     words = _words(text)
     if not words:
-        return b"\0" * 16, 0, [], [0] * SKETCH
+        return np.empty(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = len(h) - STAGE_SHINGLE + 1
     sums = sum(h[k : k + n] * _PLACES[k] for k in range(STAGE_SHINGLE)) if n > 0 else (h * _PLACES[: len(h)]).sum(keepdims=True) + np.uint64(len(h))
-    grams = np.unique(_mixed(_mixed(sums)))
+    return np.unique(_mixed(_mixed(sums)))
+
+
+def signature(text: str | None) -> tuple[bytes, int, list[int], list[int]]:
+    """A digest of the text's set of shingles, its size, the key of each band and the sketch; a wordless text has no bands."""
+    grams = _grams(text)
+    if not len(grams):
+        return b"\0" * 16, 0, [], [0] * SKETCH
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(grams), 4096):
         part = grams[None, at : at + 4096] ^ _XOR[:, None]
@@ -226,11 +237,50 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         return stored(both.where(same("a", "b")).select("u", "v"), "near-links")
 
 
+def _by_rare_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """members (label, a) under each of their rarest shingles instead of a band: (key, label, a).
+
+    Of two similar sets in one order of all shingles, the first of each, as many as may be missing from the other and one
+    more, have one in common.  The order is by frequency in a fixed number of places, then by hash: texts that share what
+    many share, and differ in the rest, no longer meet.  Exact: any order of all shingles would do.
+    """
+    spark = members.sparkSession
+
+    @F.arrow_udf(T.ArrayType(T.LongType(), False))
+    def grams(column: pa.Array) -> pa.Array:
+        return pa.array([_grams(x.as_py()).view(np.int64) for x in column], pa.list_(pa.int64()))
+
+    wanted = members.select(F.col("a.node").alias("node")).distinct()
+    with arrow_batches(spark):
+        sets = stored(texts.join(wanted, "node", "left_semi").select("node", grams("text").alias("grams")), "near-grams")
+    place = F.pmod("g", F.lit(PLACES)).alias("place")
+    counted = sets.select(F.explode("grams").alias("g")).groupBy(place).agg(F.count("*").alias("n")).toArrow()  # PLACES rows at most
+    frequent = np.zeros(PLACES, np.int64)
+    frequent[counted["place"].to_numpy()] = counted["n"].to_numpy()
+    shared = spark.sparkContext.broadcast(frequent)
+
+    @F.arrow_udf(T.ArrayType(T.LongType(), False))
+    def rarest(column: pa.Array) -> pa.Array:
+        out = []
+        for x in column:
+            g = np.array(x.as_py(), np.int64)
+            first = len(g) + (-len(g) * SIMILAR[0]) // SIMILAR[1] + 1
+            out.append(g[np.lexsort((g, shared.value[g % PLACES]))[:first]])
+        return pa.array(out, pa.list_(pa.int64()))
+
+    with arrow_batches(spark):
+        firsts = stored(sets.select("node", F.explode(rarest("grams")).alias("key")), "near-rare")
+    met = firsts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    some = firsts.join(met, "key", "left_semi").select("key", F.col("node").alias("_node"))
+    return some.join(members, F.col("_node") == F.col("a.node")).select("key", "label", "a")
+
+
 def similar_groups(rows: DataFrame) -> DataFrame:
     """rows: (node, text, _s), node a number of the row's own.  (digest, label): label is one number for each group of near copies.
 
     Exact copies, by their sets of shingles, are one node.  Members of a band are first compared with one of them, drawn anew
-    for each band; then all pairs of a band that are not yet in one group are.  So a group of near copies of any size costs
+    for each band; then all pairs of a band that are not yet in one group are, or, in a crowded band, those of its members
+    that share a rare shingle.  So a group of near copies of any size costs
     rows in proportion to its members, and no pair that meets is left out.  What has few rows, once they are counted, is joined
     by broadcast.
     """
@@ -259,6 +309,12 @@ def similar_groups(rows: DataFrame) -> DataFrame:
     mixed = _few(of.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key"), "near-keys")
     of = _small(of.join(mixed, "key", "left_semi"), n_shared).join(facts, "node")
     of = stored(of.select("key", "label", F.struct("node", "size", "sketch").alias("a")), "near-mixed")
+    crowded = stored(of.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "near-crowded")
+    n_crowded = crowded.count()
+    if n_crowded:
+        crowded = _small(crowded, n_crowded)
+        rare = _by_rare_shingles(of.join(crowded, "key", "left_semi").select("label", "a").distinct(), texts)
+        of = of.join(crowded, "key", "left_anti").unionByName(rare)
     other = of.select("key", F.col("label").alias("label_b"), F.col("a").alias("b"))
     rest = of.join(other, "key").where((F.col("label") < F.col("label_b")) & _may_be_similar("a", "b")).select(*pair("a.node", "b.node")).distinct()
     rest = stored(rest.join(first, ["u", "v"], "left_anti"), "near-pairs")

@@ -86,8 +86,10 @@ def near_brute(texts):
     return [i for i, at in enumerate(label) if i == at]
 
 
-def test_near_duplicates_stage(spark):
+@pytest.mark.parametrize("crowd", [256, 1])
+def test_near_duplicates_stage(spark, monkeypatch, crowd):
     """Planted copies at a similarity of 0.8 to 0.95, chains of them and texts somewhat alike, against all pairs."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     gen, texts = random.Random(11), odd_texts()
     fresh = lambda n: [f"w{gen.randrange(10**6)}" for _ in range(n)]
     for _ in range(12):
@@ -104,6 +106,24 @@ def test_near_duplicates_stage(spark):
     assert simhash.stage(spark, docs(spark, texts).limit(0), "").count() == 0
 
 
+def test_pages_of_one_template_meet_only_where_they_are_alike(spark, monkeypatch):
+    """Texts that share most of their words stand in crowded bands; by their rare shingles only true copies are compared."""
+    template = [f"t{k}" for k in range(120)]
+    texts = [" ".join([*template, *(f"u{i}x{k}" for k in range(40))]) for i in range(120)]
+    texts += [" ".join([*template, *(f"u{i}x{k}" for k in range(38)), "end"]) for i in range(10)]
+    monkeypatch.setattr(simhash, "CROWD", 20)
+    asked, real = [], simhash._verified
+
+    def verified(pairs, rows):
+        asked.append(pairs.count())
+        return real(pairs, rows)
+
+    monkeypatch.setattr(simhash, "_verified", verified)
+    got = sorted(r.doc_id for r in simhash.stage(spark, docs(spark, texts), "").collect())
+    assert got == near_brute(texts) == list(range(120))
+    assert sum(asked[1:]) <= 30
+
+
 def dedup_brute(texts):
     seen, out = set(), {}
     for i, t in enumerate(texts):
