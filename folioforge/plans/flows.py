@@ -249,7 +249,7 @@ UNION ALL SELECT 'refused', page::VARCHAR, ordinal::VARCHAR FROM e WHERE NOT EXI
 SELECT c_custkey AS page, CASE WHEN f.page IS NULL THEN 'Processing' WHEN NOT cancelled THEN 'Failed' WHEN was IS NOT NULL THEN was WHEN c_custkey % 2 <> 0 THEN 'NotProcessed' WHEN c_custkey % 3 = 0 THEN 'ReviewRequired' ELSE 'Completed' END AS status
 FROM customer LEFT JOIN f ON f.page = c_custkey AND r = 1
 """,
-    "newest_failures": _FAILURES + "SELECT page, event_id AS seq, r - 1 AS position FROM f",
+    "newest_failures": _FAILURES + "SELECT page, event_id AS seq, (r - 1)::INTEGER AS position FROM f",
     "run_outcomes": """
 WITH r AS (SELECT event_id AS k, ['Preprocess', 'PaddleOCR', 'Tesseract', 'Merge', 'DatabaseSave'][event_id % 5 + 1] AS stage, CASE WHEN event_id % 7 < 4 THEN event_type END AS error, [NULL, 'PaddleOCR', 'Tesseract', 'Other'][event_id % 4 + 1] AS ws,
     CASE WHEN event_id % 3 = 0 THEN 'WorkerError' END AS wt, [NULL, true, false][event_id % 3 + 1] AS wr, event_id % 2 = 0 AS io, event_id % 11 = 0 AS c FROM events),
