@@ -52,7 +52,7 @@ def block_top(weights: np.ndarray, own: np.ndarray, ids: np.ndarray, x: np.ndarr
         alive &= upper >= least[:, None]
         some = alive.any(axis=0)
         cols, alive = cols[some], alive[:, some]
-        if depth == m or alive.sum() <= 4 * k * len(weights):
+        if depth == m or alive.sum() <= 8 * k * len(weights):
             break
         depth = min(m, depth + max(1, (m - depth) // 2))
     rows, at = np.nonzero(alive)
