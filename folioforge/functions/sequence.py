@@ -54,11 +54,29 @@ def _ends(before: str, after: str) -> list[tuple[str, str, str]]:
     return [r for r in rows if r[1] or r[2]]
 
 
+def _units(text: str) -> str:
+    """A text with a character for each UTF-16 unit: the halves of those beyond the basic plane stand alone."""
+    if not text or max(text) <= "\uffff":
+        return text
+    return "".join(map(chr, np.frombuffer(text.encode("utf-16-le", "surrogatepass"), "<u2").tolist()))
+
+
+def _whole(units: str) -> str:
+    """The text of UTF-16 units; a half without its other stays one."""
+    return units.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "surrogatepass")
+
+
 def diff(before: str, after: str) -> list[tuple[str, str, str]]:
     """Spans (kind, before, after): Equal, Added, Deleted, and Changed where an addition and a deletion meet.
 
-    Long pairs of texts, over CELLS cells, are compared at their common ends only.  Positions are characters.
+    Long pairs of texts, over CELLS cells, are compared at their common ends only.  UTF-16 units are compared, so that a span
+    may hold half a character.
     """
+    return [(kind, _whole(a), _whole(b)) for kind, a, b in _spans(_units(before), _units(after))]
+
+
+def _spans(before: str, after: str) -> list[tuple[str, str, str]]:
+    """diff() of units."""
     if (len(before) + 1) * (len(after) + 1) > CELLS:
         return _ends(before, after)
     runs: list[list[str]] = []
@@ -89,14 +107,14 @@ def _diff_counts(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     rows = []
     for a, b in zip(before, after, strict=True):
         n = {"Added": 0, "Deleted": 0, "Changed": 0, "Equal": 0}
-        for kind, x, y in diff(a or "", b or ""):
+        for kind, x, y in _spans(_units(a or ""), _units(b or "")):
             n[kind] += max(len(x), len(y))
         rows.append((n["Added"], n["Deleted"], n["Changed"], n["Added"] + n["Deleted"] + n["Changed"]))
     return pd.DataFrame(rows, columns=_COUNTS.names)
 
 
 def diff_counts(before: Column, after: Column) -> Column:
-    """struct<added, deleted, replaced, changed> of two texts; null counts as empty."""
+    """struct<added, deleted, replaced, changed> of two texts, in UTF-16 units; null counts as empty."""
     return _diff_counts(before, after)
 
 

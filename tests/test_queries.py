@@ -101,6 +101,13 @@ def test_diff():
     assert any(k == "Deleted" and "丙" in b for k, b, _ in kinds)
     assert seq.diff("山" * 9_500, "川" * 9_500) == [("Changed", "山" * 9_500, "川" * 9_500)]
     assert seq.diff("", "") == []
+    assert seq.diff("a𠮷b", "a𠮷") == [("Equal", "a𠮷", "a𠮷"), ("Deleted", "b", "")]
+    assert [(k, len(a), len(b)) for k, a, b in seq._spans(seq._units("a𠮷"), seq._units("a𠮸"))] == [("Equal", 2, 2), ("Changed", 1, 1)]
+
+
+def test_diff_counts_units(spark):
+    d = spark.createDataFrame([("a𠮷b", "ab"), ("", "𠮷"), (None, "x")], "a string, b string").select(seq.diff_counts(F.col("a"), F.col("b")).alias("c"))
+    assert [tuple(r.c) for r in d.collect()] == [(0, 2, 0, 2), (2, 0, 0, 2), (1, 0, 0, 1)]
 
 
 def test_reading():
