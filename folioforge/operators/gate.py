@@ -15,6 +15,8 @@ ERRORS = ("ProjectMismatch", "UnknownBatch", "DuplicatePageMarker", "MissingPage
 #: How a text that could not be read begins, and the words of the detail lines.
 UNREADABLE = "［判読不能"
 ERROR_WORD, WARNING_WORD = "エラー", "警告"
+#: The kind, source and page status of a text that was taken.
+TAKEN_KIND, TAKEN_FROM = "Confirmed", "ChatGPTImport"
 #: What an exported page keeps of the page as it was, beside the text: column and issue.
 KEPT = {"sort_order": "PageSortOrderChanged", "rotation": "RotationChanged", "role": "PageRoleChanged", "profile": "DisplayProfileChanged", "crop": "CropChanged", "run": "OcrRunChanged"}
 
@@ -113,8 +115,8 @@ def taken(rows: DataFrame, issues: DataFrame, accepted: DataFrame, joins: DataFr
     good = rows.join(wanted, ["batch", "marker"], "left_semi").join(refused.select("batch"), "batch", "left_anti")
     now = joins.select(F.col("page").alias("_p"), F.col("join").alias("_j"))
     changed = good.join(now, F.col("page") == F.col("_p"), "left").where(~F.col("_j").eqNullSafe(F.col("join"))).select("page").distinct()
-    versions = good.select("page", F.lit("Confirmed").alias("kind"), "text", F.lit("ChatGPTImport").alias("source"))
-    return Taken(versions, good.select("page", "join", F.lit("Confirmed").alias("status")), changed, good.select("page", F.col("baseline").alias("before"), F.col("text").alias("after")), refused)
+    versions = good.select("page", F.lit(TAKEN_KIND).alias("kind"), "text", F.lit(TAKEN_FROM).alias("source"))
+    return Taken(versions, good.select("page", "join", F.lit(TAKEN_KIND).alias("status")), changed, good.select("page", F.col("baseline").alias("before"), F.col("text").alias("after")), refused)
 
 
 def issue_lines(issues: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ from . import state
 OPEN = ("Proposed", "Confirmed")
 IMAGE_SOURCE = "ImageConfirmed"
 RESTORABLE = ("Manual", "Confirmed")
+#: Where a version that was taken up again says it comes from.
+RESTORED_FROM = "HistoryRestore"
 #: The roles of a recognised word, and the sources of review items that recognition itself writes.
 BODY, AID = "Body", "RubyCandidate"
 RECOGNISED = ("OCR", "Merge", "Ruby")
@@ -145,7 +147,7 @@ def restored_versions(wanted: DataFrame, versions: DataFrame, selected: DataFram
     good, refused = wanted.where(F.col("kind").isin(*RESTORABLE)), wanted.where(~F.col("kind").isin(*RESTORABLE) | F.col("kind").isNull())
     last = state.latest(versions.select("page", "kind", "text", "seq"), ["page", "kind"], ["seq"]).select(F.col("page").alias("_p"), F.col("kind").alias("_k"), F.col("text").alias("_t"))
     both = good.join(last, (F.col("page") == F.col("_p")) & (F.col("kind") == F.col("_k")), "left")
-    fresh = both.where(F.col("_p").isNull() | ~F.col("_t").eqNullSafe(F.col("text"))).select("page", "kind", "text", F.lit("HistoryRestore").alias("source"), at.alias("at"))
+    fresh = both.where(F.col("_p").isNull() | ~F.col("_t").eqNullSafe(F.col("text"))).select("page", "kind", "text", F.lit(RESTORED_FROM).alias("source"), at.alias("at"))
     now = selected.select(F.col("page").alias("_p"), F.col("text").alias("_t"))
     changed = good.join(now, F.col("page") == F.col("_p"), "left").where(~F.coalesce("_t", F.lit("")).eqNullSafe(F.col("text"))).select("page")
     statuses = good.select("page", F.when(F.col("kind") == "Manual", "ManuallyEdited").otherwise("Confirmed").alias("status"))
