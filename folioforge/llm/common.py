@@ -115,6 +115,18 @@ def without_rows(docs: DataFrame, rows: DataFrame, most: int) -> DataFrame:
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(t)), "left_anti").select(*docs.columns)
 
 
+def parts(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The slices of a text of about so many bytes; each but the last ends before a space, so that no word is cut."""
+    at = 0
+    while len(text) - at > size:
+        end = text.find(b" ", at + size)
+        if end < 0:
+            break
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def let(value: Column, body) -> Column:
     """Evaluates value once and hands it to body: a column expression inlined into a lambda would run again for each element."""
     return F.transform(F.array(value), body)[0]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, langid, pii, secrets, simhash, substrings, topk, urlfilter, warc
+from . import bpe, decontamination, divergence, infilling, interpolation, langid, pii, secrets, simhash, substrings, topk, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": simhash.op8_simhash,
         "op9_warc": warc.op9_warc,
         "op10_pii": pii.op10_pii,
+        "op11_divergence": divergence.op11_divergence,
+        "op12_infilling": infilling.op12_infilling,
+        "op13_interpolation": interpolation.op13_interpolation,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_urlfilter": urlfilter.SQL, "op4_topk": topk.SQL, "op6_substrings": substrings.SQL, "op7_decontamination": decontamination.SQL, "op9_warc": warc.SQL, "op10_pii": pii.SQL}
+    return {"op2_urlfilter": urlfilter.SQL, "op4_topk": topk.SQL, "op6_substrings": substrings.SQL, "op7_decontamination": decontamination.SQL, "op9_warc": warc.SQL, "op10_pii": pii.SQL, "op11_divergence": divergence.SQL, "op12_infilling": infilling.SQL}
