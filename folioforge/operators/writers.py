@@ -1,7 +1,7 @@
 """What one action writes: the rows to append to, or to put in place of those of, several tables.
 
-An action gives a dict of table name to rows.  Nothing here touches storage; a caller writes the tables and, last of all, the row
-that makes them count (published), so that a run that fails half way leaves nothing that is read.
+An action gives a dict of table name to rows.  Nothing here touches storage.  A store commits all tables of an action as one version
+(changes); where there is none, a caller writes the tables and, last of all, the row that makes them count (published).
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..sources.store import Append, Change, Put, View, Whole
 from . import layout, pages, state
 from .transitions import AID
 
@@ -149,6 +150,36 @@ def annotation_import(old: DataFrame, given: DataFrame, batch_pages: DataFrame,
     return {"annotations": out, "history": history.unionByName(more.select(*history.columns)), "evidence": evidence}
 
 
+#: What of an action's tables is an answer to the caller, is the whole table, or takes the place of all that its pages had.
+ANSWERS, WHOLE, OF_PAGES = ("ids", "refused"), ("annotations", "evidence"), ("words", "auxiliary", "proposals", "operations")
+#: Review items of these sources are those of a page's last recognition.
+REVIEWED = ("OCR", "Merge", "Ruby")
+
+
+def changes(tables: Tables, view: View | None = None) -> dict[str, Change]:
+    """The tables of an action as the changes of one version of a store; view: the version they were made on.
+
+    What an action says of pages changes those columns of the pages that are there.  Words, texts and review items of a
+    recognition take the place of what its pages had, also where there are none now.  All else is added.
+    """
+    touched = tables["pages"].select("page").distinct() if "pages" in tables else None
+    out: dict[str, Change] = {}
+    for name, rows in tables.items():
+        if name == "pages" and view is not None:
+            old = view.read(name)
+            said = rows.select(*(F.col(c).alias(f"_{c}") for c in rows.columns))
+            out[name] = Put(old.join(said, F.col("page") == F.col("_page")).select(*(F.col(f"_{c}").alias(c) if c in rows.columns else F.col(c) for c in old.columns)), ["page"])
+        elif name == "reviews" and touched is not None:
+            out[name] = Put(rows, ["page", "source"], touched.withColumn("source", F.explode(F.array(*map(F.lit, REVIEWED)))))
+        elif name in OF_PAGES:
+            out[name] = Put(rows, ["page"], touched)
+        elif name in WHOLE:
+            out[name] = Whole(rows)
+        elif name not in ANSWERS:
+            out[name] = Append(rows)
+    return out
+
+
 def published(tables: Tables, write) -> None:
     """Writes all tables by write(name, rows) and the one named ids, snapshots or exports, which makes them count, last."""
     last = [n for n in ("snapshots", "exports", "ids") if n in tables]

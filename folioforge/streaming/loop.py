@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from ..functions import supplement
+from ..operators import layout, loads, writers
 from ..sources import worker
 
 #: The engines in their order, and the stages that a failure names.
@@ -23,6 +25,7 @@ FIRST, SECOND = "paddle", "tesseract"
 STAGES = {FIRST: "PaddleOCR", SECOND: "Tesseract"}
 COMPLETED, REVIEW, FAILED = "Completed", "ReviewRequired", "Failed"
 CANCELLED = "The operation was canceled."
+UNANCHORED = "UnanchoredSuggestion"
 #: The state store of Spark's that has timers.
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -199,3 +202,34 @@ def replayed(events_: DataFrame, wait: int = 300) -> DataFrame:
         F.when(cancelled, CANCELLED).when(ended, F.coalesce("f.error", F.lit(worker.UNANSWERED))).alias("error"), F.when(ended, F.coalesce("f.retryable", F.lit(True))).alias("retryable"), F.when(ended, stage).alias("stage"), F.when(ended & ~cancelled, F.col("f.exception")).alias("exception"),
         cancelled.alias("cancelled"), F.when(cancelled, F.col("before")).otherwise(kind).alias("status"), F.coalesce(over, F.when(cancelled, F.col("stopped")), waiting + F.make_interval(secs=F.lit(wait))).alias("at"),
     )
+
+
+def _boxes(ends: DataFrame) -> DataFrame:
+    words = F.from_json("words", T.ArrayType(worker.WORD))
+    return ends.select("page", F.posexplode(words)).select("page", F.col("pos").cast("long").alias("id"), "col.*")
+
+
+def saved(ends: DataFrame, overrides: DataFrame, was: DataFrame, at: Column) -> dict[str, writers.Tables]:
+    """What the ends of pages write, by how they ended: analysis, fallback and failures, each the tables of one action.
+
+    A completed page is read in its order and what the second engine gave is merged into it; one whose second engine failed
+    keeps the first one's words and text.  overrides and was as for writers.analysis; failures carry the status to put back.
+    """
+    full, half = ends.where(F.col("kind") == COMPLETED), ends.where(F.col("kind") == REVIEW)
+    boxes = _boxes(full)
+    second = full.select("page", F.coalesce("text", F.lit("")).alias("text"))
+    texts = layout.page_texts(boxes, "page")
+    order = loads.raw_ordinals(boxes, "page").join(boxes.select("page", "id", "text"), ["page", "id"])
+    lists = order.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.col("place").cast("int").alias("place"), F.col("id").cast("int").alias("ordinal"), "text"))).alias("ws"))
+    words = F.transform("ws", lambda w: F.struct(w["ordinal"].alias("ordinal"), w["text"].alias("text")))
+    both = second.join(texts.select("page", F.col("text").alias("own")), "page", "left").join(lists, "page", "left")
+    found = both.select("page", supplement.proposal(F.coalesce("own", F.lit("")), F.col("text"), words).alias("p"))
+    operations = found.select("page", F.posexplode("p.operations")).select("page", F.col("pos").alias("ordinal"), "col.*")
+    notes = found.select("page", F.inline(supplement.unanchored(F.col("p.operations")))).select("page", F.lit(UNANCHORED).alias("code"), F.lit(None).cast("string").alias("text"))
+    failure = lambda rows: rows.select("page", "run", "stage", "exception", F.col("error").alias("message"), "retryable", "cancelled", F.when(F.col("cancelled"), F.col("status")).alias("before"), "at")
+    less = _boxes(half)
+    return {
+        "analysis": writers.analysis(boxes, second, found.select("page", F.col("p.suggested").alias("text")), operations, notes, overrides, was, at),
+        "fallback": writers.fallback(less, layout.page_texts(less, "page"), failure(half).drop("cancelled"), overrides, at),
+        "failures": {"failures": failure(ends.where(F.col("kind") == FAILED))},
+    }

@@ -129,3 +129,27 @@ def test_a_stream_ends_as_a_replay_does(spark, tmp_path, seed):
 def test_a_replay_of_nothing(spark):
     none = spark.createDataFrame([], "value string, at timestamp")
     assert loop.replayed(loop.events(none)).count() == 0
+
+
+def test_what_ends_write(spark):
+    """A completed page is merged, one whose second engine failed keeps the first one's text, a cancelled one gets its status back."""
+    from folioforge.operators import transitions
+
+    box = lambda text, x, y: {"text": text, "confidence": 0.9, "left": x, "top": y, "right": x + 8, "bottom": y + 12}
+    words = json.dumps([box("ロ", 80, 10), box("カ", 80, 30), box("ル", 80, 50)], ensure_ascii=False)
+    ends = spark.createDataFrame(
+        [("r", "a", "Completed", words, "ローカル", None, None, False, "Completed"), ("r", "b", "ReviewRequired", words, None, "crash", "Tesseract", False, "ReviewRequired"), ("r", "c", "Failed", None, None, loop.CANCELLED, "PaddleOCR", True, "Completed"), ("r", "d", "Failed", None, None, "x", "PaddleOCR", False, "Failed")],
+        "run string, page string, kind string, words string, text string, error string, stage string, cancelled boolean, status string",
+    ).withColumns({"exception": F.lit(None).cast("string"), "retryable": F.lit(True), "at": F.timestamp_seconds(F.lit(T0))})
+    none = spark.createDataFrame([], "page string, word_key string, role string, included boolean")
+    was = spark.createDataFrame([(p, "Processing") for p in "abcd"], "page string, status string")
+    out = loop.saved(ends, none, was, F.lit("now"))
+    assert sorted(out) == ["analysis", "failures", "fallback"]
+    assert [(r.page, r.text) for r in out["analysis"]["proposals"].collect()] == [("a", "ローカル")]
+    assert [(r.page, r.ordinal, r.type, r.proposed, r.anchor) for r in out["analysis"]["operations"].collect()] == [("a", 0, "Insertion", "ー", 1)]
+    assert [(r.page, r.ocr_status) for r in out["analysis"]["pages"].collect()] == [("a", "Completed")]
+    assert [(r.page, r.text) for r in out["fallback"]["proposals"].collect()] == [("b", "ロカル")]
+    assert [(r.page, r.message, r.cancelled) for r in out["fallback"]["failures"].collect()] == [("b", "crash", False)]
+    failures = out["failures"]["failures"].withColumn("seq", F.lit(0))
+    now = transitions.failed(was, failures, spark.createDataFrame([], "page string"), spark.createDataFrame([], "page string, source string"))
+    assert {r.page: r.status for r in now.collect()} == {"a": "Processing", "b": "Processing", "c": "Completed", "d": "Failed"}
