@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import markers
 from ..functions import text as tx
+from ..sources import archives
 
 #: Fixed value: the folder of a package's page images.
 IMAGES = "images-original"
@@ -113,41 +113,25 @@ def proofread_text(path: Column, content: Column) -> Column:
     return F.when(archive, _proofread(F.when(archive, content))).otherwise(F.decode(content, "UTF-8"))
 
 
-def write_files(files: DataFrame, folder: str) -> int:
+def write_packages(files: DataFrame, folder: str, kind: str = "zip", overwrite: bool = False, **limits: str) -> None:
+    """Writes each batch's files (batch, path, content) below folder, a URI: as an archive or a folder of its name."""
+    archives.write(files.select(F.col("batch").cast("string").alias("package"), "path", "content"), folder, kind, overwrite, **limits)
+
+
+def write_files(files: DataFrame, folder: str, **limits: str) -> int:
     """Writes (path, content) below folder, a URI that must not be there yet; returns their number.
 
-    Files are written by the tasks into a folder beside it, which is moved when all are there and removed when one fails.  A
-    repeated task writes the same files again.
+    Files are staged by the tasks and moved one by one when all are there; when one fails, nothing is left.  limits: those of
+    archives.Packages, for folders that are uploaded.
     """
     from pyarrow import fs as pafs
 
     fs, root = pafs.FileSystem.from_uri(folder)
     if fs.get_file_info(root).type != pafs.FileType.NotFound:
         raise FileExistsError(folder)
-    name = f".staging-{uuid.uuid4().hex}"
-    staging = folder.rstrip("/").rsplit("/", 1)[0] + f"/{name}"
-    local = root.rstrip("/").rsplit("/", 1)[0] + f"/{name}"
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs as pafs
-
-        fs, root = pafs.FileSystem.from_uri(staging)
-        for rows in batches:
-            for path, content in zip(rows["path"], rows["content"], strict=True):
-                if ".." in path.split("/") or path.startswith("/"):
-                    raise ValueError(f"{path} leaves its folder")
-                fs.create_dir(f"{root}/{path}".rsplit("/", 1)[0])
-                with fs.open_output_stream(f"{root}/{path}") as out:
-                    out.write(content.encode() if isinstance(content, str) else bytes(content))
-            yield pd.DataFrame({"n": [len(rows)]})
-
-    try:
-        fs.create_dir(local)
-        n = files.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()[0] or 0
-        fs.move(local, root)
-    except BaseException:
-        fs.delete_dir(local)
-        raise
+    above, _, name = folder.rstrip("/").rpartition("/")
+    n = files.count()
+    archives.write(files.select(F.lit(name).alias("package"), "path", "content"), above, "folder", **limits)
     return n
 
 
