@@ -5,13 +5,15 @@ Identical texts, by their content, share one list: it is computed once for each
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, sha256_hex, stored, table, unpacked
+from .common import free, packed, release, sha256_hex, stored, table
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Of 100 texts: so many are cut at all, and so many of these get the suffix first.
@@ -22,6 +24,9 @@ SEED = 1
 BROADCAST_ROWS = 200_000
 #: Bytes of upper bits between two entries of a list's rank directory; bytes of text handled at once.
 _RANK, _PART = 512, 1 << 20
+#: Rows that a task hands on at once.
+TOGETHER = 256
+COLUMNS = ("n", "form", "prefix_chars", "middle_chars", "output")
 EDGES = T.StructType([T.StructField("size", T.LongType()), T.StructField("bits", T.IntegerType()), T.StructField("low", T.BinaryType()), T.StructField("high", T.BinaryType()), T.StructField("ranks", T.BinaryType())])
 
 
@@ -87,15 +92,20 @@ def _boundaries(texts: pa.Array) -> pa.Array:
     return pa.array([boundaries(t.as_py()) for t in texts.cast(pa.binary())], pa.struct([("size", pa.int64()), ("bits", pa.int32()), ("low", pa.binary()), ("high", pa.binary()), ("ranks", pa.binary())]))
 
 
-@F.arrow_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("form", T.StringType()), T.StructField("prefix_chars", T.LongType()), T.StructField("middle_chars", T.LongType()), T.StructField("output", T.StringType())]))
-def _cut(texts: pa.Array, edges: pa.Array, seeds: pa.Array) -> pa.Array:
-    found = []
-    for text, known, seed in zip(texts.cast(pa.binary()), edges, seeds, strict=True):
-        raw = text.as_py()
-        found.append(cut(raw, known.as_py() or boundaries(raw), tuple(seed.as_py())))
-    n, form, first, middle, output = zip(*found, strict=True) if found else ((),) * 5
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches (_row, text, edges, seeds) as (_row, text, n, form, prefix_chars, middle_chars, output), few rows at a time, so that long texts do not add up."""
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64())
-    return pa.StructArray.from_arrays([*(pa.array(c, k) for c, k in zip((n, form, first, middle), kinds, strict=True)), pa.array(output, pa.binary()).view(pa.string())], ["n", "form", "prefix_chars", "middle_chars", "output"])
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            found = []
+            for text, known, seed in zip(part["text"].cast(pa.binary()), part["edges"], part["seeds"], strict=True):
+                raw = text.as_py() or b""
+                found.append(cut(raw, known.as_py() or boundaries(raw), tuple(seed.as_py())))
+            n, form, first, middle, output = zip(*found, strict=True)
+            made = [*(pa.array(c, k) for c, k in zip((n, form, first, middle), kinds, strict=True)), pa.array(output, pa.binary()).view(pa.string())]
+            yield pa.RecordBatch.from_arrays([part["_row"], part["text"], *made], ["_row", "text", *COLUMNS])
+    release()
 
 
 def seeds(doc_id: Column, seed: int = SEED) -> Column:
@@ -114,10 +124,6 @@ def restored(output: Column, form: Column) -> Column:
     return F.when(form == "plain", output).when(form == "psm", psm).when(form == "spm", spm)
 
 
-def _text(text: str) -> Column:
-    return F.coalesce(F.col("_row").getField(text).cast("string"), F.lit(""))
-
-
 def distinct_texts(copies: DataFrame) -> DataFrame:
     """The index: (key, own, edges), the first text of each key and its boundary list; copies: (text, key).  Each task sends a text once."""
     return copies.groupBy("key").agg(F.min("text").alias("own")).select("key", "own", _boundaries("own").alias("edges"))
@@ -132,16 +138,18 @@ def fill_in_middle(df: DataFrame, doc_id: str = "doc_id", text: str = "text", se
     only its key in common with it gets a list of its own.  A text that very many rows have is one row of the index and a
     join that adaptive execution can split.  bits: of the key (tests take few).
     """
-    value = _text(text)
-    rows = packed(df, seeds=seeds(F.col(doc_id), seed)).withColumn("key", F.shiftrightunsigned(F.xxhash64(value), 64 - bits) if bits < 64 else F.xxhash64(value))
+    value = F.coalesce("text", F.lit(""))
+    rows = packed(df, text, text=F.col(text).cast("string"), seeds=seeds(F.col(doc_id), seed)).withColumn("key", F.shiftrightunsigned(F.xxhash64(value), 64 - bits) if bits < 64 else F.xxhash64(value))
     several = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "infilling-keys")
     several = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
     copies = rows.join(several, "key", "left_semi")
     known = F.when(value == F.col("own"), F.col("edges"))
-    met = copies.join(distinct_texts(copies.select("key", value.alias("text"))), "key").select("_row", "seeds", known.alias("edges"))
-    alone = rows.join(several, "key", "left_anti").select("_row", "seeds", F.lit(None).cast(EDGES).alias("edges"))
-    found = alone.union(met).select("_row", _cut(value, F.col("edges"), F.col("seeds")).alias("_cut"))
-    return unpacked(found, df, **{c: F.col(f"_cut.{c}") for c in ("n", "form", "prefix_chars", "middle_chars", "output")})
+    met = copies.join(distinct_texts(copies.select("key", value.alias("text"))), "key").select("_row", "text", known.alias("edges"), "seeds")
+    alone = rows.join(several, "key", "left_anti").select("_row", "text", F.lit(None).cast(EDGES).alias("edges"), "seeds")
+    kinds = (T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType())
+    made = T.StructType([met.schema["_row"], T.StructField("text", T.StringType()), *(T.StructField(c, k) for c, k in zip(COLUMNS, kinds, strict=True))])
+    found = alone.union(met).mapInArrow(_cuts, made)
+    return found.select(*(F.col("text").alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in df.columns), *(F.col(c).alias(free(df, c)) for c in COLUMNS))
 
 
 def op12_infilling(spark, sf_dir: str) -> DataFrame:

@@ -27,8 +27,10 @@ PARTS, NEVER, WEIGHTS = 10, 0, 1
 KEPT, HELD, TEST = 0, 1, 2
 #: Additive smoothing of the base score.
 ADD = 0.1
-#: Bytes of text of a chunk and of a range of hashes, at most; chunks of each kind for each range, at least, so that tasks even out.
-CHUNK, RANGE, EACH = 6 << 20, 24 << 20, 2
+#: Bytes of text of a chunk and of a range of hashes, about; chunks for each shuffle partition, at least, so that tasks even out.
+CHUNK, RANGE, EACH = 6 << 20, 16 << 20, 2
+#: Ranges of hashes, at least.
+RANGES = 8
 #: Cells of the held-out counts: steps an octave of both estimates.  A cell stands for its own mean.
 STEPS = 4
 BUCKETS = 64
@@ -267,8 +269,8 @@ def fit(df: DataFrame, doc_id: str = "doc_id", text: str = "text", chunk: int =
     spark = df.sparkSession
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), kind_of(F.col(doc_id)).alias("kind"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = text_bytes(docs)
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
-    each = min(chunk, max(1 << 14, size // (EACH * ranges)))
+    ranges = max(RANGES, -(-size // RANGE))
+    each = min(chunk, max(1 << 14, size // (EACH * int(spark.conf.get("spark.sql.shuffle.partitions")))))
     with arrow_batches(spark):
         chunks = stored(docs.mapInArrow(_chunks(each), _CHUNKS), "scoring-chunks")
     with arrow_batches(spark, rows=8):
