@@ -185,7 +185,7 @@ def prepared(sources: DataFrame, book: str, order: str, text: str, join: str, kn
     """
     from .transitions import stable_ids
 
-    paras = assemble.paragraphs(assemble.join_pages(sources, book, order, text, join), book)
+    paras = assemble.paragraphs_of_pages(sources, book, order, text, join)
     spans = assemble.source_spans(sources, book, order, text, join)
     total = spans.groupBy(book, "ordinal").agg(F.sum("length").alias("_n"), F.min("page").alias("_page"))
     both = paras.join(total, [book, "ordinal"], "left")

@@ -62,25 +62,31 @@ def import_new(old: DataFrame, new: DataFrame, hash_: str, order: str) -> DataFr
 LOOKED_AT = 20
 
 
-def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
-    """df numbered from 0 in one global order, whose end must break ties, without drawing all rows into one task.
+def dealt(df: DataFrame, order: list[str], out: str = "_part") -> DataFrame:
+    """df with the number of the range of one global order that each row is in, as many ranges as there are shuffle partitions.
 
-    Rows are dealt to as many ranges of the order as there are shuffle partitions, each range is numbered on its own, and the
-    ranges' sizes, one row for each, are added up before them.  A row looks for its range among every some ends first, and then
-    among those between two of these.  The ranges' ends come from the keys of smallest hash, a bounded number, so that they are a function
-    of the rows alone: a range partitioning samples anew each time it runs, and rows counted under one sample would be
-    numbered under another.
+    A row looks for its range among every some ends first, and then among those between two of these.  The ranges' ends come
+    from the keys of smallest hash, a bounded number, so that they are a function of the rows alone: a range partitioning
+    samples anew each time it runs, and rows dealt under one sample would be looked for under another.
     """
     n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = F.struct(*order)
     picked = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(LOOKED_AT * n)
     ends = picked.agg(F.filter(F.array_sort(F.collect_list("k")), lambda _, i: (i + 1) % LOOKED_AT == 0).alias("e")).scalar()
     step = max(1, math.isqrt(n))
-    dealt = df.withColumn("_ends", ends).withColumn("_coarse", F.filter("_ends", lambda _, i: i % step == 0)).withColumn("_block", F.greatest(F.size(F.filter("_coarse", lambda e: e < key)) - 1, F.lit(0)) * step)
-    dealt = dealt.withColumn("_part", F.col("_block") + F.size(F.filter(F.slice("_ends", F.col("_block") + 1, F.lit(step)), lambda e: e < key))).drop("_ends", "_coarse", "_block")
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    some = df.withColumn("_ends", ends).withColumn("_coarse", F.filter("_ends", lambda _, i: i % step == 0)).withColumn("_block", F.greatest(F.size(F.filter("_coarse", lambda e: e < key)) - 1, F.lit(0)) * step)
+    return some.withColumn(out, F.col("_block") + F.size(F.filter(F.slice("_ends", F.col("_block") + 1, F.lit(step)), lambda e: e < key))).drop("_ends", "_coarse", "_block")
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """df numbered from 0 in one global order, whose end must break ties, without drawing all rows into one task.
+
+    Each range of the order is numbered on its own, and the ranges' sizes, one row for each, are added up before them.
+    """
+    parts = dealt(df, order)
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    local = dealt.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
+    local = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1)
     return local.join(F.broadcast(before), "_part").withColumn(out, F.col("_i") + F.col("_before")).drop("_part", "_i", "_before")
 
 

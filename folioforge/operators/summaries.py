@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from . import rules, state
+from . import assemble, rules, state
 from .annotations import SURE
 
 #: Statuses that cannot be confirmed, the reasons for it, the source of the validation's own review items.
@@ -120,5 +120,4 @@ def document_hash(paragraphs: DataFrame, spans: DataFrame, book: str) -> DataFra
     s = spans.groupBy(F.col(book).alias("_b"), F.col("ordinal").alias("_o")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", span.alias("s")))), lambda r: r["s"]), "\u001e").alias("_spans"))
     both = paragraphs.join(s, (F.col(book) == F.col("_b")) & (F.col("ordinal") == F.col("_o")), "left")
     row = F.concat_ws("\u001f", "role", "plain_text", "logical_key", F.coalesce("_spans", F.lit("")))
-    rows = F.array_sort(F.collect_list(F.struct("ordinal", row.alias("r"))))
-    return both.groupBy(book).agg(tx.text_hash(F.array_join(F.transform(rows, lambda r: r["r"]), "\n")).alias("hash"))
+    return assemble.hashed(both, book, "ordinal", row)

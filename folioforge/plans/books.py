@@ -44,7 +44,7 @@ def page_join_text(spark, d):
 
 
 def _paras(spark, d):
-    return assemble.paragraphs(page_join_text(spark, d), "conv_id")
+    return assemble.paragraphs_of_pages(_pages(spark, d), "conv_id", "turn", "text", "join")
 
 
 def paragraph_rows(spark, d):

@@ -94,7 +94,7 @@ def spanned_hash(spark, d):
     spans = paragraph_spans(spark, d).select("conv_id", "ordinal", F.col("page").alias("place"), "page", tx.marker(F.col("page") + 1).alias("marker"), "start", "length")
     from ..operators import assemble
 
-    paras = assemble.paragraphs(assemble.join_pages(_pages(spark, d), "conv_id", "turn", "text", "join"), "conv_id").withColumn("logical_key", F.concat(F.lit("k"), "ordinal"))
+    paras = assemble.paragraphs_of_pages(_pages(spark, d), "conv_id", "turn", "text", "join").withColumn("logical_key", F.concat(F.lit("k"), "ordinal"))
     return summaries.document_hash(paras, spans, "conv_id")
 
 

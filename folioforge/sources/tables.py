@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,3 +23,23 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): a row a file."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all machines share, from spark.checkpoint.dir; where it is unset, one of our own if there is only this machine, else an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if found is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            found = "file://" + tempfile.mkdtemp(prefix="folioforge-")
+        sc.setCheckpointDir(found)
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written once as Parquet in the shared folder and read back, where several steps read it: nothing is worked out twice, and lost executors cost nothing."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
