@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 SCALE = 64
 K = 20
@@ -73,8 +73,10 @@ def _dense(lists: pa.Array, width: int) -> np.ndarray:
 
 
 def _exact_type(a: int, b: int, width: int):
-    """The narrowest floating type in which all sums of products are exact; whole numbers beyond that."""
+    """The narrowest floating type in which all sums of products are exact; whole numbers beyond that, and an error where these could overflow."""
     most = a * b * max(1, width)
+    if most >= 1 << 63:
+        raise OverflowError(f"components of up to {a} give scores beyond 64 bits")
     return np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
 
 
@@ -93,7 +95,7 @@ def whole_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
 def search(df: DataFrame, is_query, k: int = K, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that is_query selects, the k rows with the highest inner products.
 
-    Scores are exact; ties go to the smaller vec_id; fewer than k others give fewer rows.  Vectors that are null or hold null
+    Scores are exact, and where components are so large that one could pass 64 bits an error is raised; ties go to the smaller vec_id; fewer than k others give fewer rows.  Vectors that are null or hold null
     or non-finite components, and rows without a vec_id, take no part.  Shorter vectors count as padded with zeros.  A query
     never meets rows of its own vec_id; other repeated rows are candidates of their own.  The queries, not the candidates,
     are broadcast, in passes of at most QUERY_VALUES values; each pass reads all candidates once, and only each task's
@@ -101,8 +103,8 @@ def search(df: DataFrame, is_query, k: int = K, vec_id: str = "vec_id", vector:
     """
     spark = df.sparkSession
     vectors = whole_vectors(df, vec_id, vector)
-    shape = vectors.agg(F.max(F.size("v")).alias("width"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("most"), F.count_if(is_query).alias("n")).first()
-    width, most, n = shape.width or 0, shape.most or 0, shape.n
+    shape = vectors.agg(F.max(F.size("v")).alias("width"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))).alias("most"), F.count_if(is_query).alias("n")).first()
+    width, most, n = shape.width or 0, int(shape.most or 0), shape.n
     schema = "query_id long, vec_id long, score long"
     if not n or not width:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -116,7 +118,11 @@ def search(df: DataFrame, is_query, k: int = K, vec_id: str = "vec_id", vector:
         got = got.combine_chunks()
         ids = got["vec_id"].to_numpy()
         shared = spark.sparkContext.broadcast((ids, _dense(got["v"].combine_chunks(), width).astype(kind)))
-        parts.append(vectors.mapInArrow(_local(shared, width, k, kind), schema))
+        found = vectors.mapInArrow(_local(shared, width, k, kind), schema)
+        if passes > 1:  # one pass after the other, so that the queries of one alone are held
+            found = stored(found, "topk-pass")
+            shared.destroy()
+        parts.append(found)
     every = parts[0]
     for part in parts[1:]:
         every = every.union(part)
