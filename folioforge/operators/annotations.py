@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import ranges
 from .rules import issues
 
 #: The sources a policy admits, and the thresholds of confirming many at once.
@@ -99,7 +100,7 @@ def annotation_issues(rows: DataFrame, paragraphs: DataFrame, pages: DataFrame,
     rows: (batch, pos, paragraph_id, start, length, base_text, reading, reading_key, source, confidence, evidence, markers), pos
     giving their order in a batch; paragraphs: (paragraph_id, plain_text, text_hash, spans); pages: (batch, page_marker).  Row
     rules are one pass; an earlier row with the same text and reading is found by a window over the exact range, an earlier
-    overlap by a join on the paragraph, several readings by an aggregate of each base text.
+    overlap by the smallest pos that a row's range meets, several readings by an aggregate of each base text.
     """
     key = ["pos"]
     placed = _placed(rows, paragraphs)
@@ -112,9 +113,9 @@ def annotation_issues(rows: DataFrame, paragraphs: DataFrame, pages: DataFrame,
         "Confidence": ~F.col("confidence").between(0, 1), "Source": ~F.coalesce(F.col("source").isin(*SOURCES), F.lit(False)), "RubyPolicy": ~admitted(F.col("source"), policy), "Duplicate": F.col("_again"),
         "SuggestedReading": F.col("source").isin("DictionarySuggested", "ContextSuggested"), "LowConfidence": F.col("confidence") < SURE, "NonKanaReading": tx.non_kana(F.col("reading_key")),
     }
-    a, b = placed.select("batch", "pos", "_key", "start", "_end").alias("a"), placed.select("batch", "pos", "_key", "start", "_end").alias("b")
-    meets = (F.col("a.batch") == F.col("b.batch")) & F.col("a._key").eqNullSafe(F.col("b._key")) & (F.col("b.pos") < F.col("a.pos")) & (F.col("a.start") < F.col("b._end")) & (F.col("a._end") > F.col("b.start"))
-    overlap = a.join(b, meets, "left_semi").select("batch", "pos", F.lit("Overlap").alias("code"))
+    spans = placed.select("batch", "pos", "_key", "start", (F.col("_end") - F.col("start")).alias("_length"))
+    earliest = ranges.best_overlapping(spans, spans, ["batch", "_key"], ["batch", "pos"], "start", "_length", "pos")
+    overlap = earliest.where("best < pos").select("batch", "pos", F.lit("Overlap").alias("code"))
     several = rows.groupBy("batch", "base_text").agg(F.count_distinct("reading").alias("_n")).where("_n > 1").select(F.col("batch").alias("_b"), F.col("base_text").alias("_t"))
     readings = rows.join(several, (F.col("batch") == F.col("_b")) & (F.col("base_text") == F.col("_t")), "left_semi").select("batch", "pos", F.lit("MultipleReadings").alias("code"))
     parts = [issues(seen, ["batch", "pos"], row_rules), overlap, readings, _unknown_pages(rows, pages, key), image_issues(placed, candidates, key)]

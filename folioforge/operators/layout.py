@@ -1,13 +1,17 @@
-"""Boxes of words to reading order.  A page's boxes are one group; all conditions on pairs keep the page as an equality."""
+"""Boxes of words to reading order.  All conditions on pairs keep the page as an equality, and on crowded pages a cell of it."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import grid
+
 #: A box of these characters alone is never taken for a reading aid.
 PUNCTUATION = "、。！？…・「」『』（）()［］[]"
-NARROW, SCORE_MARGIN, WEIGHT = 0.85, 0.1, 0.25
+NARROW, SCORE_MARGIN, WEIGHT, REACH = 0.85, 0.1, 0.25, 3
+#: Boxes of a page up to which all of its pairs are looked at.
+CROWDED = 2000
 
 
 def upper_median(values: Column) -> Column:
@@ -15,25 +19,41 @@ def upper_median(values: Column) -> Column:
     return F.element_at(F.array_sort(values), F.floor(F.size(values) / 2).cast("int") + 1)
 
 
+def _crowded(boxes: DataFrame, page: str) -> bool:
+    """Whether some page has so many boxes that not all of its pairs are looked at."""
+    most = boxes.groupBy(page).count().agg(F.max("count")).first()[0]
+    return (most or 0) > CROWDED
+
+
+def _grown(boxes: DataFrame, page: str, by: Column, fields: list[str]) -> DataFrame:
+    """boxes as rows of a grid join, made wider on both sides."""
+    return boxes.select(F.col(page).alias("page"), F.struct(*fields).alias("row"), (F.col("left") - by).alias("l"), F.col("top").alias("t"), (F.col("right") + by).alias("r"), F.col("bottom").alias("b"))
+
+
 def thin_boxes(boxes: DataFrame, page: str) -> DataFrame:
     """boxes (page, id, text, left, top, right, bottom) without those that look like reading aids.
 
     Out goes a box narrower than 0.85 of the page's upper median width that has a wider box beside it: overlapping in height,
-    no farther off than the median width.  Punctuation stays.  The median is aggregated by page; the pairs are a left anti
-    join on the page.
+    no farther off than the median width.  Punctuation stays.  The median is aggregated by page.  On pages of few boxes the
+    pairs are a left anti join on the page; where one has more than CROWDED, boxes meet in the cells of a grid.
     """
     width = F.col("right") - F.col("left")
     median = boxes.groupBy(F.col(page).alias("m_page")).agg(upper_median(F.collect_list(width)).alias("median"))
-    a = boxes.join(median, F.col(page) == F.col("m_page")).drop("m_page").alias("a")
-    b = boxes.alias("b")
+    sized = boxes.join(median, F.col(page) == F.col("m_page")).drop("m_page")
     w = lambda s: F.col(f"{s}.right") - F.col(f"{s}.left")
     gap = F.greatest(F.lit(0.0), F.col("b.left") - F.col("a.right"), F.col("a.left") - F.col("b.right"))
-    plain = F.col("a.text").rlike("[^" + "".join("\\" + c for c in PUNCTUATION) + "]")
-    beside = (
-        (F.col(f"a.{page}") == F.col(f"b.{page}")) & (w("a") < F.col("a.median") * NARROW) & plain & (w("b") > w("a"))
-        & (F.col("a.bottom") > F.col("b.top")) & (F.col("a.top") < F.col("b.bottom")) & (gap <= F.col("a.median"))
-    )
-    return a.join(b, beside, "left_anti").drop("median")
+    plain = "[^" + "".join("\\" + c for c in PUNCTUATION) + "]"
+    beside = (w("a") < F.col("a.median") * NARROW) & (w("b") > w("a")) & (F.col("a.bottom") > F.col("b.top")) & (F.col("a.top") < F.col("b.bottom")) & (gap <= F.col("a.median"))
+    if not _crowded(boxes, page):
+        return sized.alias("a").join(boxes.alias("b"), (F.col(f"a.{page}") == F.col(f"b.{page}")) & F.col("a.text").rlike(plain) & beside, "left_anti").drop("median")
+    fields = ["id", "left", "top", "right", "bottom", "median"]
+    narrow = sized.where((width < F.col("median") * NARROW) & F.col("text").rlike(plain))
+    met = grid.meeting(_grown(narrow, page, F.col("median"), fields), _grown(sized, page, F.lit(0.0), fields[1:5]), beside)
+    aids = met.select(F.col("page").alias("_p"), *(F.col(f"a.{c}").alias(f"_{c}") for c in fields[:5])).distinct()
+    same = (F.col(page) == F.col("_p")) & F.col("id").eqNullSafe(F.col("_id")) & F.col("text").rlike(plain)
+    for c in fields[1:5]:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return boxes.join(aids, same, "left_anti")
 
 
 def link_score(r: str, b: str) -> Column:
@@ -46,19 +66,27 @@ def link_score(r: str, b: str) -> Column:
     each = lambda s: height(s) / F.greatest(F.lit(1), F.length(c(s, "text")))
     uneven = F.abs(each(r) - each(b)) / F.greatest(F.lit(1.0), each(r), each(b))
     score = gap / scale + (1 - F.least(F.lit(1.0), overlap / F.least(height(r), height(b)))) * WEIGHT + uneven * WEIGHT
-    return F.when((overlap > 0) & (height(r) > 0) & (height(b) > 0) & (gap <= scale * 3), score)
+    return F.when((overlap > 0) & (height(r) > 0) & (height(b) > 0) & (gap <= scale * REACH), score)
 
 
 def nearest_links(aids: DataFrame, bodies: DataFrame, page: str) -> DataFrame:
     """(page, id, body, confidence) for each of aids that one of bodies fits clearly best; others have no row.
 
-    Two smallest scores are kept per aid while aggregating, so that no group of pairs is ever collected.
+    Pairs of a page are scored where they are few, else those that meet in a grid of boxes made wider by as much as a link may
+    reach.  The two smallest scores of an aid are kept before and after the shuffle, so that no group of pairs is collected.
     """
-    r, b = aids.alias("r"), bodies.alias("b")
-    pairs = r.join(b, (F.col(f"r.{page}") == F.col(f"b.{page}")) & (F.length("b.text") > 0) & link_score("r", "b").isNotNull()).select(F.col(f"r.{page}").alias(page), F.col("r.id").alias("id"), F.col("b.id").alias("body"), link_score("r", "b").alias("score"))
-    best = pairs.groupBy(page, "id").agg(F.min(F.struct("score", "body")).alias("best"))
-    second = pairs.join(best, [page, "id"]).where(F.col("body") != F.col("best.body")).groupBy(page, "id").agg(F.min("score").alias("second"))
-    out = best.join(second, [page, "id"], "left").where("second is null or abs(second - best.score) >= 0.1")
+    fits = (F.length("b.text") > 0) & link_score("a", "b").isNotNull()
+    if _crowded(aids.select(page).unionByName(bodies.select(page)), page):
+        fields = ["id", "text", "left", "top", "right", "bottom"]
+        reach = F.greatest(F.lit(1.0), F.col("right") - F.col("left")) * REACH
+        met = grid.meeting(_grown(aids, page, reach, fields), _grown(bodies, page, reach, fields), fits).withColumnRenamed("page", page)
+    else:
+        a, b = aids.select(F.col(page).alias("_p"), F.struct(*aids.columns).alias("a")), bodies.select(F.col(page).alias("_q"), F.struct(*bodies.columns).alias("b"))
+        met = a.join(b, (F.col("_p") == F.col("_q")) & fits).withColumnRenamed("_p", page)
+    pairs = met.select(page, F.col("a.id").alias("id"), F.col("b.id").alias("body"), link_score("a", "b").alias("score"))
+    place = F.row_number().over(Window.partitionBy(page, "id").orderBy("score", "body"))
+    two = pairs.withColumn("_k", place).where("_k <= 2").groupBy(page, "id").agg(F.min(F.struct("score", "body")).alias("best"), F.max(F.when(F.col("_k") == 2, F.col("score"))).alias("second"))
+    out = two.where(f"second is null or abs(second - best.score) >= {SCORE_MARGIN}")
     return out.select(page, "id", F.col("best.body").alias("body"), (1 / (1 + F.col("best.score"))).alias("confidence"))
 
 

@@ -111,16 +111,6 @@ def reconcile(known: DataFrame, given: DataFrame, key: str) -> DataFrame:
     return both.select(F.coalesce("k", "g").alias(key), F.when(F.col("g").isNull(), "missing").when(F.col("k").isNull(), "unknown").otherwise("matched").alias("state"))
 
 
-def overlaps(df: DataFrame, group: list[str], id_: str, start: str, length: str) -> DataFrame:
-    """(group, earlier, later): ranges of a group that overlap.  The equality on the group keeps it a hash or merge join."""
-    a, b = df.alias("a"), df.alias("b")
-    same = [F.col(f"a.{g}") == F.col(f"b.{g}") for g in group]
-    cond = (F.col(f"a.{id_}") < F.col(f"b.{id_}")) & (F.col(f"a.{start}") < F.col(f"b.{start}") + F.col(f"b.{length}")) & (F.col(f"b.{start}") < F.col(f"a.{start}") + F.col(f"a.{length}"))
-    for s in same:
-        cond = cond & s
-    return a.join(b, cond).select(*(F.col(f"a.{g}").alias(g) for g in group), F.col(f"a.{id_}").alias("earlier"), F.col(f"b.{id_}").alias("later"))
-
-
 def restored_status(parents: DataFrame, key: str, words: DataFrame, reviews: DataFrame) -> DataFrame:
     """parents with status: NotProcessed without words, ReviewRequired with reviews, else Completed."""
     w = words.select(F.col(key).alias("_w")).distinct()

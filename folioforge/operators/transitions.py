@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import state
+from . import ranges, state
 
 #: The statuses that a change makes stale, the source that rests on an image, the kinds of text that can be restored.
 OPEN = ("Proposed", "Confirmed")
@@ -99,17 +99,14 @@ def confirmed_in_order(annotations: DataFrame, saved: DataFrame, snapshots: Data
     """(annotations, history) after saved (id, place) were confirmed one after the other.
 
     Each makes stale what is confirmed and overlaps it in the same paragraph and snapshot (batch, snapshot).  So a row ends
-    stale if one that overlaps it was confirmed after it, and rows not in saved count as confirmed before: one join on the
-    paragraph, no loop.  Half-open ranges; a row never meets itself.
+    stale if the last place of those that overlap it is after its own, and rows not in saved count as confirmed before: no
+    loop, and no pairs.  Half-open ranges.
     """
     s = annotations.join(saved.select(F.col("id").alias("_i"), "place"), F.col("id") == F.col("_i"), "left").drop("_i").join(snapshots, "batch", "left")
     now = s.withColumn("status", F.when(F.col("place").isNotNull(), "Confirmed").otherwise(F.col("status")))
     held = now.where("status = 'Confirmed'").select("id", "paragraph", "snapshot", "start", "length", "place")
-    a, b = held.alias("a"), held.where("place is not null").alias("b")
-    meet = (F.col("a.start") < F.col("b.start") + F.col("b.length")) & (F.col("b.start") < F.col("a.start") + F.col("a.length"))
-    after = F.col("a.place").isNull() | (F.col("a.place") < F.col("b.place"))
-    same = (F.col("a.paragraph") == F.col("b.paragraph")) & F.col("a.snapshot").eqNullSafe(F.col("b.snapshot")) & (F.col("a.id") != F.col("b.id"))
-    out, history = staled(now.drop("snapshot", "place"), a.join(b, same & meet & after).select("a.id"))
+    last = ranges.best_overlapping(held, held.where("place is not null"), ["paragraph", "snapshot"], ["id", "place"], "start", "length", "place", F.max)
+    out, history = staled(now.drop("snapshot", "place"), last.where("place is null or place < best").select("id"))
     return out, history
 
 

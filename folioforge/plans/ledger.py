@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import layout, rules, state
+from ..operators import layout, ranges, rules, state
 from ..sources.tables import table
 
 #: The order flags as run states, the events as annotation states.
@@ -90,7 +90,7 @@ def overlap_conflicts(spark, d):
     """Confirmed lines of a part and flag as day ranges; the id is the order and line."""
     line = table(spark, d, "lineitem").where("l_returnflag = 'A'").groupBy("l_partkey", "l_orderkey", "l_linenumber").agg(F.min(F.datediff("l_shipdate", F.lit("1990-01-01"))).alias("start"), F.max(F.col("l_quantity").cast("int")).alias("length"))
     ids = line.withColumn("id", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
-    return state.overlaps(ids, ["l_partkey"], "id", "start", "length")
+    return ranges.overlaps(ids, ["l_partkey"], "id", "start", "length")
 
 
 def stale_propagation(spark, d):
