@@ -14,28 +14,35 @@ from pyspark.sql import types as T
 CELLS = 4_000_000
 
 
-def lcs_table(a: str, b: str) -> np.ndarray:
-    """table[i, j] is the length of the longest common subsequence of a[i:] and b[j:].
+class Choices:
+    """Which way an alignment of two texts goes on from each pair of positions, one bit for each.
 
-    Rows are filled from the last; within a row the recurrence is a running maximum, so each row is one vector operation.
+    With t(i, j) the length of the longest common subsequence of a[i:] and b[j:], the bit says that passing over b[j] leaves no
+    less to find than passing over a[i]: t(i, j + 1) >= t(i + 1, j); strictly: that it leaves more.  Rows of t are made from
+    the last, each a running maximum and so one vector operation, and none but the one below is kept.
     """
-    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
-    table = np.zeros((len(x) + 1, len(y) + 1), np.int32)
-    for i in range(len(x) - 1, -1, -1):
-        below = table[i + 1]
-        here = np.where(x[i] == y, below[1:] + 1, below[:-1])
-        table[i, :-1] = np.maximum.accumulate(here[::-1])[::-1]
-    return table
+
+    def __init__(self, a: str, b: str, strictly: bool = False) -> None:
+        x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (a, b))
+        self._bits = np.zeros((len(x), -(-len(y) // 8)), np.uint8)
+        below, here = np.zeros(len(y) + 1, np.int32), np.zeros(len(y) + 1, np.int32)
+        for i in range(len(x) - 1, -1, -1):
+            here[:-1] = np.maximum.accumulate(np.where(x[i] == y, below[1:] + 1, below[:-1])[::-1])[::-1]
+            self._bits[i] = np.packbits(here[1:] > below[:-1] if strictly else here[1:] >= below[:-1])
+            below, here = here, below
+
+    def over_b(self, i: int, j: int) -> bool:
+        return bool(self._bits[i, j >> 3] >> (7 - (j & 7)) & 1)
 
 
 def _steps(before: str, after: str):
     """(kind, char) of an aligned pair of texts; where both ways are as good, an addition comes first."""
-    table, i, j = lcs_table(before, after), 0, 0
+    choices, i, j = Choices(before, after), 0, 0
     while i < len(before) or j < len(after):
         if i < len(before) and j < len(after) and before[i] == after[j]:
             yield "Equal", before[i]
             i, j = i + 1, j + 1
-        elif j < len(after) and (i == len(before) or table[i, j + 1] >= table[i + 1, j]):
+        elif j < len(after) and (i == len(before) or choices.over_b(i, j)):
             yield "Added", after[j]
             j += 1
         else:

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .sequence import CELLS, lcs_table
+from .sequence import CELLS, Choices
 
 #: Character classes, and the characters that a second text may add: punctuation, quotes, marks, small kana.
 KATAKANA, HIRAGANA, IDEOGRAPH = "ァ-ヺ", "ぁ-ゖ", "㐀-䶿一-鿿"
@@ -32,15 +32,15 @@ def _matches(a: str, b: str) -> list[tuple[int, int]]:
     """Aligned positions; where both ways are as good, a's character is passed over first."""
     if not a or not b or len(a) * len(b) > CELLS:
         return []
-    table, found, i, j = lcs_table(a, b), [], 0, 0
+    choices, found, i, j = Choices(a, b, strictly=True), [], 0, 0
     while i < len(a) and j < len(b):
         if a[i] == b[j]:
             found.append((i, j))
             i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            i += 1
-        else:
+        elif choices.over_b(i, j):
             j += 1
+        else:
+            i += 1
     return found
 
 
