@@ -256,8 +256,11 @@ def interleave(blocks: DataFrame, pictures: DataFrame, book: str) -> DataFrame:
     It belongs to the first block whose last page is beyond its own, and goes before it, or after it if the block has begun by
     then; with none it goes to the end.  pictures: (book, picture, at).  adjusted marks a picture inside a block.
     """
-    b = blocks.select(F.col(book).alias("b_book"), "block", "first", "last")
-    met = pictures.join(b, (F.col(book) == F.col("b_book")) & (F.col("last") > F.col("at")), "left")
-    own = met.groupBy(book, "picture", "at").agg(F.min_by(F.struct("block", "first"), "block").alias("own"))
+    none = F.lit(None)
+    b = blocks.select(F.col(book).alias("book"), F.col("last").alias("pos"), F.lit(1).alias("k"), none.cast(pictures.schema["picture"].dataType).alias("picture"), F.struct("block", "first").alias("own"))
+    p = pictures.select(F.col(book).alias("book"), F.col("at").alias("pos"), F.lit(0).alias("k"), "picture", none.cast(b.schema["own"].dataType).alias("own"))
+    # From the last page back, the blocks that end behind a picture come before it; the least of them is its own.
+    back = Window.partitionBy("book").orderBy(F.desc("pos"), "k").rowsBetween(Window.unboundedPreceding, 0)
+    own = b.unionByName(p).withColumn("own", F.when(F.col("pos").isNotNull(), F.min("own").over(back))).where("k = 0").select(F.col("book").alias(book), "picture", F.col("pos").alias("at"), "own")
     place = F.when(F.col("own.block").isNull(), "end").when(F.col("at") < F.col("own.first"), "before").otherwise("after")
     return own.select(book, "picture", F.col("own.block").alias("block"), place.alias("place"), F.coalesce(F.col("at") > F.col("own.first"), F.lit(False)).alias("adjusted"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources.store import Append, Change, Put, View, Whole
+from ..sources.tables import written
 from . import layout, pages, state
 from .transitions import AID
 
@@ -93,9 +94,11 @@ def analysis(words: DataFrame, auxiliary: DataFrame, proposals: DataFrame, opera
 
     words as for run_rows; auxiliary (page, text); proposals (page, text); operations (page, ordinal, ...); notes (page, code,
     text) of the merge; was: (page, status).  The draft of a page that has words set by hand is rebuilt from those included.
-    Words, operations and recognised review items take the place of the pages' old ones.
+    Words, operations and recognised review items take the place of the pages' old ones.  The words with their roles, which
+    most of the tables are made of, are worked out once.
     """
     runs, found = run_rows(words, overrides, "paddle", at, True)
+    found = written(found, "analysis-words")
     second = auxiliary.select("page", F.lit(0).cast("long").alias("id"), "text", F.lit(0.8).alias("confidence"), F.lit(0.0).alias("left"), F.lit(0.0).alias("top"), F.lit(1.0).alias("right"), F.lit(1.0).alias("bottom"))
     more_runs, more = run_rows(second, overrides, "tesseract", at, False)
     by_hand = found.where("manual_override").select("page").distinct()
