@@ -94,11 +94,15 @@ def _hub_links(fps: DataFrame) -> DataFrame:
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """fps: (fp, node), distinct fingerprints.  Links (u, v) that connect all nodes within DISTANCE bits, and no others."""
-    from pyspark.sql import Window
+    """fps: (fp, node), distinct fingerprints.  Links (u, v) that connect all nodes within DISTANCE bits, and no others.
 
-    placed = _blocks(fps).withColumn("n", F.count("*").over(Window.partitionBy("t", "key")))
-    small = placed.where(F.col("n").between(2, bucket))
+    Blocks are counted by partial sums, so that one that a third of the fingerprints share is no task's alone; only those that
+    two meet in are looked at again.
+    """
+    every = _blocks(fps)
+    met = stored(every.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "simhash-met")
+    placed = every.join(_small(met, met.count()), ["t", "key"])
+    small = placed.where(F.col("n") <= bucket)
     a, b = small.alias("a"), small.alias("b")
     near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= DISTANCE
     found = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & near).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
