@@ -31,6 +31,9 @@ STAGE_SHINGLE, SIMILAR = 5, (4, 5)
 BANDS, ROWS = 18, 5
 #: Words of 64 bits in which shingles are counted modulo 2: they differ in no more bits than the sets differ in shingles.
 SKETCH = 4
+#: Rounds of hubs before the members of a band are paired, at most; they end once the pairs left are no more than so many for each
+#: member, or a round has left more than this share of them.
+ROUNDS, PAIRS, LEFT = 8, 1, 0.5
 #: Rows that may be broadcast, after they have been counted.
 BROADCAST_ROWS = 200_000
 _PART = 1 << 16
@@ -234,9 +237,9 @@ def similar_groups(rows: DataFrame) -> DataFrame:
     """rows: (node, text, _s), node a number of the row's own.  (digest, label): label is one number for each group of near copies.
 
     Exact copies, by their sets of shingles, are one node.  Members of a band are first compared with one of them, drawn anew
-    for each band; then all pairs of a band that are not yet in one group are.  So a group of near copies of any size costs
-    rows in proportion to its members, and no pair that meets is left out.  What has few rows, once they are counted, is joined
-    by broadcast.
+    for each band and round, while members of different groups still make more pairs than there are members; then all pairs
+    of a band that are not yet in one group are.  So a group of near copies of any size costs rows in proportion to its
+    members, and no pair that meets is left out.  What has few rows, once they are counted, is joined by broadcast.
     """
     each = rows.groupBy(F.col("_s.node").alias("digest")).agg(F.min(F.struct("node", "_s.size", "_s.bands", "_s.sketch")).alias("s"))
     nodes = stored(each.select("digest", "s.*"), "near-nodes")
@@ -245,7 +248,6 @@ def similar_groups(rows: DataFrame) -> DataFrame:
     met = _few(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "near-keys")
     shared = stored(placed.join(met, "key", "left_semi"), "near-bands")
     n_shared = shared.count()
-    hubs = shared.groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("h"))
     pair = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
 
     def possible(pairs: DataFrame, most: int) -> DataFrame:
@@ -254,24 +256,48 @@ def similar_groups(rows: DataFrame) -> DataFrame:
         kept = _small(a.join(_small(pairs.distinct(), most), "u"), most).join(b, "v")
         return stored(kept.where(_may_be_similar("a", "b")).select("u", "v"), "near-pairs")
 
-    first = possible(shared.join(_small(hubs, n_shared), "key").where("node <> h").select(*pair("node", "h")), n_shared)
-    found = _verified(first, texts)
-    n_found = found.count()
-    labels = components(found)
-    named = labels.withColumnRenamed("node", "n1")
-    of = shared.join(_small(named, 2 * n_found), F.col("node") == F.col("n1"), "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = _few(of.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("key"), "near-keys")
-    of = _small(of.join(mixed, "key", "left_semi"), n_shared).join(facts, "node")
-    of = stored(of.select("key", "label", F.struct("node", "size", "sketch").alias("a")), "near-mixed")
-    other = of.select("key", F.col("label").alias("label_b"), F.col("a").alias("b"))
-    rest = of.join(other, "key").where((F.col("label") < F.col("label_b")) & _may_be_similar("a", "b")).select(*pair("a.node", "b.node")).distinct()
-    rest = stored(rest.join(first, ["u", "v"], "left_anti"), "near-pairs")
-    if n_rest := rest.count():
-        links_ = found.union(_verified(rest, texts))
-        labels, n_found = components(links_), n_found + n_rest
+    of, compared, found, n_found, labels, before = shared.withColumn("label", F.col("node")), None, None, 0, None, None
+    for turn in range(ROUNDS):
+        hubs = of.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(turn), "key", "node")).alias("h"))
+        pairs = of.join(_small(hubs, n_shared), "key").where("label <> h.label").select(*pair(F.col("node"), F.col("h.node")))
+        tried = possible(pairs, n_shared)
+        compared = tried if compared is None else compared.union(tried)
+        links_ = _verified(tried, texts)
+        n_links = links_.count()
+        n_found, found = n_found + n_links, links_ if found is None else found.union(links_)
+        if n_links:
+            labels = components(found)
+        of, open_pairs = _mixed_bands(shared, labels, n_found)
+        if not n_links or open_pairs <= PAIRS * n_shared or (before is not None and open_pairs > LEFT * before):
+            break
+        before = open_pairs
+    if open_pairs:
+        of = stored(of.join(nodes, "node").select("key", "label", F.struct("node", "size", "sketch", "bands").alias("a")), "near-mixed")
+        other = of.select("key", F.col("label").alias("label_b"), F.col("a").alias("b"))
+        at = F.array_position("a.bands", F.col("key"))
+        first_met = ~F.exists(F.slice(F.zip_with("a.bands", "b.bands", lambda x, y: x == y), F.lit(1), (at - 1).cast("int")), lambda same: same)
+        rest = of.join(other, "key").where((F.col("label") < F.col("label_b")) & _may_be_similar("a", "b") & first_met).select(*pair(F.col("a.node"), F.col("b.node")))
+        rest = stored(rest.join(compared, ["u", "v"], "left_anti"), "near-pairs")
+        if n_rest := rest.count():
+            labels, n_found = components(found.union(_verified(rest, texts))), n_found + n_rest
+    if labels is None:
+        return nodes.select("digest", F.col("node").alias("label"))
     return nodes.select("digest", "node").join(_small(labels, 2 * n_found), "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
 
 
+def _mixed_bands(shared: DataFrame, labels: DataFrame | None, n_links: int) -> tuple[DataFrame, int]:
+    """(key, node, label) of the bands whose members are not all in one group, and how many pairs of different groups they have."""
+    of = shared.withColumn("label", F.col("node"))
+    if labels is not None:
+        named = labels.withColumnsRenamed({"node": "n1", "label": "l1"})
+        of = shared.join(_small(named, 2 * n_links), F.col("node") == F.col("n1"), "left").select("key", "node", F.coalesce("l1", "node").alias("label"))
+    of = stored(of, "near-labelled")
+    sizes = of.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    mixed = stored(sizes.select("key", ((F.col("n") * F.col("n") - F.col("own")) / 2).cast("long").alias("open")).where("open > 0"), "near-keys")
+    n, open_pairs = mixed.agg(F.count("*"), F.coalesce(F.sum("open"), F.lit(0))).first()
+    return of.join(_small(mixed.select("key"), n), "key", "left_semi"), open_pairs
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of near copies, that with the smallest doc_id; any row counts, whatever its doc_id.
 

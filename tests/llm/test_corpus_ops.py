@@ -233,3 +233,68 @@ def test_words_of_long_texts_are_not_cut():
     text = ("Ab cd\t" * 400_000 + "x").encode()
     got = interpolation.hashes(text)
     assert len(got) == 800_002 and len(np.unique(got)) == 4
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    from folioforge.llm import topk
+
+    rng = np.random.default_rng(1)
+    d = spark.createDataFrame([(i, (rng.normal(size=64) * 1e8).tolist()) for i in range(100)], "vec_id long, embedding array<double>")
+    for scale in (1.0, 1e12):
+        big = d.withColumn("embedding", F.transform("embedding", lambda x: x * scale))  # noqa: B023
+        with pytest.raises(OverflowError):
+            topk.search(big, F.col("vec_id") % 20 == 0)
+
+
+def test_queries_in_passes(spark, monkeypatch):
+    from folioforge.llm import topk
+
+    rng = np.random.default_rng(1)
+    d = spark.createDataFrame([(i, rng.normal(size=6).tolist()) for i in range(200)], "vec_id long, embedding array<double>")
+    one = {tuple(r) for r in topk.search(d, F.col("vec_id") % 20 == 0).collect()}
+    monkeypatch.setattr(topk, "QUERY_VALUES", 15)
+    assert {tuple(r) for r in topk.search(d, F.col("vec_id") % 20 == 0).collect()} == one
+    assert len(one) == 200
+
+
+def crowded_texts():
+    """A template that many pages share: members of its bands, somewhat alike, of which only some are linked."""
+    rng = random.Random(6)
+    base, texts = [f"t{k}" for k in range(60)], []
+    for _ in range(70):
+        w = list(base)
+        for at in rng.sample(range(60), rng.randint(0, 4)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+@pytest.mark.parametrize(("rounds", "pairs"), [(1, 1), (8, 0), (8, 1)])
+def test_rounds_of_hubs_lose_no_link(spark, monkeypatch, rounds, pairs):
+    from folioforge.llm import simhash
+
+    from .test_ops import near_brute
+
+    monkeypatch.setattr(simhash, "ROUNDS", rounds)
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
+    texts = crowded_texts()
+    got = sorted(r.doc_id for r in simhash.stage(spark, docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]), "").collect())
+    assert got == near_brute(texts)
+    assert 1 < len(got) < len(texts)
+
+
+def test_a_block_that_most_fingerprints_share(spark):
+    """Three hundred fingerprints that share most blocks, pairwise too far apart but for planted neighbours."""
+    from folioforge.llm import simhash
+
+    from .test_ops import components
+
+    rng = random.Random(2)
+    fps = {i: rng.getrandbits(31) for i in range(300)}
+    fps |= {300 + i: fps[i] ^ sum(1 << b for b in rng.sample(range(64), 3)) for i in range(40)}
+    d = spark.createDataFrame([(fp - (1 << 64) if fp >> 63 else fp, i) for i, fp in fps.items()], "fp long, node long")
+    from folioforge.llm.components import components as connected
+
+    label = {r.node: r.label for r in connected(simhash.links(d, bucket=64)).collect()}
+    want = components(fps)
+    assert {i: label.get(i, i) for i in fps} == want
