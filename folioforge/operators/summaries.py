@@ -44,11 +44,12 @@ def confirmation_summary(rows: DataFrame, issues: DataFrame, source: str, aborte
     bad = F.coalesce("_any", F.lit(False)) | (F.size(codes) > 0)
     outcome = F.when(F.col("source") != source, "wrong_source").when(F.col("status") == "Confirmed", "already").when(F.lit(aborted) | bad, "excluded").otherwise("newly")
     why = F.when(F.lit(aborted), F.array(F.lit(ABORTED))).when(F.size(codes) > 0, codes).otherwise(F.array(F.lit(NO_REASON)))
-    judged = both.select(outcome.alias("o"), why.alias("why"))
-    counts = judged.agg(F.count("*").alias("examined"), *(F.count_if(F.col("o") == k).alias(k) for k in ("newly", "already", "wrong_source", "excluded")))
-    reasons = judged.where("o = 'excluded'").select(F.explode("why").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
-    # A reason is one of a fixed set of codes, so that the map is as small.
-    return counts.withColumn("reasons", reasons.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("reason", "n"))))).scalar())
+    why = F.when(F.col("o") == "excluded", why)
+    # A row stands once for each of its reasons, the first time for itself; a reason is one of a fixed set of codes, so that what is left is small.
+    each = both.withColumn("o", outcome).select("o", F.posexplode_outer(why).alias("at", "reason")).groupBy("o", "reason").agg(F.count("*").alias("n"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("rows"))
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("rows"))), F.lit(0)).cast("long")
+    counts = [total(F.col("o") == k).alias(k) for k in ("newly", "already", "wrong_source", "excluded")]
+    return each.agg(total(F.lit(True)).alias("examined"), *counts, F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n"))))).alias("reasons"))
 
 
 def status_change(rows: DataFrame, keys: list[str], status: str, wanted: str) -> DataFrame:
