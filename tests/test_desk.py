@@ -113,7 +113,7 @@ def _joined(df):
     return walk(df._jdf.queryExecution().executedPlan())
 
 
-@pytest.mark.parametrize("name", ["annotation_issues", "bulk_confirmable", "revalidated_import"])
+@pytest.mark.parametrize("name", ["annotation_issues", "bulk_confirmable", "revalidated_import", "confirmation_summary"])
 def test_proposals_of_one_reading_make_no_pairs(spark, tmp_path, name):
     """6,000 annotations, most by image, of which 90 candidates each share batch and reading."""
     n = 6000
