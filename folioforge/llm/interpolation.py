@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, parts, stored, table, text_bytes
+from .common import arrow_batches, parts, release, stored, table, text_bytes
 
 #: Of ten parts of the documents one is never learned from; another one sets the weights.
 PARTS, NEVER, WEIGHTS = 10, 0, 1
@@ -28,7 +28,7 @@ KEPT, HELD, TEST = 0, 1, 2
 #: Additive smoothing of the base score.
 ADD = 0.1
 #: Bytes of text of a chunk and of a range of hashes, about; chunks for each shuffle partition, at least, so that tasks even out.
-CHUNK, RANGE, EACH = 6 << 20, 16 << 20, 2
+CHUNK, RANGE, EACH = 6 << 20, 8 << 20, 2
 #: Ranges of hashes, at least.
 RANGES = 8
 #: Cells of the held-out counts: steps an octave of both estimates.  A cell stands for its own mean.
@@ -65,6 +65,10 @@ def _unpacked(packed: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate((np.frombuffer(packed[1:9], "<u8"), gaps.view("<u8").ravel())), dtype=np.uint64)
 
 
+def _length(packed: bytes) -> int:
+    return 0 if len(packed) < 9 else 1 + (len(packed) - 9) // packed[0]
+
+
 def _small(numbers: np.ndarray) -> bytes:
     """Numbers in as many bytes each as the largest needs."""
     width = next(w for w in (1, 2, 4, 8) if not len(numbers) or int(numbers.max()) < 1 << 8 * w)
@@ -148,21 +152,27 @@ def _asked(ranges: int):
 
 def _told(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """Adds up one range, and answers each chunk in the order it asked; a row without a chunk counts the range itself."""
+    release()
     part, grams = (k.as_py() for k in key)
-    chunks, kinds = rows["chunk"].to_pylist(), rows["kind"].to_numpy()
-    keys = [_unpacked(k.as_py()) for k in rows["keys"]]
-    every, of = np.unique(np.concatenate(keys), return_inverse=True)
-    sizes = np.array([len(k) for k in keys])
-    del keys
-    counts = np.concatenate([_large(n.as_py()) for n in rows["n"]])
-    kind = np.repeat(kinds, sizes)
-    kept, held = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
-    np.add.at(kept, of[kind == KEPT], counts[kind == KEPT])
-    np.add.at(held, of[kind == HELD], counts[kind == HELD])
-    total = kept + held
-    ends = np.cumsum(sizes)
-    spans = [of[e - s : e] for s, e in zip(sizes, ends, strict=True)]
-    out = [[*chunks, None], [*kinds.tolist(), None], [grams] * (len(spans) + 1), [part] * (len(spans) + 1), [*(_small(kept[s]) if k == HELD else None for s, k in zip(spans, kinds, strict=True)), None], [*(_small(total[s]) for s in spans), None]]
+    chunks, kinds = rows["chunk"].to_pylist(), rows["kind"].to_pylist()
+    # The keys of a chunk are unpacked again where they are needed: at no time are those of all chunks held but in the one array that is sorted.
+    every, at = np.empty(sum(_length(k.as_py()) for k in rows["keys"]), np.uint64), 0
+    for k in rows["keys"]:
+        one = _unpacked(k.as_py())
+        every[at : at + len(one)] = one
+        at += len(one)
+    every.sort()
+    new = np.ones(len(every), np.bool_)
+    np.not_equal(every[1:], every[:-1], out=new[1:])
+    every = every[new]
+    kept, total, spans = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64), []
+    for k, n, kind in zip(rows["keys"], rows["n"], kinds, strict=True):
+        spans.append(np.searchsorted(every, _unpacked(k.as_py())).astype(np.uint32))
+        if kind != TEST:
+            total[spans[-1]] += _large(n.as_py())
+        if kind == KEPT:
+            kept[spans[-1]] += _large(n.as_py())
+    out = [[*chunks, None], [*kinds, None], [grams] * (len(spans) + 1), [part] * (len(spans) + 1), [*(_small(kept[s]) if k == HELD else None for s, k in zip(spans, kinds, strict=True)), None], [*(_small(total[s]) for s in spans), None]]
     out += [[None] * len(spans) + [int((total > 0).sum())], [None] * len(spans) + [int(total.sum())]]
     types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
     return pa.table([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=["chunk", "kind", "grams", "part", "kept", "every", "n_types", "n_tokens"])

@@ -5,9 +5,11 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,3 +300,27 @@ def test_a_block_that_most_fingerprints_share(spark):
     label = {r.node: r.label for r in connected(simhash.links(d, bucket=64)).collect()}
     want = components(fps)
     assert {i: label.get(i, i) for i in fps} == want
+
+
+def test_counts_of_a_range_hold_little():
+    """Adding up a range takes under 48 bytes for each n-gram that its chunks name, and gives what plain counters give."""
+    gen, rows, plain = np.random.default_rng(3), [], {}
+    for chunk in range(12):
+        keys, kind = np.unique(gen.integers(0, 1 << 22, 40_000, np.uint64)), (interpolation.KEPT, interpolation.HELD, interpolation.TEST)[chunk % 3]
+        n = gen.integers(1, 300, len(keys))
+        rows.append((chunk, kind, interpolation._packed(keys), interpolation._small(n), keys))
+        for k, c in zip(keys.tolist(), n.tolist(), strict=True):
+            was = plain.setdefault(k, [0, 0])
+            was[0] += c * (kind == interpolation.KEPT)
+            was[1] += c * (kind != interpolation.TEST)
+    asked = pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "keys": pa.array([r[2] for r in rows], pa.binary()), "n": pa.array([r[3] for r in rows], pa.binary())})
+    tracemalloc.start()
+    told = interpolation._told((pa.scalar(5), pa.scalar(2)), asked).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for row, (chunk, kind, _, _, keys) in zip(told, rows, strict=False):
+        assert (row["chunk"], row["kind"], row["grams"], row["part"]) == (chunk, kind, 2, 5)
+        assert interpolation._large(row["every"]).tolist() == [plain[k][1] for k in keys.tolist()]
+        assert kind != interpolation.HELD or interpolation._large(row["kept"]).tolist() == [plain[k][0] for k in keys.tolist()]
+    assert (told[-1]["n_types"], told[-1]["n_tokens"]) == (sum(v[1] > 0 for v in plain.values()), sum(v[1] for v in plain.values()))
+    assert peak < 48 * sum(len(r[4]) for r in rows), peak / sum(len(r[4]) for r in rows)
