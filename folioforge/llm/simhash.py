@@ -1,7 +1,8 @@
 """Near duplicates.
 
 op8_simhash: SimHash fingerprints of three-word shingles, pigeonhole blocks and a Hamming check.  The pipeline's stage: five-word
-shingles at a Jaccard similarity of 0.8 or more, candidates by min-hash bands, every pair compared shingle for shingle.
+shingles at a Jaccard similarity of 0.8 or more; candidates by SimHash fingerprints of these, blocks and the Hamming check, and by
+min-hash bands for those that are farther than 3 bits apart; every pair compared shingle for shingle.
 """
 
 from __future__ import annotations
@@ -165,11 +166,19 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def signature(text: str | None) -> tuple[bytes, int, list[int], list[int]]:
-    """A digest of the text's set of shingles, its size, the key of each band and the sketch; a wordless text has no bands."""
+def _majority(h: np.ndarray) -> int:
+    """The SimHash fingerprint of hashes: the bits that over half of them have."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(h), _PART):
+        counts += np.unpackbits(h[at : at + _PART].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
+
+
+def signature(text: str | None) -> tuple[bytes, int, list[int], list[int], int]:
+    """A digest of the text's set of shingles, its size, the key of each band, the sketch and the SimHash fingerprint; a wordless text has no bands."""
     words = _words(text)
     if not words:
-        return b"\0" * 16, 0, [], [0] * SKETCH
+        return b"\0" * 16, 0, [], [0] * SKETCH, 0
     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = len(h) - STAGE_SHINGLE + 1
     sums = sum(h[k : k + n] * _PLACES[k] for k in range(STAGE_SHINGLE)) if n > 0 else (h * _PLACES[: len(h)]).sum(keepdims=True) + np.uint64(len(h))
@@ -181,17 +190,17 @@ def signature(text: str | None) -> tuple[bytes, int, list[int], list[int]]:
         least = np.minimum(least, part.min(axis=1))
     bands = [xxhash.xxh64_intdigest(row.tobytes(), t) for t, row in enumerate(least.reshape(BANDS, ROWS))]
     odd = np.bincount((grams >> np.uint64(64 - (SKETCH * 64).bit_length() + 1)).astype(np.int64), minlength=SKETCH * 64) % 2
-    return xxhash.xxh3_128_digest(grams.tobytes()), len(grams), bands, np.packbits(odd.astype(bool)).view("<u8").tolist()
+    return xxhash.xxh3_128_digest(grams.tobytes()), len(grams), bands, np.packbits(odd.astype(bool)).view("<u8").tolist(), _majority(grams)
 
 
 def with_signature(df: DataFrame, text: str) -> DataFrame:
-    """df and a column _s: struct<node, size, bands, sketch>."""
+    """df and a column _s: struct<node, size, bands, sketch, fp>."""
 
-    @F.arrow_udf(T.StructType([T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))]))
+    @F.arrow_udf(T.StructType([T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]))
     def of(texts: pa.Array) -> pa.Array:
         found = [signature(x.as_py()) for x in texts]
         signed = lambda rows: pa.array([np.array(r, np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64()), signed(f[2] for f in found), signed(f[3] for f in found)], ["node", "size", "bands", "sketch"])
+        return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64()), signed(f[2] for f in found), signed(f[3] for f in found), pa.array(np.array([f[4] for f in found], np.uint64).view(np.int64))], ["node", "size", "bands", "sketch", "fp"])
 
     return df.withColumn("_s", of(F.col(text)))
 
@@ -236,12 +245,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def similar_groups(rows: DataFrame) -> DataFrame:
     """rows: (node, text, _s), node a number of the row's own.  (digest, label): label is one number for each group of near copies.
 
-    Exact copies, by their sets of shingles, are one node.  Members of a band are first compared with one of them, drawn anew
+    Exact copies, by their sets of shingles, are one node.  Each node is first compared with the representative of those whose
+    SimHash fingerprints links() joins up with its own.  Members of a band are then compared with one of them, drawn anew
     for each band and round, while members of different groups still make more pairs than there are members; then all pairs
     of a band that are not yet in one group are.  So a group of near copies of any size costs rows in proportion to its
     members, and no pair that meets is left out.  What has few rows, once they are counted, is joined by broadcast.
     """
-    each = rows.groupBy(F.col("_s.node").alias("digest")).agg(F.min(F.struct("node", "_s.size", "_s.bands", "_s.sketch")).alias("s"))
+    each = rows.groupBy(F.col("_s.node").alias("digest")).agg(F.min(F.struct("node", "_s.size", "_s.bands", "_s.sketch", "_s.fp")).alias("s"))
     nodes = stored(each.select("digest", "s.*"), "near-nodes")
     texts, facts = rows.select("node", "text"), nodes.select("node", "size", "sketch")
     placed = nodes.select("node", F.explode("bands").alias("key"))
@@ -256,15 +266,21 @@ def similar_groups(rows: DataFrame) -> DataFrame:
         kept = _small(a.join(_small(pairs.distinct(), most), "u"), most).join(b, "v")
         return stored(kept.where(_may_be_similar("a", "b")).select("u", "v"), "near-pairs")
 
-    of, compared, found, n_found, labels, before = shared.withColumn("label", F.col("node")), None, None, 0, None, None
+    close = _by_fingerprint(nodes)
+    compared = possible(close.select(*pair(F.col("node"), F.col("first"))), close.count())
+    found = _verified(compared, texts)
+    n_found, labels, before = found.count(), None, None
+    if n_found:
+        labels = components(found)
+    of, open_pairs = _mixed_bands(shared, labels, n_found)
     for turn in range(ROUNDS):
         hubs = of.groupBy("key").agg(F.min_by(F.struct("node", "label"), F.xxhash64(F.lit(turn), "key", "node")).alias("h"))
         pairs = of.join(_small(hubs, n_shared), "key").where("label <> h.label").select(*pair(F.col("node"), F.col("h.node")))
         tried = possible(pairs, n_shared)
-        compared = tried if compared is None else compared.union(tried)
+        compared = compared.union(tried)
         links_ = _verified(tried, texts)
         n_links = links_.count()
-        n_found, found = n_found + n_links, links_ if found is None else found.union(links_)
+        n_found, found = n_found + n_links, found.union(links_)
         if n_links:
             labels = components(found)
         of, open_pairs = _mixed_bands(shared, labels, n_found)
@@ -285,6 +301,14 @@ def similar_groups(rows: DataFrame) -> DataFrame:
     return nodes.select("digest", "node").join(_small(labels, 2 * n_found), "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(node, first): the nodes that are not the first of those whose fingerprints are within DISTANCE bits, or are linked up by such."""
+    fps = stored(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count("*").alias("n")), "near-fps")
+    labels = stored(components(links(fps.select("fp", "node"))), "near-close")
+    of = fps.join(_small(labels, labels.count()), "node", "left").select("fp", F.coalesce("label", "node").alias("first"), ((F.col("n") > 1) | F.col("label").isNotNull()).alias("met"))
+    return stored(nodes.select("fp", "node").join(_few(of.where("met").select("fp", "first"), "near-met"), "fp").where("node <> first").select("node", "first"), "near-firsts")
+
+
 def _mixed_bands(shared: DataFrame, labels: DataFrame | None, n_links: int) -> tuple[DataFrame, int]:
     """(key, node, label) of the bands whose members are not all in one group, and how many pairs of different groups they have."""
     of = shared.withColumn("label", F.col("node"))

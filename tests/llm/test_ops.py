@@ -172,6 +172,19 @@ def test_decontamination_odd(spark):
     assert [(r.n_words, r.n_hit) for r in decontamination.contaminated(d, one).collect()] == [(2, 1), (2, 1)]
 
 
+def test_near_duplicates_stage_by_fingerprint(spark):
+    """Without any min-hash bands, near copies within 3 bits are still found, those that share no words with them are not."""
+    gen = random.Random(4)
+    base = [[f"w{gen.randrange(10**6)}" for _ in range(600)] for _ in range(3)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], "end"]) for b in base]
+    rows = simhash.with_signature(docs(spark, texts).select(F.col("doc_id").alias("node"), "text"), "text")
+    rows = rows.withColumn("_s", F.col("_s").withField("bands", F.array().cast("array<bigint>")))
+    label = {r.node: r.label for r in rows.select("node", F.col("_s.node").alias("digest")).join(simhash.similar_groups(rows), "digest").collect()}
+    fps = [simhash.signature(t)[4] for t in texts]
+    assert [label[i] for i in range(3)] == [0, 1, 2]
+    assert {i for i in range(3) if label[i + 3] == i} == {i for i in range(3) if (fps[i] ^ fps[i + 3]).bit_count() <= 3} != set()
+
+
 def test_stages_with_null_and_repeated_ids(spark, tmp_path):
     clean, passage = " ".join(f"c{k}" for k in range(40)), " ".join(f"p{k}" for k in range(40))
     rows = [(None, passage), (None, clean), (1, passage), (1, clean), (2, None), (None, None)]
