@@ -31,7 +31,7 @@ STAGE_SHINGLE, SIMILAR = 5, (4, 5)
 #: Bands, and min-hashes of a band: of pairs at 0.8 all but 1 in 1,200 meet in a band, of pairs at 0.85 all but 1 in 19,000.
 BANDS, ROWS = 18, 5
 #: Words of 64 bits in which shingles are counted modulo 2: they differ in no more bits than the sets differ in shingles.
-SKETCH = 4
+SKETCH = 16
 #: Rounds of hubs before the members of a band are paired, at most; they end once the pairs left are no more than so many for each
 #: member, or a round has left more than this share of them.
 ROUNDS, PAIRS, LEFT = 8, 1, 0.5
