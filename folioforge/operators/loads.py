@@ -205,9 +205,9 @@ def latest_review(batches: DataFrame, rows: DataFrame, project: str) -> DataFram
 
 def revalidated(rows: DataFrame, paragraphs: DataFrame, batch_pages: DataFrame, found: DataFrame, policy: Column, new_id: Column) -> DataFrame:
     """(batch, pos, id, code): the validator's issues once the rows have ids, those of an import new ones, so that issues and rows meet by id."""
-    named = rows.withColumn("id", F.coalesce("id", new_id)) if "id" in rows.columns else rows.withColumn("id", new_id)
-    issues = annotations.annotation_issues(named, paragraphs, batch_pages, found, policy)
-    return issues.join(named.select("batch", "pos", "id"), ["batch", "pos"])
+    found = annotations.judged(rows, paragraphs, batch_pages, found, policy)
+    named = found.withColumn("id", F.coalesce("id", new_id) if "id" in rows.columns else new_id)
+    return named.select("batch", "pos", F.explode("codes").alias("code"), "id")
 
 
 def batch_id(json: Column) -> Column:

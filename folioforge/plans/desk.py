@@ -79,15 +79,16 @@ def _proposals(spark, d):
     spans = F.array(*(F.struct(F.lit(p).alias("page_marker"), F.lit(s).alias("start"), F.lit(n).alias("length")) for p, s, n in (("0001", 0, 6), ("0002", 6, 1_000_000))))
     paragraphs = docs.select(F.concat(F.lit("P"), "doc_id").alias("paragraph_id"), "plain_text", F.when(F.col("doc_id") % 13 == 0, "old").otherwise(tx.text_hash(F.col("plain_text"))).alias("text_hash"), spans.alias("spans"))
     pick = F.create_map(*(F.lit(x) for kv in EVENT_SOURCE.items() for x in kv))
-    a = e.select(
-        (k % 10).alias("batch"), k.alias("pos"), (k % 211).alias("_d"), (k % 17 - 1).cast("int").alias("start"), (k % 6).cast("int").alias("length"), F.get(F.array(*map(F.lit, READINGS)), (k % 5).cast("int")).alias("reading"),
-        F.get(F.array(*map(F.lit, ("よみ", "よみ", "reading", "", "おん"))), (k % 5).cast("int")).alias("reading_key"), F.try_element_at(pick, F.col("event_type")).alias("source"), (F.col("value") / 40).alias("confidence"),
+    # The texts are joined before anything is made of an event, so that little is shuffled.
+    said = e.select(k, "event_type", "value", (k % 211).alias("_d")).join(docs.select(F.col("doc_id").alias("_doc"), F.substring("plain_text", 1, 40).alias("_t")), F.col("_d") == F.col("_doc"), "left")
+    start, length = (k % 17 - 1).cast("int"), (k % 6).cast("int")
+    there = F.substr(F.coalesce("_t", F.lit("")), F.greatest(start + 1, F.lit(1)), F.greatest(length, F.lit(0)))
+    rows = said.select(
+        (k % 10).alias("batch"), k.alias("pos"), F.concat(F.lit("p"), "_d").alias("paragraph_id"), start.alias("start"), length.alias("length"), F.when(k % 3 != 0, there).otherwise("x").alias("base_text"), F.get(F.array(*map(F.lit, READINGS)), (k % 5).cast("int")).alias("reading"),
+        F.get(F.array(*map(F.lit, ("よみ", "よみ", "reading", "", "おん"))), (k % 5).cast("int")).alias("reading_key"), F.coalesce(F.try_element_at(pick, F.col("event_type")), F.lit("Unknown")).alias("source"), (F.col("value") / 40).alias("confidence"),
         F.when(k % 19 != 0, "seen").otherwise(" ").alias("evidence"), F.when(k % 23 != 0, F.when(k % 8 == 0, F.array(F.lit("0001"), F.lit("0001"))).when(k % 9 == 0, F.array(F.lit("0009"))).otherwise(F.array(F.lit("0001")))).alias("markers"),
         F.get(F.array(*map(F.lit, ("Proposed", "Stale", "Rejected"))), F.when(k % 10 < 8, 0).otherwise((k % 10 - 7).cast("int"))).alias("status"),
     )
-    said = a.join(docs.select(F.col("doc_id").alias("_doc"), F.substring("plain_text", 1, 40).alias("_t")), F.col("_d") == F.col("_doc"), "left")
-    there = F.substr(F.coalesce("_t", F.lit("")), F.greatest(F.col("start") + 1, F.lit(1)), F.greatest("length", F.lit(0)))
-    rows = said.select("batch", "pos", F.concat(F.lit("p"), "_d").alias("paragraph_id"), "start", "length", F.when(F.col("pos") % 3 != 0, there).otherwise("x").alias("base_text"), "reading", "reading_key", "source", "confidence", "evidence", "markers", "status")
     batch_pages = e.select((k % 10).alias("batch")).distinct().select("batch", F.explode(F.array(F.lit("0001"), F.lit("0002"))).alias("page_marker"))
     candidates = rows.where("pos % 50 < 30").select("batch", F.lit("0001").alias("page_marker"), "reading_key", F.when(F.col("pos") % 2 == 0, F.col("base_text")).alias("base_text_candidate"), (F.col("pos") % 50 < 3).alias("returned_to_body"), (F.col("pos") % 50 / 20).alias("confidence"), (F.col("pos") % 50 / 25).alias("link_confidence"))
     return rows, paragraphs, batch_pages, candidates
@@ -130,7 +131,7 @@ def annotation_issues(spark, d):
 
 def bulk_confirmable(spark, d):
     rows, paragraphs, batch_pages, candidates = _proposals(spark, d)
-    found = annotations.annotation_issues(rows, paragraphs, batch_pages, candidates, F.lit("OriginalAndTextConfirmed")).where("code not in ('Overlap', 'MultipleReadings', 'Duplicate')")
+    found = annotations.annotation_issues(rows, paragraphs, batch_pages, candidates, F.lit("OriginalAndTextConfirmed"), annotations.OF_OTHERS)
     return annotations.confirmable(rows, found, "TextConfirmed").select("batch", "pos")
 
 

@@ -122,6 +122,27 @@ def test_proposals_of_one_reading_make_no_pairs(spark, tmp_path, name):
     assert 0 < _joined(registry.queries()[name](spark, str(tmp_path))) <= 12 * n
 
 
+def _shuffled(df):
+    """Runs df: the rows that its exchanges dealt out."""
+    df.collect()
+
+    def walk(p):
+        inner = [p.executedPlan()] if p.nodeName().startswith("AdaptiveSparkPlan") else [p.plan()] if "QueryStage" in p.nodeName() else [p.children().apply(i) for i in range(p.children().size())]
+        rows = p.metrics().get("shuffleRecordsWritten")
+        return (rows.get().value() if rows.isDefined() else 0) + sum(map(walk, inner))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize("name", ["revalidated_import"])
+def test_proposals_that_are_alike_are_judged_once(spark, tmp_path, name):
+    """6,000 annotations of twenty kinds: what all of a kind share is not dealt out for each of them, nor are their issues."""
+    n, period = 6000, 8 * 9 * 25 * 17 * 19 * 23 * 211
+    spark.range(n).selectExpr(f"id % 20 + {period} * (id div 20) AS event_id", "if(id % 20 % 3 = 0, 'view', 'purchase') AS event_type", "30D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(211).selectExpr("id AS doc_id", "'some words of a text' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    assert 0 < _shuffled(registry.queries()[name](spark, str(tmp_path))) <= 2 * n
+
+
 def test_image_candidates(spark):
     image = _but(source="ImageConfirmed")
     code = lambda *c, row=image: [x for _, x in _found(spark, [row], c)[2]]
