@@ -37,13 +37,27 @@ def confirmation_summary(rows: DataFrame, issues: DataFrame, source: str, aborte
     counts.  A row can be excluded for several reasons, each code once; aborted says that the validation failed, which then is
     the reason for all that are left.
     """
-    i = issues.groupBy(F.col("batch").alias("_b"), F.col("pos").alias("_p")).agg(F.collect_set(F.when(~tx.is_blank(F.col("code")), F.col("code"))).alias("_codes"), F.lit(True).alias("_any"))
-    both = rows.join(i, (F.col("batch") == F.col("_b")) & (F.col("pos") == F.col("_p")), "left")
+    i = issues.groupBy(F.col("batch").alias("_b"), F.col("pos").alias("_p")).agg(F.collect_list(F.coalesce("code", F.lit(""))).alias("codes"))
+    return confirmation_counts(rows.join(i, (F.col("batch") == F.col("_b")) & (F.col("pos") == F.col("_p")), "left"), source, aborted)
+
+
+def passed_over(source: str) -> Column:
+    """What becomes of a row (source, status) that its issues do not matter to; null where they do."""
+    return F.when(F.col("source") != source, "wrong_source").when(F.col("status") == "Confirmed", "already")
+
+
+def confirmation_counts(rows: DataFrame, source: str, aborted: bool = False) -> DataFrame:
+    """The same of rows (source, status, confidence, markers, evidence, codes) that hold their issues, codes null or empty where there are none or they do not matter."""
+    none = F.array().cast("array<string>")
     own = {"LOW_ANNOTATION_CONFIDENCE": F.col("confidence") < SURE, "STATUS_NOT_ELIGIBLE": F.col("status").isin(*DEAD), "MISSING_EVIDENCE_PAGE": F.coalesce(F.size("markers"), F.lit(0)) <= 0, "MISSING_EVIDENCE": tx.is_blank(F.col("evidence"))}
-    codes = F.array_distinct(F.concat(F.coalesce("_codes", F.array().cast("array<string>")), F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in own.items())))))
-    bad = F.coalesce("_any", F.lit(False)) | (F.size(codes) > 0)
-    outcome = F.when(F.col("source") != source, "wrong_source").when(F.col("status") == "Confirmed", "already").when(F.lit(aborted) | bad, "excluded").otherwise("newly")
-    why = F.when(F.lit(aborted), F.array(F.lit(ABORTED))).when(F.size(codes) > 0, codes).otherwise(F.array(F.lit(NO_REASON)))
+    passed = passed_over(source)
+    # Reasons are worked out once for a row, and only where it comes to them.
+    both = rows.withColumn("_given", F.when(passed.isNull(), F.coalesce("codes", none)))
+    every = F.array_distinct(F.concat(F.filter("_given", lambda c: ~tx.is_blank(c)), F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in own.items())))))
+    both = both.withColumn("_codes", F.when(F.col("_given").isNotNull(), every))
+    bad = (F.size("_given") > 0) | (F.size("_codes") > 0)
+    outcome = F.coalesce(passed, F.when(F.lit(aborted) | bad, "excluded").otherwise("newly"))
+    why = F.when(F.lit(aborted), F.array(F.lit(ABORTED))).when(F.size("_codes") > 0, F.col("_codes")).otherwise(F.array(F.lit(NO_REASON)))
     why = F.when(F.col("o") == "excluded", why)
     # A row stands once for each of its reasons, the first time for itself; a reason is one of a fixed set of codes, so that what is left is small.
     each = both.withColumn("o", outcome).select("o", F.posexplode_outer(why).alias("at", "reason")).groupBy("o", "reason").agg(F.count("*").alias("n"), F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("rows"))

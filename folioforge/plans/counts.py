@@ -26,9 +26,12 @@ def history_of_batches(spark, d):
 
 def _confirmation(spark, d, aborted):
     rows, paragraphs, batch_pages, candidates = _proposals(spark, d)
-    found = an.annotation_issues(rows, paragraphs, batch_pages, candidates, F.lit("OriginalAndTextConfirmed")).where("code not in ('Overlap', 'MultipleReadings', 'Duplicate')")
-    status = F.when(F.col("pos") % 4 == 1, "Confirmed").otherwise(F.col("status"))
-    out = summaries.confirmation_summary(rows.withColumn("status", status), found, "TextConfirmed", aborted)
+    rows = rows.withColumn("status", F.when(F.col("pos") % 4 == 1, "Confirmed").otherwise(F.col("status")))
+    # Without the codes that depend on other rows, those rows alone are judged whose issues matter; all are counted.
+    matters = summaries.passed_over("TextConfirmed").isNull()
+    found = an.judged(rows.where(matters), paragraphs, batch_pages, candidates, F.lit("OriginalAndTextConfirmed"), an.OF_OTHERS)
+    rest = rows.where(~matters).withColumn("codes", F.lit(None).cast("array<string>"))
+    out = summaries.confirmation_counts(found.unionByName(rest), "TextConfirmed", aborted)
     return out.withColumn("reasons", F.concat_ws(" ", F.transform(F.array_sort(F.map_entries("reasons")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))))
 
 

@@ -134,7 +134,7 @@ def _shuffled(df):
     return walk(df._jdf.queryExecution().executedPlan())
 
 
-@pytest.mark.parametrize("name", ["revalidated_import"])
+@pytest.mark.parametrize("name", ["revalidated_import", "confirmation_summary"])
 def test_proposals_that_are_alike_are_judged_once(spark, tmp_path, name):
     """6,000 annotations of twenty kinds: what all of a kind share is not dealt out for each of them, nor are their issues."""
     n, period = 6000, 8 * 9 * 25 * 17 * 19 * 23 * 211
