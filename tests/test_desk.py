@@ -143,6 +143,12 @@ def test_proposals_that_are_alike_are_judged_once(spark, tmp_path, name):
     assert 0 < _shuffled(registry.queries()[name](spark, str(tmp_path))) <= 2 * n
 
 
+def test_evidence_lines_are_made_once_for_a_candidate(spark):
+    plan = registry.queries()["evidence_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "format_string" in plan
+    assert "format_string" not in plan[: plan.index("Join")]
+
+
 def test_image_candidates(spark):
     image = _but(source="ImageConfirmed")
     code = lambda *c, row=image: [x for _, x in _found(spark, [row], c)[2]]
