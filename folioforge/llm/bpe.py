@@ -80,10 +80,6 @@ class _Words(dict):
         super().__init__()
         self.vocabulary, self.older, self.marks, self.marked = vocabulary, {}, bytearray(MARKS), 0
 
-    def forget(self) -> None:
-        self.clear()
-        self.older = {}
-
     def __missing__(self, word: str) -> bytes:
         found = self.older.get(word)
         if found is None:
@@ -266,7 +262,7 @@ _loaded: dict[str, Vocabulary] = {}
 
 
 class _Shared:
-    """A vocabulary for the workers.  Each keeps one, by content, with what it remembers: later queries find it warm."""
+    """A vocabulary for the workers.  Each keeps one, by content, with what it remembers, until it is told to forget it."""
 
     def __init__(self, spark, path: str) -> None:
         with open(path, encoding="utf-8") as f:  # a vocabulary file of fixed size on the driver
@@ -279,6 +275,10 @@ class _Shared:
             _loaded[self.key] = Vocabulary(*self.raw.value)
         return _loaded[self.key]
 
+    def forget(self) -> None:
+        _loaded.clear()
+        release()
+
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """df and the token ids of each whole text (array<int>; none for null or empty), as out or, where df has a column so named, out with a _ after it."""
@@ -319,7 +319,8 @@ def _decoded(vocabulary: Vocabulary, lists: pa.Array) -> pa.Array:
 def coded(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep: bool = True) -> DataFrame:
     """encode() and decode() in one pass, TOGETHER rows at a time, so that a worker holds few texts besides those it was handed.
 
-    The text itself goes on if keep says so.  What a worker remembers of the words goes at the end of each task.
+    The text itself goes on if keep says so.  The vocabulary, and what a worker remembers of the words, go at the end of each
+    task: the worker may go on to tasks of other operators, beside an executor whose heap is full.
     """
     shared = _Shared(df.sparkSession, path)
     names = free(df, ids), free(df, decoded)
@@ -327,6 +328,7 @@ def coded(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decode
 
     def run(batches):
         vocabulary = shared.get()
+        batch = part = made = None
         try:
             for batch in batches:
                 for at in range(0, batch.num_rows, TOGETHER):
@@ -334,8 +336,8 @@ def coded(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decode
                     made = _encoded(vocabulary, part["_row"].field(text) if keep else part["_text"])
                     yield pa.RecordBatch.from_arrays([part["_row"], made, _decoded(vocabulary, made)], ["_row", "_ids", "_decoded"])
         finally:
-            vocabulary.words.forget()
-            release()
+            del vocabulary, batch, part, made
+            shared.forget()
 
     row = mine.schema["_row"]
     out = mine.mapInArrow(run, T.StructType([row, T.StructField("_ids", T.ArrayType(T.IntegerType(), False)), T.StructField("_decoded", T.StringType())]))

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, packed, stored, table, unpacked, without_rows
+from .common import arrow_batches, packed, release, stored, table, unpacked, without_rows
 
 #: Buckets that n-grams of one to three characters are hashed to.
 BUCKETS = 8192
@@ -97,10 +97,28 @@ def _cluster(vectors: np.ndarray, k: int, seed: int = 7) -> np.ndarray:
         own = np.argmax(vectors @ centroids.T, axis=1)
         for j in range(len(centroids)):
             if (own == j).any():
-                centroids[j] = vectors[own == j].mean(0)
+                centroids[j] = vectors.mean(0, where=(own == j)[:, None])  # no copy of the cluster's vectors
     return centroids / np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-9)
 
 
+def _fitted(texts: pd.Series, idf: np.ndarray, k: int) -> tuple[np.ndarray, float, dict[int, float]]:
+    """The centroids of one language's texts, the lowest hundredth of their best similarities, and that of each length.
+
+    A text's counts go once its vector is made, so that a task holds one row of floats for each text and little else.
+    """
+    vectors, bins = np.empty((len(texts), BUCKETS), np.float32), []
+    for text in texts:
+        if (counts := profile(text)) is not None:
+            vectors[len(bins)] = _vector(counts, idf)
+            bins.append(_length_bin(counts))
+    if not bins:
+        return np.zeros((0, BUCKETS), np.float32), 0.0, {}
+    vectors, lengths = vectors[: len(bins)], np.array(bins)
+    found = _cluster(vectors, k)
+    best = (vectors @ found.T).max(1)
+    return found, float(np.quantile(best, 0.01)), {int(b): float(np.quantile(best[lengths == b], 0.01)) for b in np.unique(lengths)}
+
+
 class Model:
     """idf, the centroids with their languages, and the least similarity for each language and length."""
 
@@ -128,6 +146,7 @@ def _document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """In how many texts each bucket occurs, over all texts; the last bucket counts the texts."""
 
     def part(batches):
+        release()
         df = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
             for text in batch["text"]:
@@ -159,17 +178,13 @@ def train(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS)
     drawn = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 20)) < share * (1 << 20))
 
     def fit(batch: pd.DataFrame) -> pd.DataFrame:
+        release()  # what tasks before this one have left in the worker
         batch = batch.sort_values("doc_id").head(2 * sample)  # a hash's chance deviation stays far below twice
-        counts = [c for c in map(profile, batch["text"]) if c is not None]
-        if not counts:
+        found, lowest, lows = _fitted(batch["text"], idf, centroids)
+        if not len(found):
             return pd.DataFrame({"lang": [], "kind": [], "bin": [], "value": []})
-        vectors = np.stack([_vector(c, idf) for c in counts])
-        found = _cluster(vectors, centroids)
-        best = (vectors @ found.T).max(1)
-        bins = np.array([_length_bin(c) for c in counts])
-        lowest = float(np.quantile(best, 0.01))
         out = [{"lang": batch["lang"].iloc[0], "kind": "centroid", "bin": 0, "value": row.tolist()} for row in found]
-        out += [{"lang": batch["lang"].iloc[0], "kind": "floor", "bin": int(b), "value": [REJECT * min(lowest, float(np.quantile(best[bins == b], 0.01)))]} for b in np.unique(bins)]
+        out += [{"lang": batch["lang"].iloc[0], "kind": "floor", "bin": b, "value": [REJECT * min(lowest, low)]} for b, low in lows.items()]
         return pd.DataFrame(out)
 
     got = drawn.groupBy("lang").applyInPandas(fit, "lang string, kind string, bin long, value array<float>").toPandas().sort_values(["lang", "kind", "bin"], kind="stable")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_batches, stored, table
+from .common import arrow_batches, release, stored, table
 from .components import components
 
 SHINGLE = 3
@@ -199,6 +199,7 @@ def with_signature(df: DataFrame, text: str) -> DataFrame:
     @F.arrow_udf(T.StructType([T.StructField("node", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("fp", T.LongType())]))
     def of(texts: pa.Array) -> pa.Array:
         found = [signature(x.as_py()) for x in texts]
+        release()  # sets of words of long texts, and what tasks before this one have left in the worker
         signed = lambda rows: pa.array([np.array(r, np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.int64()), signed(f[2] for f in found), signed(f[3] for f in found), pa.array(np.array([f[4] for f in found], np.uint64).view(np.int64))], ["node", "size", "bands", "sketch", "fp"])
 

@@ -5,10 +5,13 @@ import json
 import random
 import re
 import string
+import tracemalloc
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from folioforge.llm import bpe, decontamination, langid, pii, secrets, simhash, spans, substrings, topk, urlfilter, warc
@@ -362,6 +365,51 @@ def test_langid_rejects_what_is_none_of_the_languages(spark):
     assert model.floor("en", 40) == model.floor("en", max(model.floors["en"])) > 0
 
 
+def test_langid_fits_in_one_row_of_floats_a_text():
+    """A fit's task holds its vectors and no copy of them, nor the counts they come from."""
+    gen = np.random.default_rng(3)
+    vectors = gen.random((1000, langid.BUCKETS), np.float32)
+    vectors[:900, :100] += 5  # most are in one cluster
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    tracemalloc.start()
+    try:
+        found = langid._cluster(vectors, 2)
+        assert tracemalloc.get_traced_memory()[1] < vectors.nbytes / 4
+    finally:
+        tracemalloc.stop()
+    own = np.argmax(vectors @ found.T, axis=1)
+    for j in np.unique(own):
+        mean = vectors[own == j].mean(0)
+        assert np.allclose(found[j], mean / np.linalg.norm(mean), atol=1e-6)
+    texts = [" ".join(gen.choice(VOCABULARY, 60)) for _ in range(600)]
+    langid.profile("x")
+    tracemalloc.start()
+    try:
+        found, lowest, lows = langid._fitted(texts, np.ones(langid.BUCKETS), 4)
+        assert tracemalloc.get_traced_memory()[1] < 1.5 * len(texts) * langid.BUCKETS * 4
+    finally:
+        tracemalloc.stop()
+    assert found.shape == (4, langid.BUCKETS) and 0 < lowest <= 1 and lows
+    assert langid._fitted(["", "12", None], np.ones(langid.BUCKETS), 4)[0].shape == (0, langid.BUCKETS)
+
+
+def test_bpe_leaves_no_vocabulary_in_a_worker(spark, tmp_path):
+    """Workers go on to tasks of other operators: the pipeline's language_id was stopped for what the run before had left in them."""
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        raw = f.read() + "\n"  # the same vocabulary under a key of its own
+    (tmp_path / "v.json").write_text(raw, encoding="utf-8")
+    key = xxhash.xxh3_128_hexdigest(raw)
+    assert bpe.coded(docs(spark, odd_texts()).repartition(8), str(tmp_path / "v.json")).where("size(ids) > 0").count() > 20
+
+    def held(batches):
+        from folioforge.llm import bpe as there
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([int(key in there._loaded)], pa.int64())})
+
+    assert spark.range(64, numPartitions=64).mapInArrow(held, "n long").agg(F.sum("n")).first()[0] == 0
+
+
 def test_topk(spark):
     gen = np.random.default_rng(3)
     vectors = [gen.normal(size=8).round(1).tolist() for _ in range(300)]
